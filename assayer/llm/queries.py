@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import decontamination, quality_rules, sentencepieces, simhash, suffix_dedup, token_shards
+from assayer.llm import decontamination, quality_rules, sentencepieces, sharding, simhash, suffix_dedup, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_shards": token_shards.query,
     "op4_quality_rules": quality_rules.query,
     "op5_simhash": simhash.query,
+    "op6_sharding": sharding.query,
     "op7_decontamination": decontamination.query,
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_sentencepieces": sentencepieces.query,
