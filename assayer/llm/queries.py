@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import decontamination, html_wrappers, quality_classifier, quality_rules, sentencepieces, sharding, simhash, suffix_dedup, token_shards
+from assayer.llm import decontamination, html_wrappers, pii_surrogates, quality_classifier, quality_rules, sentencepieces, sharding, simhash, suffix_dedup, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_wrappers": html_wrappers.query,
+    "op10_pii_surrogates": pii_surrogates.query,
     "op2_quality_classifier": quality_classifier.query,
     "op3_token_shards": token_shards.query,
     "op4_quality_rules": quality_rules.query,
