@@ -12,7 +12,8 @@ content container with the most variable text), which regions are menus, headers
 notices, adverts, forms or comments, and, without an article, which texts never change. Applied to
 each page, the text slots of the article become blocks.
 
-Defined results: null and empty html give an empty text; a null url or one without host has the host
+Defined results: null and empty html give an empty text; a page without the article region of its
+host's wrapper is extracted by the wrapper that it makes alone; a null url or one without host has the host
 "" (one wrapper); repeated pages give repeated rows and count in the wrapper like others; unclosed or
 cut-off markup is closed where the page ends; an empty table gives an empty table. Input columns named
 like output columns are replaced.
@@ -302,6 +303,7 @@ def extract(page: str | None, role: dict[str, list[str]]) -> str:
     heading_only = [False]
     blocks: list[tuple[str, str]] = []
     part: list[str] = []
+    reached = inside[0]
 
     def flush() -> None:
         if part:
@@ -330,6 +332,7 @@ def extract(page: str | None, role: dict[str, list[str]]) -> str:
             titles = tag == "header" and inside[-1] and not hidden[-1] and value == "header"
             paths.append(path)
             inside.append(inside[-1] or path in article)
+            reached = reached or inside[-1]
             hidden.append(hidden[-1] or off and not titles)
             heading_only.append((heading_only[-1] or titles) and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"))
         elif not inline.pop():
@@ -337,6 +340,9 @@ def extract(page: str | None, role: dict[str, list[str]]) -> str:
             for x in (paths, inside, hidden, heading_only):
                 x.pop()
     flush()
+    if not reached:  # a page of another kind than its host's articles is its own wrapper
+        own = roles(parse(page))
+        return extract(page, own) if own["article"] != role["article"] else ""
     return "\n".join(t for _, t in blocks)
 
 
