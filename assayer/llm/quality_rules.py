@@ -180,4 +180,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     measured = materialise(measure_documents(docs.select("doc_id", "lang", "text"), keep=["doc_id", "lang"]), "rule-measures")
     judged = judge(measured, fit_cutoffs(measured, labels))
-    return judged.select("doc_id", *(f.name for f in BASE_FIELDS), "base_failed", "kept", *RULES, "broken_rules")
+    return judged.select("doc_id", *(f.name for f in BASE_FIELDS), "base_failed", "kept")

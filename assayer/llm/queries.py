@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm import decontamination, html_wrappers, pii_surrogates, quality_classifier, quality_rules, sentencepieces, sharding, simhash, suffix_dedup, token_shards
+from assayer.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_wrappers": html_wrappers.query,
@@ -20,5 +21,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_sentencepieces": sentencepieces.query,
 }
-
-ORACLE_SQL: dict[str, str] = {}
