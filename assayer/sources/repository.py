@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import json
 import os
+import shutil
 import tomllib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,12 @@ from pyspark.sql import functions as F
 
 from assayer.functions.columns import is_excluded_path, is_generated_path, is_test_path, language_of, shebang_language
 
-PROJECT_MARKERS = {"cargo": ("Cargo.toml",), "python": ("pyproject.toml", "setup.py", "setup.cfg"), "node": ("package.json",), "swift": ("Package.swift",), "cmake": ("CMakeLists.txt",), "compile-commands": ("compile_commands.json",)}
+PROJECT_MARKERS = {
+    "cargo": ("Cargo.toml",), "compilation-database": ("compile_commands.json", "build/compile_commands.json"), "typescript": ("tsconfig.json", "package.json"),
+    "swift-package": ("Package.swift",), "python": ("pyproject.toml", "setup.py", "setup.cfg", "requirements.txt"),
+}
+#: Mutation tools by the file that shows a project they apply to and the program they need.
+MUTATION_TOOLS = {"built-in": (None, None), "cargo-mutants": ("cargo", "cargo-mutants"), "mutmut": ("python", "mutmut"), "stryker": ("typescript", "stryker"), "muter": ("swift-package", "muter"), "mull": ("compilation-database", "mull-runner")}
 SECTIONS = ("analysis", "crap", "dry", "mutation", "kiss", "yagni", "architecture", "cohesion", "baseline")
 DEFAULT_CONFIG = {
     "crap": {"fail_over": 6.0}, "dry": {"min_tokens": 30, "min_statements": 5, "similarity_threshold": 0.92, "shingle_tokens": 4, "max_groups": 50, "max_occurrences_per_window": 100},
@@ -30,8 +37,24 @@ def load_config(text: str) -> dict:
 
 
 def project_kinds(root: str) -> set[str]:
-    have = set(os.listdir(root))
-    return {k for k, names in PROJECT_MARKERS.items() if have & set(names)}
+    found = {k for k, names in PROJECT_MARKERS.items() if any(os.path.isfile(os.path.join(root, n)) for n in names)}
+    return found or {"generic"}
+
+
+def mutation_tools(root: str) -> list[dict]:
+    """Static inventory: which tools apply to the project and whether their program is on the path."""
+    kinds = project_kinds(root)
+    return [{"id": k, "applicable": kind is None or kind in kinds, "available": program is None or shutil.which(program) is not None} for k, (kind, program) in MUTATION_TOOLS.items()]
+
+
+def scope_fingerprint(request: dict, config: dict, check: dict) -> str:
+    """Identity of an analysis: settings in canonical JSON, without the baseline section, lists sorted."""
+    scope = {"version": 1, "request": request | {"filters": sorted(set(request.get("filters", ())))}, "config": {k: v for k, v in config.items() if k != "baseline"}, "check": check}
+    evidence = json.dumps(scope, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    h = hashlib.sha256()
+    for part in ("check.analysis-scope", "Cargo.toml", "check", evidence):
+        h.update(len(part.encode()).to_bytes(8, "big") + part.encode())
+    return h.hexdigest()
 
 
 def _ignored(rules: list[tuple[str, str, bool]], path: str) -> bool:

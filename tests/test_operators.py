@@ -287,11 +287,28 @@ def test_repository_sources(spark, tmp_path):
     assert repository.load_config("[kiss]\nmaximum_parameters = 3\n")["kiss"]["maximum_parameters"] == 3
     with pytest.raises(ValueError):
         repository.load_config("[odd]\n")
+    assert repository.project_kinds(str(tmp_path)) == {"generic"}
+    (tmp_path / "setup.py").write_text("")
+    assert repository.project_kinds(str(tmp_path)) == {"python"} and {t["id"]: t["applicable"] for t in repository.mutation_tools(str(tmp_path))}["mutmut"]
+    a = repository.scope_fingerprint({"filters": ["b", "a", "a"]}, {"kiss": {}, "baseline": {"x": 1}}, {})
+    assert a == repository.scope_fingerprint({"filters": ["a", "b"]}, {"kiss": {}, "baseline": {}}, {}) and len(a) == 64
     meta = {"workspace_root": "/r", "workspace_members": ["a"], "packages": [{"id": "a", "name": "a", "manifest_path": "/r/crates/a/Cargo.toml", "dependencies": [{"name": "serde", "kind": None, "optional": False}, {"name": "a", "kind": "dev"}], "features": {"default": ["x"], "x": []}}]}
     p, d, f = repository.cargo_metadata(spark.createDataFrame([(json.dumps(meta),)], "text string"))
     assert [tuple(r) for r in p.collect()] == [("a", "crates/a")] and {(r.dependency, r.scope, r.internal) for r in d.collect()} == {("serde", "production", False), ("a", "development", True)} and f.count() == 2
 
 
+AST = {"kind": "TranslationUnitDecl", "inner": [{"kind": "NamespaceDecl", "name": "n", "inner": [{"kind": "FunctionDecl", "name": "f", "type": {"qualType": "int  (int)"}, "range": {"begin": {"line": 2}, "end": {"line": 9}}, "inner": [
+    {"kind": "ParmVarDecl"}, {"kind": "CompoundStmt", "inner": [{"kind": "IfStmt", "inner": [{"kind": "BinaryOperator", "opcode": "&&"}, {"kind": "ForStmt"}]}, {"kind": "LambdaExpr", "inner": [{"kind": "IfStmt"}]}]}]}]}, {"kind": "FunctionDecl", "name": "decl"}]}
+
+
+def test_syntax_trees(spark):
+    from assayer.sources import clang_ast
+
+    one, two = json.dumps(AST), json.dumps(AST).replace("ForStmt", "NullStmt")
+    rows = clang_ast.functions(spark.createDataFrame([("a.c", one), ("a.c", two)], "file string, ast string"))
+    assert [(r.name, r.stable_symbol, r.start_line, r.end_line, r.complexity) for r in clang_ast.merged(rows).collect()] == [("n::f", "n::f[type:int (int)]", 2, 9, 4)]
+
+
 def test_reports(spark):
     rules = engine.union(engine.rule_rows(spark.range(1), "r.a", "a b.rs", "s", "maximum", "e", 3, 1), engine.rule_rows(spark.range(1), "r.b", "c.rs", "s", "maximum", "e", 0, 1))
     doc = json.loads("".join(reports.sarif_document(rules)))
