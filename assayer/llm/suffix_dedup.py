@@ -28,24 +28,23 @@ gives an empty table.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from assayer.llm.common import add_columns, encode, materialise, table
+from assayer.llm.common import encode, materialise, table
 
 LENGTH = 400
-WINDOW = 192
+WINDOW = 256
 GRAM = 16
 CORE = LENGTH - WINDOW + 1
 BUCKET_RUNS = 2048
 BLOCK_MEMBERS = 512
 #: Starts hashed together; longer texts are taken in pieces.
-SEGMENT = 1_000_000
+SEGMENT = 400_000
 #: A perfect difference set: every distance below 31 is a difference of two of these modulo 31.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
@@ -120,7 +119,7 @@ def find_runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     return own, low - base, mid - base, high - base, bucket, text
 
 
-def runs_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+def runs_of(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of whole texts; a text beyond ``SEGMENT`` is taken in pieces that overlap by LENGTH - 1."""
     group: list[tuple[int, int, bytes]] = []
     size = 0
@@ -205,8 +204,10 @@ def repeated_starts(buckets: np.ndarray, distance: np.ndarray, runs: np.ndarray,
     return np.split(again, np.cumsum(runs)[:-1])
 
 
-RUNS = "id long, th long, low long, mid long, high long, bucket long, text_hash long"
+RUNS = "id long, th long, place long, bucket long, text_hash long"
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+#: A run's place: first start, then distance of the anchor and of the last start in ten bits each.
+_LOW, _MID, _BITS = 20, 10, 1023
 
 
 def _batch(schema: str, columns: list) -> pa.RecordBatch:
@@ -217,21 +218,70 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for own, low, mid, high, bucket, text in runs_of([encode(t.as_py()) for t in b.column(2)]):
-            yield _batch(RUNS, [ids[own], ths[own], low, mid, high, bucket.view(np.int64), text.view(np.int64)])
-
-
-MEMBERS = "bucket long, text_hash long, n long, weight long, distance int, runs int, slice binary"
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for text, wanted in zip(b.column("text"), b.column("wanted"), strict=True):
-            raw, rows = encode(text.as_py()), wanted.as_py()
-            yield _batch(MEMBERS, [
-                [r["bucket"] for r in rows], [r["text_hash"] for r in rows], [r["n"] for r in rows], [r["weight"] for r in rows],
-                [r["mid"] - r["low"] for r in rows], [r["high"] - r["low"] + 1 for r in rows], [raw[r["low"] : r["high"] + LENGTH] for r in rows],
-            ])
+        for own, low, mid, high, bucket, text in runs_of(encode(t.as_py()) for t in b.column(2)):
+            yield _batch(RUNS, [ids[own], ths[own], low << _LOW | (mid - low) << _MID | (high - low), bucket.view(np.int64), text.view(np.int64)])
+
+
+STATE = (
+    "doc_id long, id long, th long, n_bytes long, removed array<struct<first:long,end:long>>, kept binary, text string, pure array<struct<low:long,high:long>>, "
+    "mixed array<struct<place:long,bucket:long,text_hash:long>>, members array<struct<bucket:long,text_hash:long,n:long,weight:long,distance:int,runs:int,slice:binary>>"
+)
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+_PURE = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+_MIXED = pa.list_(pa.struct([("place", pa.int64()), ("bucket", pa.int64()), ("text_hash", pa.int64())]))
+_MEMBERS = pa.list_(pa.struct([("bucket", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("weight", pa.int64()), ("distance", pa.int32()), ("runs", pa.int32()), ("slice", pa.binary())]))
+
+
+def _begin(digest: bool):
+    """Documents with what the buckets say of them: finished where no run must be sorted, else kept with
+    the text slices that this document lends to its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, removed, kept, text, pure, mixed, members = ([] for _ in range(7))
+            for t, told in zip(b.column("text"), b.column("told"), strict=True):
+                raw = encode(t.as_py())
+                rows = told.as_py() or []
+                place = lambda r: (r["place"] >> _LOW, r["place"] >> _MID & _BITS, r["place"] & _BITS)
+                whole = [{"low": (q := place(r))[0], "high": q[0] + q[2]} for r in rows if r["kind"] == 0]
+                some = [{k: r[k] for k in ("place", "bucket", "text_hash")} for r in rows if r["kind"] == 1]
+                lent = []
+                for r in rows:
+                    if r["kind"] == 2:
+                        low, distance, last = place(r)
+                        lent.append({**{k: r[k] for k in ("bucket", "text_hash", "n", "weight")}, "distance": distance, "runs": last + 1, "slice": raw[low : low + last + LENGTH]})
+                n.append(len(raw))
+                done = not some and not lent
+                spans = _merge(whole) if done else None
+                removed.append(spans)
+                kept.append(_digest(_keep(raw, spans), digest) if done else None)
+                text.append(None if done else t.as_py())
+                pure.append(None if done else whole)
+                mixed.append(None if done else some)
+                members.append(lent or None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("id"), b.column("th"), pa.array(n, pa.int64()), pa.array(removed, _SPANS), pa.array(kept, pa.binary()), pa.array(text, pa.string()), pa.array(pure, _PURE), pa.array(mixed, _MIXED), pa.array(members, _MEMBERS)],
+                names=["doc_id", "id", "th", "n_bytes", "removed", "kept", "text", "pure", "mixed", "members"],
+            )
+
+    return run
+
+
+def _end(digest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            removed, kept = [], []
+            for t, pure, parts in zip(*(b.column(c) for c in ("text", "pure", "parts")), strict=True):
+                raw = encode(t.as_py())
+                spans = list(pure.as_py() or [])
+                for x in parts.as_py() or []:
+                    low = x["place"] >> _LOW
+                    spans += [{"low": low + p, "high": low + p} for p in x["again"]]
+                removed.append(_merge(spans))
+                kept.append(_digest(_keep(raw, removed[-1]), digest))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, _SPANS), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
+
+    return run
 
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,32 +306,17 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield block(held)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``docs``: id, th, text -> (id, th, low, high): stretches of repeated starts, not merged."""
-    runs = materialise(docs.mapInArrow(_runs, RUNS), "suffix-runs")
-    several = runs.groupBy("bucket").agg(F.count("*").alias("n"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("n > 1")
-    met = materialise(runs.join(several.select("bucket", "n", (F.col("a") != F.col("b")).alias("mixed")), "bucket"), "suffix-buckets")
-    whole = met.where("not mixed").select("id", "th", "low", "high")
-    mixed = met.where("mixed")
-    own = F.min(F.struct("id", "th", "low", "mid", "high")).alias("r")
-    members = mixed.groupBy("bucket", "text_hash", "n").agg(F.count("*").alias("weight"), own)
-    wanted = members.select("bucket", "text_hash", "n", "weight", "r.*").groupBy("id", "th").agg(F.collect_list(F.struct("bucket", "text_hash", "n", "weight", "low", "mid", "high")).alias("wanted"))
-    slices = materialise(docs.join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(_slices, MEMBERS), "suffix-members")
-    small = slices.where(F.col("n") <= BUCKET_RUNS).select("bucket", "text_hash", "weight", "distance", "runs", "slice")
+def _repeated_members(members: DataFrame) -> DataFrame:
+    """(bucket, text_hash, again): the repeated starts of each member's run."""
+    small = members.where(F.col("n") <= BUCKET_RUNS).select("bucket", "text_hash", "weight", "distance", "runs", "slice")
     small = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_blocks, "bucket long, text_hash long, again array<int>")
     # large buckets: count the strings themselves
-    large = slices.where(F.col("n") > BUCKET_RUNS).dropDuplicates(["bucket", "text_hash"])
+    large = members.where(F.col("n") > BUCKET_RUNS).dropDuplicates(["bucket", "text_hash"])
     string = F.expr(f"substring(slice, p + 1, {LENGTH})")
     strings = large.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).select("bucket", "text_hash", "weight", "p", (F.col("distance") - F.col("p")).alias("k"), F.xxhash64(string).alias("g"), F.xxhash64(string, F.lit(1)).alias("h"))
     twice = strings.groupBy("bucket", "k", "g", "h").agg(F.sum("weight").alias("w")).where("w > 1").drop("w")
     counted = strings.join(twice, ["bucket", "k", "g", "h"], "left_semi").groupBy("bucket", "text_hash").agg(F.collect_list("p").alias("again"))
-    again = small.unionByName(counted).where(F.size("again") > 0)
-    parts = mixed.join(again, ["bucket", "text_hash"]).select("id", "th", "low", F.explode("again").alias("p"))
-    start = F.col("low") + F.col("p")
-    return whole.unionByName(parts.select("id", "th", start.alias("low"), start.alias("high")))
-
-
-FIELDS = [T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())]
+    return small.unionByName(counted).where(F.size("again") > 0)
 
 
 def _merge(spans: list[dict] | None) -> list[dict]:
@@ -308,26 +343,36 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(i, F.lit(-1)).alias("id"), F.xxhash64(i.isNull(), t).alias("th"), i.alias("doc_id"), t.alias("text"))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, n_bytes, removed (byte spans) and kept (the remaining bytes, or their SHA-256)."""
-    rows = _keyed(docs, doc_id, text)
-    spans = repeated_spans(rows.select("id", "th", "text")).groupBy("id", "th").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    fields = [*FIELDS[:2], T.StructField("kept_sha256", T.StringType()) if digest else FIELDS[2]]
+def _digest(raw: bytes, digest: bool) -> bytes:
+    return hashlib.sha256(raw).digest() if digest else raw
 
-    def compute(_: object, texts: list, spans: list) -> list:
-        sizes, removed, kept = [], [], []
-        for t, s in zip(texts, spans, strict=True):
-            raw = encode(t)
-            sizes.append(len(raw))
-            removed.append(_merge(s))
-            rest = _keep(raw, removed[-1])
-            kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
-        return [sizes, removed, kept]
 
-    return add_columns(rows.join(spans, ["id", "th"], "left"), ["text", "spans"], compute, fields, keep=["doc_id"])
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, n_bytes, removed (byte spans) and kept (the remaining bytes, or with ``digest`` their SHA-256).
+
+    Texts are exchanged once; only those with a run to be sorted are kept for a second, later join.
+    """
+    rows = _keyed(docs, doc_id, text)
+    runs = materialise(rows.select("id", "th", "text").mapInArrow(_runs, RUNS), "suffix-runs")
+    several = runs.groupBy("bucket").agg(F.count("*").alias("n"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("n > 1")
+    met = materialise(runs.join(several.select("bucket", "n", (F.col("a") != F.col("b")).alias("mixed")), "bucket"), "suffix-buckets")
+    mixed = met.where("mixed")
+    lenders = mixed.groupBy("bucket", "text_hash", "n").agg(F.count("*").alias("weight"), F.min(F.struct("id", "th", "place")).alias("r"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    told = (
+        met.select("id", "th", "mixed", F.struct(F.col("mixed").cast("int").alias("kind"), "place", F.when(F.col("mixed"), F.col("bucket")).alias("bucket"), F.when(F.col("mixed"), F.col("text_hash")).alias("text_hash"), none.alias("n"), none.alias("weight")).alias("x")).drop("mixed")
+        .unionByName(lenders.select("r.id", "r.th", F.struct(F.lit(2).alias("kind"), F.col("r.place").alias("place"), "bucket", "text_hash", "n", F.coalesce("weight", zero).alias("weight")).alias("x")))
+        .groupBy("id", "th").agg(F.collect_list("x").alias("told"))
+    )
+    state = materialise(rows.join(told, ["id", "th"], "left").mapInArrow(_begin(digest), STATE), "suffix-state")
+    again = _repeated_members(state.where("members IS NOT NULL").select(F.inline("members")))
+    parts = state.where("mixed IS NOT NULL").select("id", "th", F.inline("mixed")).join(again, ["bucket", "text_hash"]).groupBy("id", "th").agg(F.collect_list(F.struct("place", "again")).alias("parts"))
+    open_ = state.where("text IS NOT NULL").select("doc_id", "id", "th", "n_bytes", "text", "pure").join(parts, ["id", "th"], "left")
+    ended = open_.mapInArrow(_end(digest), "doc_id long, n_bytes long, removed array<struct<first:long,end:long>>, kept binary")
+    return state.where("text IS NULL").select("doc_id", "n_bytes", "removed", "kept").unionByName(ended)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s.end - s.first)
-    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"))
