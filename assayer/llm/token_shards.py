@@ -45,6 +45,9 @@ MAGIC = b"TKB1"
 GAMMA = 2
 MAX_LEVELS = 48
 _ODD = re.compile(r"\s \s")
+_PLAIN = re.compile(r" ?\S+")
+#: Pieces encoded in one text.
+JOINED = 256
 _CUT = re.compile(r"(?<=\S) | (?=\S)")
 
 
@@ -63,6 +66,7 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.table: dict[str, bytes] = {}
+        (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -83,16 +87,34 @@ class ChunkTokenizer:
                 group, size = [], 0
         yield from self._join(group)
 
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces. Plain ones are encoded many to a text, a line break between them:
+        next to characters that are no white space it is a token of its own, and no piece has it."""
+        plain = [c for c in pieces if _PLAIN.fullmatch(c)]
+        rest = [c for c in pieces if not _PLAIN.fullmatch(c)]
+        out: dict[str, bytes] = {}
+        texts = ["\n".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
+            some = plain[i * JOINED : (i + 1) * JOINED]
+            ids = np.array(e.ids, dtype="<u4")
+            cut = np.flatnonzero(ids == self.line_break)
+            if len(cut) != len(some) - 1:
+                raise AssertionError("pieces were not found again")
+            raw = ids.tobytes()
+            for c, a, b in zip(some, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
+                out[c] = raw[4 * a : 4 * b]
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            out[c] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
+
     def _join(self, group: list[list[str]]) -> Iterator[bytes]:
         fresh = sorted(set().union(*group).difference(self.table))
         if len(self.table) + len(fresh) > TABLE_CHUNKS:
             self.table.clear()
             fresh = sorted(set().union(*group))
-        long: dict[str, bytes] = {}
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (self.table if len(c) <= LONGEST_REMEMBERED else long)[c] = np.array(e.ids, dtype="<u4").tobytes()
+        made = self.encode_pieces(fresh)
+        long = {c: made.pop(c) for c in fresh if len(c) > LONGEST_REMEMBERED}
+        self.table.update(made)
         for pieces in group:
             if long:
                 yield b"".join([long[c] if len(c) > LONGEST_REMEMBERED else self.table[c] for c in pieces])
@@ -322,7 +344,7 @@ def lookup(spark: SparkSession, path: str, key: int) -> list[np.ndarray]:
     blocks = read_index(spark, path).where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("shard", "block")
     out = []
     for r in blocks.select("index", "payload").toLocalIterator():
-        block = Block.open(bytes(r.index), bytes(r.payload))
+        block = Block.open(bytes(r["index"]), bytes(r["payload"]))
         first, docs = block.find(np.array([key]))
         out += [np.frombuffer(block.document(int(first[0]) + i), "<u4") for i in range(int(docs[0]))]
     return out
