@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+PIECE_BYTES = 8_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,6 +72,15 @@ def without(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], octets: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``octets`` each, so that what is made of one in Python stays small."""
+    for b in batches:
+        n = max(1, min(b.num_rows, -(-b.nbytes // octets)))
+        step = max(1, -(-b.num_rows // n))
+        for at in range(0, b.num_rows, step) or (0,):
+            yield b.slice(at, step)
+
+
 def add_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -96,7 +108,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for b in batches:
+        for b in pieces(batches):
             made = compute(state, *(b.column(carried.index(c)).to_pylist() for c in inputs))
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(carried.index(c)) for c in kept), *arrays], names=names)

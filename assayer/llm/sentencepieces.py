@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from assayer.llm.common import add_columns, table
 
 MARK = "▁"
-TABLE_CHUNKS = 1_000_000
+TABLE_CHUNKS = 300_000
 #: Texts whose chunks are looked up together, and chunks segmented in one call.
 GROUP_CHARS = 1_000_000
 JOINED_CHARS = 4_000
@@ -130,8 +131,10 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list[
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def compute(enc: ChunkEncoder, texts: list) -> list:
-        ids = [x.tolist() for x in enc.encode_all(texts)]
-        return [ids, [enc.sp.decode(x) if x else "" for x in ids]]
+        ids = list(enc.encode_all(texts))
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
+        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), [enc.sp.decode(x.tolist()) if len(x) else "" for x in ids]]
 
     return add_columns(docs, [text], compute, fields, setup=lambda: encoder(path), keep=keep)
 

@@ -181,3 +181,14 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     two = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q) for i, q in one]
     a, b = (quality_classifier.fit(docs, spark.createDataFrame(x, "doc_id long, quality int")).weights for x in (one, two))
     assert (a == b).all()
+
+
+def test_batches_are_cut_without_loss():
+    import pyarrow as pa
+
+    from assayer.llm.common import pieces
+
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 101)], names=["t"])
+    cut = list(pieces([b], 10_000))
+    assert len(cut) > 9 and sum(x.num_rows for x in cut) == 101
+    assert [x.num_rows for x in pieces([b.slice(0, 0)])] == [0]
