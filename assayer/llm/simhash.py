@@ -116,11 +116,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, simhash) -> (simhash, component_id): the least doc_id that is reachable."""
+def _rooted(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, simhash) -> (fp, least, root, linked): each fingerprint with its group's root."""
     fps = materialise(docs.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(links(fps.select("fp")))
-    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
+    return fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, simhash) -> (simhash, component_id): the least doc_id that is reachable."""
+    named = _rooted(docs)
     alone = named.where(~F.col("linked")).select("fp", F.col("least").alias("component_id"))
     linked = named.where("linked")
     first = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -136,13 +141,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group stays: the row with the least doc_id (a null id last), and one of it."""
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    marked = fingerprints(own, "_text", keep=["_row", "_id"])
-    narrow = materialise(fingerprints(docs.select("doc_id", "text"), keep=["doc_id"]), "simhash")
-    first = groups(narrow)
-    # rows that may stay: those with their group's number; copies of such a row are settled below
-    held = marked.join(first, marked.simhash == first.simhash).where(F.col("_id").eqNullSafe(F.col("component_id")))
-    one = held.withColumn("_n", F.row_number().over(Window.partitionBy("component_id", "_id").orderBy(F.lit(0))))
+    key = F.md5(F.col("text").cast("binary")).alias("_key")  # null for a null text
+    narrow = materialise(fingerprints(docs.select("doc_id", "text", key), keep=["doc_id", "_key"]), "simhash")
+    rooted = materialise(_rooted(narrow).select("fp", "root"), "simhash-roots")
+    # groups are told apart by their root: ids may be null or repeated
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
+    first = narrow.join(rooted, narrow.simhash == rooted.fp).groupBy("root").agg(F.min(place).alias("_first")).select("root", F.col("_first.doc_id").alias("_fid"), F.col("_first._key").alias("_fkey"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), key)
+    # rows that may stay; copies of such a row are settled below
+    held = own.join(first, F.col("_key").eqNullSafe(F.col("_fkey")) & F.col("_id").eqNullSafe(F.col("_fid")))
+    one = held.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy(F.lit(0))))
     return one.where("_n = 1").select("_row.*")
 
 

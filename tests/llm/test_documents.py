@@ -57,6 +57,13 @@ def test_simhash_on_odd_rows(spark, odd, none, odd_rows):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_groups_without_or_with_repeated_ids_keep_a_row_each(spark):
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, body(k)) for k in (0, 1, 2, 2)] + [(7, body(3)), (7, body(4)), (7, body(4)), (8, body(5)), (None, body(5)), (9, None), (None, None)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([*((None, body(k)) for k in (0, 1, 2)), (7, body(3)), (7, body(4)), (8, body(5)), (9, None)], key=str)
+
+
 @pytest.mark.parametrize("limit", [64, 3])
 def test_links_have_the_components_of_all_pairs(spark, monkeypatch, limit):
     """Random families of near fingerprints; with limit 3 most lists go by the star."""
