@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.llm import jaccard
 from assayer.llm.common import add_columns, encode, materialise, table
 from assayer.llm.components import components
 
@@ -116,16 +117,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _rooted(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, simhash) -> (fp, least, root, linked): each fingerprint with its group's root."""
-    fps = materialise(docs.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(links(fps.select("fp")))
-    return fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
-
-
 def groups(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, simhash) -> (simhash, component_id): the least doc_id that is reachable."""
-    named = _rooted(docs)
+    fps = materialise(docs.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least")), "fingerprints")
+    roots = components(links(fps.select("fp")))
+    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
     alone = named.where(~F.col("linked")).select("fp", F.col("least").alias("component_id"))
     linked = named.where("linked")
     first = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -139,14 +135,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return marked.join(groups(marked), "simhash")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group stays: the row with the least doc_id (a null id last), and one of it."""
+def drop_near_duplicates(docs: DataFrame, words: int = jaccard.WORDS, threshold: float = jaccard.THRESHOLD) -> DataFrame:
+    """One row of each group stays: the row with the least doc_id (a null id last), and one of it.
+
+    A group is linked by fingerprints within ``MAX_BITS`` bits and by sets of ``words``-word shingles
+    with a Jaccard similarity of ``threshold`` or more.
+    """
     key = F.md5(F.col("text").cast("binary")).alias("_key")  # null for a null text
-    narrow = materialise(fingerprints(docs.select("doc_id", "text", key), keep=["doc_id", "_key"]), "simhash")
-    rooted = materialise(_rooted(narrow).select("fp", "root"), "simhash-roots")
+    marked = fingerprints(docs.select("doc_id", "text", key), keep=["doc_id", "_key", "text"])
+    narrow = materialise(jaccard.signatures(marked, jaccard.frequent(docs, words), words, threshold, keep=["doc_id", "_key", "simhash"]), "simhash")
+    near = jaccard.links(narrow, docs.select(key, "text"), words, threshold)
+    # nodes are fingerprints and sets (64-bit hashes both); a document ties its two together
+    ties = narrow.select(F.col("simhash").alias("u"), F.col("sid").alias("v")).distinct()
+    prints = links(narrow.select(F.col("simhash").alias("fp")).distinct())
+    roots = components(ties.unionByName(prints).unionByName(near))
+    rooted = narrow.join(roots, narrow.simhash == roots.node, "left").withColumn("root", F.coalesce("root", "simhash"))
     # groups are told apart by their root: ids may be null or repeated
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
-    first = narrow.join(rooted, narrow.simhash == rooted.fp).groupBy("root").agg(F.min(place).alias("_first")).select("root", F.col("_first.doc_id").alias("_fid"), F.col("_first._key").alias("_fkey"))
+    first = rooted.groupBy("root").agg(F.min(place).alias("_first")).select("root", F.col("_first.doc_id").alias("_fid"), F.col("_first._key").alias("_fkey"))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), key)
     # rows that may stay; copies of such a row are settled below
     held = own.join(first, F.col("_key").eqNullSafe(F.col("_fkey")) & F.col("_id").eqNullSafe(F.col("_fid")))

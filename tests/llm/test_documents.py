@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from assayer.llm import decontamination, sharding, simhash, suffix_dedup
+from assayer.llm import decontamination, jaccard, sharding, simhash, suffix_dedup
 
 DOCS = "doc_id long, text string"
 
@@ -64,6 +64,37 @@ def test_groups_without_or_with_repeated_ids_keep_a_row_each(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([*((None, body(k)) for k in (0, 1, 2)), (7, body(3)), (7, body(4)), (8, body(5)), (9, None)], key=str)
 
 
+@pytest.mark.parametrize(("limit", "at"), [(64, 4), (3, 2)])
+def test_near_copies_at_shingle_similarity_leave_one(spark, monkeypatch, limit, at):
+    """Edited copies, far apart in bits, around the threshold; with limit 3 most lists are long."""
+    monkeypatch.setattr(jaccard, "LIST_MAX", limit)
+    monkeypatch.setattr(jaccard, "FREQUENT_AT", at)
+    rng, rows = random.Random(limit), []
+    opening = [f"intro{j}" for j in range(30)]
+    for k in range(12):
+        base = opening[: rng.choice([0, 30])] + [f"w{k}x{rng.randrange(40)}" for _ in range(rng.choice([4, 60, 150]))]
+        for _ in range(rng.randint(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = f"new{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    prints = [plain_fingerprint(t) for _, t in rows]
+    label = list(range(len(rows)))
+    pairs = {(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert sum((prints[i] ^ prints[j]).bit_count() > 2 for i, j in pairs) > 10
+    for i, j in pairs | {(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2}:
+        a, b = label[i], label[j]
+        label = [b if x == a else x for x in label]
+    want = {min(rows[i][0] for i in range(len(rows)) if label[i] == x) for x in set(label)}
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(kept) == sorted(want)
+
+
 @pytest.mark.parametrize("limit", [64, 3])
 def test_links_have_the_components_of_all_pairs(spark, monkeypatch, limit):
     """Random families of near fingerprints; with limit 3 most lists go by the star."""
