@@ -9,9 +9,12 @@ A surrogate is a keyed hash (SHA-256 twice, key inside and outside) of type, nor
 attempt, so an entity has one surrogate wherever and however it is written (coreference): phone and
 card numbers are compared by their digits, addresses without case, parts of a name one by one, and the
 domain of an address has a surrogate of its own. The table of distinct entities is checked: two
-entities of a type with one surrogate, or a surrogate that is a real entity of the corpus, send the
-later entity (by value) to its next attempt, until all are distinct. Entities beyond their first
-attempt are exceptions; up to ``MAP_ENTRIES`` of them are looked up in a constant map, more are joined.
+entities of a type with one surrogate (addresses with all of it, the domain included), or a surrogate
+that is a real entity of the corpus, send the later entity (by value) to its next attempt, until all
+are distinct. A shape with fewer surrogates than the corpus has entities is left at attempt
+``LONGER_AT``: from there octets have three digits, and other surrogates more characters with every
+attempt. Entities beyond their first attempt are exceptions; up to ``MAP_ENTRIES`` of them are looked
+up in a constant map, more are joined.
 
 Text without entities is returned as it is. Defined results: a null text stays null with no entities;
 an empty text stays empty; repeated rows get equal surrogates; null ids are kept; an empty table gives
@@ -30,7 +33,8 @@ from assayer.llm.common import materialise, table, without
 
 KEY = "assayer-default-key"
 MAP_ENTRIES = 2_000
-MAX_ATTEMPTS = 30
+#: From this attempt on a surrogate is longer than its entity: the shape has too few of its own.
+LONGER_AT = 6
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
 OTHER = ("Dr", "Prof")
@@ -97,20 +101,20 @@ def _shaped(m: Column, d: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")
 
 
-def _octets(m: Column, d: Column) -> Column:
+def _octets(m: Column, d: Column, longer: Column) -> Column:
     def one(part: Column, i: Column) -> Column:
         n = F.conv(F.substring(d, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
-        size = F.char_length(part)
+        size = F.when(longer, 3).otherwise(F.char_length(part))
         return F.when(size == 1, n % 9 + 1).when(size == 2, n % 90 + 10).otherwise(n % 155 + 100).cast("string")
 
     return F.array_join(F.transform(F.split(m, r"\."), one), ".")
 
 
-def _name(part: Column, d: Column, given: Column, gender: Column) -> Column:
+def _name(part: Column, d: Column, given: Column, gender: Column, more: Column) -> Column:
     out = None
     for script, (consonants, vowels, female, male, other, surname) in SCRIPTS.items():
         c, v = F.translate(d, _HEX, consonants), F.translate(d, _HEX, vowels)
-        body = F.concat(*(x for i in (1, 4, 7) for x in (F.substring(c, i, 1), F.substring(v, i + 1, 1))), F.substring(c, 11, 1))
+        body = F.concat(*(x for i in (1, 4, 7) for x in (F.substring(c, i, 1), F.substring(v, i + 1, 1))), F.substring(c, 11, 1), F.translate(more, _HEX, consonants))
         end = F.when(~given, surname).when(gender == "f", female).when(gender == "m", male).otherwise(other)
         value = F.initcap(F.concat(body, end))
         test = {"cyrillic": r"^\p{IsCyrillic}", "greek": r"^\p{IsGreek}"}.get(script)
@@ -136,23 +140,29 @@ def gender_of(m: Column) -> Column:
 def replacement(kind: Column, value: Column, m: Column, attempt: Column, key: str) -> Column:
     """The surrogate of one entity (kind and normalised value), in the format of ``m``."""
     d = digest(kind, value, attempt, key)
+    longer = attempt >= LONGER_AT
+    more = F.when(longer, F.substring(d, F.lit(25), (attempt - LONGER_AT + 1) * 4)).otherwise("")
+    letters, digits = F.translate(more, _HEX, "bcdfghjkmnpqrtvz"), F.translate(more, "abcdef", "361709")
     code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)  # country code, kept
     tld = F.regexp_extract(value, r"\.(com|net|org)$", 1)
     return (
-        F.when(kind == "email", _shaped(F.substring_index(value, "@", 1), d))
+        F.when(kind == "email", F.concat(_shaped(F.substring_index(value, "@", 1), d), letters))
         .when(kind == "domain", F.concat(F.substring(F.translate(d, _HEX, "bcdfghjkmnpqrtvz"), 1, 12), F.lit(".example."), F.when(tld == "", "com").otherwise(tld)))
-        .when(kind == "ip", _octets(m, d))
+        .when(kind == "ip", _octets(m, d, longer))
         .when(kind == "secret", F.when(m.rlike(r"^[0-9a-f]+$"), F.substring(F.concat(d, d), F.lit(1), F.char_length(m))).when(m.rlike(r"^[0-9A-F]+$"), F.upper(F.substring(F.concat(d, d), F.lit(1), F.char_length(m)))).otherwise(F.concat(F.regexp_extract(m, r"^(AKIA|ASIA|gh[pousr]_|sk-)", 0), _shaped(F.regexp_replace(m, r"^(AKIA|ASIA|gh[pousr]_|sk-)", ""), d))))
-        .when(kind.startswith("given-"), _name(value, d, F.lit(True), F.substring(kind, -1, 1)))
-        .when(kind == "surname", _name(value, d, F.lit(False), F.lit("x")))
-        .when(kind == "phone", F.concat(code, _shaped(F.substring(m, F.char_length(code) + 1, F.char_length(m)), d)))
+        .when(kind.startswith("given-"), _name(value, d, F.lit(True), F.substring(kind, -1, 1), more))
+        .when(kind == "surname", _name(value, d, F.lit(False), F.lit("x"), more))
+        .when(kind == "phone", F.concat(code, _shaped(F.substring(m, F.char_length(code) + 1, F.char_length(m)), d), digits))
+        .when(kind.isin("card", "ssn", "iban"), F.concat(_shaped(m, d), digits))
         .otherwise(_shaped(m, d))
     )
 
 
 def canonical(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """A surrogate as its entity's normalised value would be written: what distinctness is about."""
-    return F.lower(replacement(kind, value, value, attempt, key))
+    made = F.lower(replacement(kind, value, value, attempt, key))
+    # domains are kept apart by themselves, so an address is told by its domain, and none is real
+    return F.when(kind == "email", F.concat(made, F.lit("@\x01"), F.substring_index(value, "@", -1))).otherwise(made)
 
 
 def entity_table(matches: DataFrame, key: str) -> DataFrame:
@@ -166,7 +176,7 @@ def entity_table(matches: DataFrame, key: str) -> DataFrame:
     kind, value, attempt = F.col("kind"), F.col("value"), F.col("attempt")
     have = materialise(found.withColumn("attempt", F.lit(0)).withColumn("surrogate", canonical(kind, value, F.lit(0), key)), "pii-entities")
     real = have.select("kind", F.lower("value").alias("surrogate")).distinct().withColumn("real", F.lit(True))
-    for _ in range(MAX_ATTEMPTS):
+    while True:  # every attempt from LONGER_AT on has a larger space
         place = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "value"))
         told = have.withColumn("place", place).join(real, ["kind", "surrogate"], "left").withColumn("bad", (F.col("place") > 1) | F.col("real").isNotNull())
         told = materialise(told.drop("place", "real"), "pii-attempt")
@@ -174,7 +184,6 @@ def entity_table(matches: DataFrame, key: str) -> DataFrame:
             return told.drop("bad")
         again = told.withColumn("attempt", F.when(F.col("bad"), attempt + 1).otherwise(attempt)).drop("bad")
         have = again.withColumn("surrogate", F.when(attempt > 0, canonical(kind, value, attempt, key)).otherwise(F.col("surrogate")))
-    raise RuntimeError("surrogates stay alike")
 
 
 def _written(m: Column, attempt_of, key: str) -> Column:

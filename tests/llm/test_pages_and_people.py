@@ -111,6 +111,22 @@ def test_collisions_are_resolved(spark, monkeypatch, entries):
     assert len(set(out)) == len(ips) and not set(out) & set(ips)
 
 
+@pytest.mark.parametrize(
+    ("values", "kept"),
+    [
+        ([f"{chr(97 + i)}@host{i}.com" for i in range(26)], r"[a-z]@[a-z]+\.example\.com"),
+        ([f"{a}{b}@h{i}.org" for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst")], r"[a-z]{2}@[a-z]+\.example\.org"),
+        ([f"{c}@one.net" for c in "abcdefghijklmnopqrstuvwxyz"], r"[a-z]+@[a-z]+\.example\.net"),
+        ([f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)], r"\d{1,3}(\.\d{1,3}){3}"),
+    ],
+    ids=["letters", "pairs", "one-domain", "ip"],
+)
+def test_more_entities_than_a_shape_has_surrogates(spark, values, kept):
+    df = spark.createDataFrame([(i, f"from {x} here") for i, x in enumerate(values)], "doc_id long, text string")
+    out = [r.text.split()[1] for r in pii.replace_entities(df).collect()]
+    assert len(set(out)) == len(values) and not set(out) & set(values) and all(re.fullmatch(kept, x) for x in out)
+
+
 def test_key_changes_surrogates(spark):
     df = spark.createDataFrame(TEXTS[:1], "doc_id long, text string")
     assert pii.replace_entities(df).first().text != pii.replace_entities(df, key="other").first().text
