@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's shared checkpoint folder (a local one where none is set)."""
+    """Cut the lineage in the folder that driver and executors share, named by ``spark.checkpoint.dir``."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _own_folder(sc.master))
     return df.checkpoint()
 
 
+def _own_folder(master: str) -> str:
+    """A folder of this machine, where driver and executors are one process; elsewhere it must be named."""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="assayer-")
+
+
 def min_labels(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, label): the least node reachable over (a, b). Each round takes the least label among the
     neighbours and then the label of that label, so rounds grow with the logarithm of a chain."""

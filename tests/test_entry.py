@@ -42,3 +42,23 @@ def test_query_equals_sql(spark, name):
     columns = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(columns)
     assert values([tuple(r) for r in df.collect()], df.columns) == values(want.fetchall(), columns)
+
+
+def test_queries_without_the_training_data_folders(tmp_path):
+    """The rest works where the subpackage, its tests and perhaps the pipeline are gone."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for gone in (("assayer/llm",), ("assayer/llm", "corpus_pipeline.py")):
+        copy = tmp_path / str(len(gone))
+        copy.mkdir()
+        for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+            if (root / name).exists() and name not in gone:
+                shutil.copy(root / name, copy)
+        shutil.copytree(root / "assayer", copy / "assayer", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'crap_score' in q and set(s) <= set(q); assert not any(n.startswith('op') or n == 'pipeline' for n in q)"
+        done = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr
