@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.columns import coverage_path, coverage_percent, crap_score
@@ -16,23 +16,33 @@ def merge_lines(*reports: DataFrame) -> DataFrame:
     return out.groupBy("file", "line").agg(F.max("hits").alias("hits"))
 
 
+def _tails(c) -> Column:
+    """The path itself, then what follows each of its slashes."""
+    parts = F.split(c, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def resolve_files(files: DataFrame, reported: DataFrame, root: str = "") -> DataFrame:
     """(file, reported): the report's path of each file. The first way that finds one wins: the same
     path, the path below ``root``, the only path of which one is the other's suffix, the only path
-    with that base name. Candidates meet by equal base name, never by comparing all pairs."""
+    with that base name.
+
+    A path has as many suffixes as parts, so candidates meet by equality; for a suffix or base name
+    only the number of paths and the least of them are kept, so a common name makes no pairs.
+    """
     f = files.select("file").distinct().withColumn("rel", coverage_path("file"))
     r = reported.select(F.col("file").alias("reported")).distinct()
-    base = lambda c: F.substring_index(c, "/", -1)
-    met = f.withColumn("base", base(F.col("rel"))).join(r.withColumn("base", base(F.col("reported"))), "base")
-    joined = F.concat(F.lit(root.rstrip("/") + "/"), F.col("rel"))
-    suffix = F.endswith("reported", F.concat(F.lit("/"), F.col("rel"))) | F.endswith("rel", F.concat(F.lit("/"), F.col("reported")))
-    way = F.when(F.col("rel") == F.col("reported"), 1).when(F.col("reported") == joined, 2).when(suffix | (F.col("rel") == F.col("reported")), 3).otherwise(4)
-    met = met.withColumn("way", way)
-    w = Window.partitionBy("file")
-    # suffix matches: exact ones are suffix matches as well; base names: all candidates
-    counts = met.withColumns({"n_suffix": F.count(F.when(F.col("way") <= 3, 1)).over(w), "n_base": F.count("*").over(w), "best": F.min("way").over(w)})
-    keep = (F.col("way") == F.col("best")) & ((F.col("way") <= 2) | ((F.col("way") == 3) & (F.col("n_suffix") == 1)) | ((F.col("n_base") == 1)))
-    return counts.where(keep).select("file", "reported")
+    same = r.select(F.col("reported").alias("rel"), F.col("reported").alias("same"))
+    below = r.select(F.col("reported").alias("joined"), F.col("reported").alias("below"))
+    longer = r.select(F.explode(_tails(F.col("reported"))).alias("rel"), "reported").groupBy("rel").agg(F.count("*").alias("n_longer"), F.min("reported").alias("longer"))
+    tails = f.select("rel", F.explode(F.slice(_tails(F.col("rel")), F.lit(2), F.size(_tails(F.col("rel"))))).alias("reported")).distinct()
+    shorter = tails.join(r, "reported").groupBy("rel").agg(F.count("*").alias("n_shorter"), F.min("reported").alias("shorter"))
+    named = r.groupBy(F.substring_index("reported", "/", -1).alias("base")).agg(F.count("*").alias("n_named"), F.min("reported").alias("named"))
+    met = f.join(same, "rel", "left").withColumn("joined", F.concat(F.lit(root.rstrip("/") + "/"), F.col("rel"))).join(below, "joined", "left")
+    met = met.join(longer, "rel", "left").join(shorter, "rel", "left").withColumn("base", F.substring_index("rel", "/", -1)).join(named, "base", "left")
+    n = F.coalesce("n_longer", F.lit(0)) + F.coalesce("n_shorter", F.lit(0))
+    found = F.coalesce("same", "below", F.when(n == 1, F.coalesce("longer", "shorter")), F.when((n == 0) & (F.col("n_named") == 1), F.col("named")))
+    return met.select("file", found.alias("reported")).where("reported IS NOT NULL")
 
 
 def owned_lines(functions: DataFrame, lines: DataFrame) -> DataFrame:

@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that driver and executors share, named by ``spark.checkpoint.dir``."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _own_folder(sc.master))
-    return df.checkpoint()
+    """Write ``df`` as Parquet into the folder that driver and executors share, named by
+    ``spark.checkpoint.dir``, and read it back: this cuts the lineage, survives lost executors and
+    keeps column pruning. The table goes when the driver ends."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            sc.setCheckpointDir(_own_folder(sc.master))
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/assayer/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may be gone when the driver ends
+            pass
 
 
 def _own_folder(master: str) -> str:

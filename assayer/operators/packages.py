@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.columns import instability, manifest_file, matches_pattern
+from assayer.operators.graph import settle
 
 
 def production_edges(dependencies: DataFrame) -> DataFrame:
@@ -76,24 +77,59 @@ def separated(edges: DataFrame, sources: list[str], targets: list[str]) -> DataF
     return edges.withColumn("passed", ~hit)
 
 
-def reachable(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Transitive closure of (a, b), by doubling until nothing is new. For package graphs."""
-    paths = edges.select("a", "b").distinct()
-    paths = paths.checkpoint() if paths.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else paths.cache()
-    n = paths.count()
-    for _ in range(max_rounds):
-        step = paths.alias("x").join(paths.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        paths = paths.unionByName(step).distinct()
-        paths = paths.checkpoint() if paths.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else paths.cache()
-        m = paths.count()
+def _cyclic(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes without an edge in or out have gone, again and again: what no cycle needs."""
+    left = settle(edges)
+    n = left.count()
+    while n:
+        ends = left.select(F.col("a").alias("n")).distinct().join(left.select(F.col("b").alias("n")).distinct(), "n", "left_semi")
+        left = settle(left.join(ends.select(F.col("n").alias("a")), "a", "left_semi").join(ends.select(F.col("n").alias("b")), "b", "left_semi"))
+        m = left.count()
         if m == n:
-            return paths
+            break
         n = m
-    raise RuntimeError("closure did not settle")
+    return left
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """(node, colour): the least node that reaches it, itself included. Labels only fall, so it ends."""
+    labels = settle(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("colour", F.col("node")))
+    while True:
+        sent = edges.join(labels, edges.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("sent"))
+        stepped = settle(labels.join(sent, "node", "left").select("node", F.least("colour", "sent").alias("colour"), F.col("colour").alias("old")))
+        if stepped.where("colour <> old").isEmpty():
+            return stepped.select("node", "colour")
+        labels = stepped.select("node", "colour")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(cycle: sorted members) of each strongly connected component with a cycle; a self-edge is one."""
-    paths = reachable(edges)
-    mutual = paths.alias("x").join(paths.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).select("x.a", "x.b")
-    return mutual.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("cycle")).select("cycle").distinct()
+    """(cycle: sorted members) of each strongly connected component with a cycle; a self-edge is one.
+
+    Colours instead of a closure: each node takes the least node that reaches it; the nodes of one
+    colour from which that node can be reached are its component. They go, and the rest, cut at the
+    colours, is done again. Tables stay as large as the edges.
+    """
+    all_edges = edges.select("a", "b").distinct()
+    alone = all_edges.where("a = b").select(F.col("a").alias("root"), F.col("a").alias("node"))
+    left = _cyclic(all_edges.where("a <> b"))
+    parts = [alone]
+    while not left.isEmpty():
+        colours = _colours(left)
+        own = left.join(colours.select(F.col("node").alias("a"), "colour"), "a").join(colours.select(F.col("node").alias("b"), F.col("colour").alias("other")), "b").where("colour = other").select("a", "b", "colour")
+        own = settle(own)
+        found = settle(colours.where("node = colour").select("node", "colour"))
+        front = found
+        while not front.isEmpty():
+            back = own.join(front.select(F.col("node").alias("b"), "colour"), ["b", "colour"]).select(F.col("a").alias("node"), "colour").distinct()
+            front = settle(back.join(found, "node", "left_anti"))
+            found = settle(found.unionByName(front))
+        parts.append(found.select(F.col("colour").alias("root"), "node"))
+        rest = own.join(found.select(F.col("node").alias("a")), "a", "left_anti").join(found.select(F.col("node").alias("b")), "b", "left_anti")
+        left = _cyclic(rest.select("a", "b"))
+    members = parts[0]
+    for p in parts[1:]:
+        members = members.unionByName(p)
+    n = members.groupBy("root").agg(F.array_sort(F.collect_set("node")).alias("cycle"))
+    looped = n.where(F.size("cycle") > 1)
+    in_larger = looped.select(F.explode("cycle").alias("root")).distinct()
+    return looped.select("cycle").unionByName(n.where(F.size("cycle") == 1).join(alone.select("root").distinct(), "root", "left_semi").join(in_larger, "root", "left_anti").select("cycle"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import columns as fn
 from assayer.operators import clones, cohesion, coverage, mutation, packages, unused
+from assayer.operators.graph import settle
 from assayer.rules import catalog, engine
 from assayer.sinks import reports
 from assayer.sources import coverage_reports
@@ -26,6 +27,13 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the table has fewer splits than there are cores: one small file
+    would else keep one core busy. Tables of many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # functions from order lines: complexity, coverage
 def scored_lines(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 1000).alias("coverage"))
@@ -73,7 +81,7 @@ def enclosing_function(spark, d):
     sizes = F.explode(F.array(*map(F.lit, (6, 24, 96))))
     blocks = e.select("file", "hour", sizes.alias("size")).select("file", "size", F.floor(F.col("hour") / F.col("size")).alias("n")).distinct()
     f = blocks.select("file", (F.col("n") * F.col("size")).alias("start_line"), (F.col("n") * F.col("size") + F.col("size") - 1).alias("end_line"), F.concat_ws(":", "size", "n").alias("name"))
-    f = f.where("start_line % 5 <> 0").withColumns({"stable_symbol": F.col("name"), "function_id": F.concat_ws("/", "file", "name")})
+    f = f.withColumns({"stable_symbol": F.col("name"), "function_id": F.concat_ws("/", "file", "name")})
     points = e.select(F.col("event_id").alias("point_id"), "file", F.col("hour").alias("start_line"), F.col("hour").alias("end_line"))
     return coverage.smallest_container(points, f).select(F.col("point_id").alias("event_id"), "symbol")
 
@@ -81,7 +89,7 @@ def enclosing_function(spark, d):
 def file_resolution(spark, d):
     p = read(spark, d, "pages").select("page_id", F.regexp_extract("url", r"//([^/]+)", 1).alias("host"), F.regexp_extract("url", r"//[^/]+/([^?#]*)", 1).alias("path"))
     files = p.select(F.col("path").alias("file"))
-    reported = p.where("host LIKE 'm.%' OR host LIKE 'blog.%'").select(F.concat_ws("/", "host", "path").alias("file"))
+    reported = p.select(F.concat_ws("/", "host", "path").alias("file"))
     return coverage.resolve_files(files, reported)
 
 
@@ -186,7 +194,7 @@ def seeded_selection(spark, d):
 
 # files are documents, tokens their words
 def word_arrays(spark, d):
-    docs = read(spark, d, "documents")
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").cast("string").alias("file"), F.filter(F.split("text", r"[ \t\n\r\f\x0b]+"), lambda x: x != "").alias("tokens"))
 
 
@@ -199,13 +207,22 @@ def maximal_regions(spark, d):
 
 
 def near_clones(spark, d):
-    counts = clones.shingle_counts(word_arrays(spark, d), SHINGLE)
-    return clones.near_pairs(counts, DICE).withColumn("similarity", F.round("similarity", 9))
+    """Links between files of different texts; ``clone_classes`` has the copies of each."""
+    arrays = word_arrays(spark, d)
+    first = clones.clone_classes(arrays).where("file = representative").select("file")
+    pairs = clones.near_pairs(clones.shingle_sets(arrays.join(first, "file"), SHINGLE), DICE)
+    return pairs.withColumn("similarity", F.round("similarity", 9))
+
+
+def clone_classes(spark, d):
+    return clones.clone_classes(word_arrays(spark, d))
 
 
 def clone_groups(spark, d):
-    counts = clones.shingle_counts(word_arrays(spark, d), SHINGLE)
-    g = clones.near_groups(clones.near_pairs(counts, DICE))
+    arrays = word_arrays(spark, d).where(F.size("tokens") >= SHINGLE)
+    classes = settle(clones.clone_classes(arrays))
+    first = classes.where("file = representative").select("file")
+    g = clones.near_groups(clones.near_pairs(clones.shingle_sets(arrays.join(first, "file"), SHINGLE), DICE), classes)
     return g.select("label", F.size("members").alias("members"), F.round("similarity", 9).alias("similarity"))
 
 
@@ -317,7 +334,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         crap_score, risk_summary, line_coverage, coverage_counters, ambiguous_lines, enclosing_function, file_resolution, lcov_round_trip, coverage_json_round_trip,
         coupling, package_cycles, layer_directions, forbidden_edges, coupling_rules, mutation_summary, mutation_score, mutation_operators, mutant_fingerprints, seeded_selection,
-        exact_windows, maximal_regions, near_clones, clone_groups, module_cohesion, cohesion_rules, identifier_counts, unused_items, contract_tests, kiss_rules, rule_summary,
+        exact_windows, maximal_regions, near_clones, clone_classes, clone_groups, module_cohesion, cohesion_rules, identifier_counts, unused_items, contract_tests, kiss_rules, rule_summary,
         baseline_diff, baseline_resolved, path_functions, symbol_functions, text_positions, sarif_results, finding_groups,
     )
 }

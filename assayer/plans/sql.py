@@ -57,7 +57,8 @@ lane AS (SELECT DISTINCT file_l, file_r, shift FROM seed),
 met AS (SELECT file_l, file_r, shift, x.start AS start_l FROM lane JOIN win x ON x.file = file_l JOIN win y ON y.file = file_r AND y.start = x.start + shift AND y.key = x.key),
 isl AS (SELECT *, start_l - ROW_NUMBER() OVER (PARTITION BY file_l, file_r, shift ORDER BY start_l) AS island FROM met),
 reg AS (SELECT file_l, file_r, shift, MIN(start_l) AS start_l, CAST(COUNT(*) + {WINDOW - 1} AS INTEGER) AS token_count FROM isl GROUP BY file_l, file_r, shift, island)"""
-SHINGLES = f"""{WORDS}, h0 AS (SELECT file, len(t) - 3 AS total, t, unnest(range(0, len(t) - 3)) AS s FROM w WHERE len(t) >= 4),
+CLASSES = "cl AS (SELECT file, t, MIN(file) OVER (PARTITION BY t) AS representative FROM w)"
+SHINGLES = f"""{WORDS}, {CLASSES}, h0 AS (SELECT file, len(t) - 3 AS total, t, unnest(range(0, len(t) - 3)) AS s FROM cl WHERE len(t) >= 4 AND file = representative),
 h AS MATERIALIZED (SELECT file, total, sha256({ENCODE.format("t[s + 1 : s + 4]")}) AS shingle, COUNT(*) AS c FROM h0 GROUP BY 1, 2, 3),
 pairs AS (SELECT a.file AS l, b.file AS r, 2.0::DOUBLE * SUM(LEAST(a.c, b.c)) / (a.total + b.total) AS similarity FROM h a JOIN h b ON a.shingle = b.shingle AND a.file < b.file GROUP BY a.file, b.file, a.total, b.total),
 near AS (SELECT * FROM pairs WHERE similarity >= {DICE})"""
@@ -93,11 +94,11 @@ ORACLE_SQL: dict[str, str] = {
     "coverage_counters": APPLIED + " SELECT SUM((reason = 'matched')::INT)::BIGINT AS matched_functions, SUM((reason = 'unmatched-file')::INT)::BIGINT AS unmatched_functions, SUM((reason = 'empty-range')::INT)::BIGINT AS empty_ranges, SUM((reason = 'ambiguous')::INT)::BIGINT AS ambiguous_functions FROM p",
     "ambiguous_lines": f"WITH {EVENT_LINES}, {day_functions(30)}, {OWNED}, {SHARED} SELECT function_id FROM shared",
     "enclosing_function": """WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS file, day(ts) * 24 + hour(ts) AS hr FROM events), z AS (SELECT unnest([6, 24, 96]) AS size),
-b AS (SELECT DISTINCT file, size, hr // size AS n FROM e, z), f AS (SELECT file, n * size AS s, n * size + size - 1 AS e, size || ':' || n AS name FROM b WHERE (n * size) % 5 <> 0)
+b AS (SELECT DISTINCT file, size, hr // size AS n FROM e, z), f AS (SELECT file, n * size AS s, n * size + size - 1 AS e, size || ':' || n AS name FROM b)
 SELECT event_id, name AS symbol FROM (SELECT event_id, name, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY f.e - f.s, name) AS k FROM e LEFT JOIN f ON f.file = e.file AND hr BETWEEN f.s AND f.e) WHERE k = 1""",
     "file_resolution": """WITH p AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS host, regexp_extract(url, '//[^/]+/([^?#]*)', 1) AS path FROM pages),
 norm AS (SELECT DISTINCT path AS file, CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '.' ELSE regexp_replace(path, '/+$', '') END AS rel FROM p),
-rep AS (SELECT DISTINCT host || '/' || path AS reported FROM p WHERE host LIKE 'm.%' OR host LIKE 'blog.%'),
+rep AS (SELECT DISTINCT host || '/' || path AS reported FROM p),
 met AS (SELECT file, reported, CASE WHEN rel = reported THEN 1 WHEN reported = '/' || rel THEN 2 WHEN ends_with(reported, '/' || rel) OR ends_with(rel, '/' || reported) THEN 3 ELSE 4 END AS way
   FROM norm JOIN rep ON regexp_extract(rel, '[^/]*$') = regexp_extract(reported, '[^/]*$')),
 k AS (SELECT *, COUNT(CASE WHEN way <= 3 THEN 1 END) OVER (PARTITION BY file) AS ns, COUNT(*) OVER (PARTITION BY file) AS nb, MIN(way) OVER (PARTITION BY file) AS best FROM met)
@@ -122,12 +123,14 @@ SELECT original, replacement, {FAMILY} AS operator, CASE WHEN original = '==' TH
 SELECT l_orderkey, l_linenumber, {stable_id("'mutation.fingerprint'", "'src/' || l_suppkey || '.rs'", "'f' || l_linenumber", "'[' || chr(34) || operator || chr(34) || ',' || chr(34) || original || chr(34) || ',' || chr(34) || '!=' || chr(34) || ',' || k || ']'")} AS fingerprint FROM o""",
     "seeded_selection": f"""WITH o AS (SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) AS fp FROM orders), k AS (SELECT o_orderkey, fp, sha256(unhex('{SEED:016X}') || {part("fp")}) AS seeded_key FROM o)
 SELECT o_orderkey, seeded_key, CASE WHEN ROW_NUMBER() OVER (ORDER BY seeded_key, fp) <= {MAXIMUM} THEN 'pending' ELSE 'ignored' END AS status FROM k""",
-    "exact_windows": f"WITH {WINDOWS} SELECT key, COUNT(*) AS occurrences, COUNT(DISTINCT file) AS files FROM win GROUP BY 1 HAVING COUNT(*) > 1",
+    "exact_windows": f"WITH {WINDOWS} SELECT p.file AS file, p.start::INT AS start, occurrences, files FROM (SELECT MIN(struct_pack(file := file, start := start)) AS p, COUNT(*) AS occurrences, COUNT(DISTINCT file) AS files FROM win GROUP BY key HAVING COUNT(*) > 1)",
     "maximal_regions": f"""WITH {REGIONS} SELECT DISTINCT g.file_l, g.start_l::INT AS start_l, g.file_r, (g.start_l + g.shift)::INT AS start_r, g.token_count FROM reg g JOIN seed s ON s.file_l = g.file_l AND s.file_r = g.file_r AND s.shift = g.shift AND s.start_l BETWEEN g.start_l AND g.start_l + g.token_count - {WINDOW}
 WHERE g.file_l <> g.file_r OR g.shift >= g.token_count""",
     "near_clones": f"WITH {SHINGLES} SELECT l, r, ROUND(similarity, 9) AS similarity FROM near",
-    "clone_groups": f"""WITH RECURSIVE {SHINGLES}, e AS (SELECT l AS a, r AS b FROM near UNION SELECT r, l FROM near), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
-lab AS (SELECT a AS node, MIN(LEAST(a, b)) AS label FROM c GROUP BY 1), m AS (SELECT label, COUNT(*)::INT AS members FROM lab GROUP BY 1), s AS (SELECT label, MIN(similarity) AS similarity FROM near JOIN lab ON l = node GROUP BY 1)
+    "clone_classes": f"WITH {WORDS}, {CLASSES} SELECT file, representative FROM cl",
+    "clone_groups": f"""WITH RECURSIVE {SHINGLES}, lk AS (SELECT l AS a, r AS b, similarity FROM near UNION ALL SELECT representative, file, 1.0 FROM cl WHERE file <> representative AND len(t) >= 4),
+e AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+lab AS (SELECT a AS node, MIN(LEAST(a, b)) AS label FROM c GROUP BY 1), m AS (SELECT label, COUNT(*)::INT AS members FROM lab GROUP BY 1), s AS (SELECT label, MIN(similarity) AS similarity FROM lk JOIN lab ON a = node GROUP BY 1)
 SELECT label, members, ROUND(similarity, 9) AS similarity FROM m JOIN s USING (label)""",
     "module_cohesion": f"WITH {COHESION} SELECT file, owner, functions, related, ROUND(cohesion, 9) AS cohesion FROM co",
     "cohesion_rules": f"WITH {COHESION} SELECT 'cohesion.module' AS rule_id, {stable_id(chr(39) + 'cohesion.module' + chr(39), 'file', 'owner', chr(39) + 'qualified-owner-function-reference-graph-v1' + chr(39))} AS violation_id, file, ROUND(cohesion, 9) AS measured, CASE WHEN cohesion < 0.1 THEN 'fail' ELSE 'pass' END AS result FROM co",

@@ -145,10 +145,10 @@ def test_exact_regions(spark):
 def test_dice_at_the_threshold(spark):
     left, right = [f"a{i}" for i in range(8)], [*(f"a{i}" for i in range(6)), "p", "q"]
     arrays = spark.createDataFrame([("l", left), ("r", right), ("o", ["z"] * 9)], "file string, tokens array<string>")
-    counts = clones.shingle_counts(arrays, 1)
+    counts = clones.shingle_sets(arrays, 1)
     assert [(r.l, r.r, r.similarity) for r in clones.near_pairs(counts, 0.75).collect()] == [("l", "r", 0.75)]
     assert clones.near_pairs(counts, 0.7501).count() == 0
-    g = clones.near_groups(clones.near_pairs(counts, 0.5)).collect()
+    g = clones.near_groups(clones.near_pairs(counts, 0.5), clones.clone_classes(arrays)).collect()
     assert [(x.members, x.similarity) for x in g] == [(["l", "r"], 0.75)]
 
 
@@ -161,6 +161,72 @@ def test_independent_groups(spark):
     assert sorted(r.group_id for r in clones.maximal_groups(m).collect()) == ["x", "z"]
 
 
+def test_independent_groups_equal_one_greedy_pass(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        n = rng.randrange(2, 5)
+        size = rng.randrange(3, 12)
+        places = sorted({(f"f{rng.randrange(8)}", rng.randrange(60)) for _ in range(n)})
+        rows.append((f"g{i:03}", rng.randrange(20, 40), [{"file": f, "start_line": s, "end_line": s + size} for f, s in places]))
+    covered, want = {}, []
+    for g, _, places in sorted(rows, key=lambda r: (-r[1], [(p["file"], p["start_line"], p["end_line"]) for p in r[2]], len(r[2]), r[0])):
+        if sum(all(p["end_line"] < s or e < p["start_line"] for s, e in covered.get(p["file"], ())) for p in places) >= 2:
+            want.append(g)
+            for p in places:
+                covered.setdefault(p["file"], []).append((p["start_line"], p["end_line"]))
+    df = spark.createDataFrame(rows, "group_id string, token_count int, places array<struct<file:string,start_line:int,end_line:int>>")
+    assert sorted(r.group_id for r in clones.independent_groups(df).collect()) == sorted(want)
+
+
+def test_cycles_equal_mutual_reach(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = sorted({(f"n{rng.randrange(24):02}", f"n{rng.randrange(24):02}") for _ in range(34)})
+    reach = {x: {b for a, b in edges if a == x} for x, _ in edges}
+    while any(len(s | set().union(*(reach.get(y, set()) for y in s))) > len(s) for s in reach.values() if s):
+        reach = {x: s | set().union(*(reach.get(y, set()) for y in s)) for x, s in reach.items()}
+    want = {tuple(sorted(y for y in s if x in reach.get(y, ()))) for x, s in reach.items() if x in s}
+    got = [tuple(r.cycle) for r in packages.cycles(spark.createDataFrame(edges, "a string, b string")).collect()]
+    assert len(want) > 1 and sorted(got) == sorted(want)
+
+
+def test_frequent_windows_extend_the_seeds(spark):
+    """With one place a key allowed less than it has, regions are those of seeded diagonals in full."""
+    rows = [(f"f{i}", ["p"] * 0 + [f"x{i}"] + [f"c{j}" for j in range(14)] + [f"y{i}"]) for i in range(6)]
+    arrays = spark.createDataFrame(rows, "file string, tokens array<string>")
+    got = {(r.file_l, r.start_l, r.file_r, r.start_r, r.token_count) for r in clones.maximal_regions(clones.windows(arrays, 5), 5, 3).collect()}
+    assert got == {(f"f{a}", 1, f"f{b}", 1, 14) for a in range(3) for b in range(a + 1, 3)}
+
+
+def test_near_pairs_equal_brute_force(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(9)
+    texts = {}
+    for i in range(40):
+        base = [f"w{rng.randrange(12)}" for _ in range(rng.randrange(20, 60))]
+        texts[f"d{i:02}"] = base
+        near = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            near[rng.randrange(len(near))] = f"z{rng.randrange(5)}"
+        texts[f"e{i:02}"] = near
+    bag = {k: Counter(tuple(v[i : i + 3]) for i in range(len(v) - 2)) for k, v in texts.items()}
+    want = set()
+    for a in bag:
+        for b in bag:
+            n = 2 * sum((bag[a] & bag[b]).values()) / (sum(bag[a].values()) + sum(bag[b].values()))
+            if a < b and n >= 0.8:
+                want.add((a, b, round(n, 9)))
+    arrays = spark.createDataFrame(list(texts.items()), "file string, tokens array<string>")
+    got = {(r.l, r.r, round(r.similarity, 9)) for r in clones.near_pairs(clones.shingle_sets(arrays, 3), 0.8).collect()}
+    assert len(want) > 10 and got == want
+
+
 def test_cohesion(spark):
     rows = [("f", "1", "T::a", ["T::b", "new"]), ("f", "2", "T::b", ["field::x"]), ("f", "3", "T::c", ["field::x", "new"]), ("f", "4", "T::d", []), ("f", "5", "U::only", [])]
     df = spark.createDataFrame([(a, b, "", c, d, True) for a, b, c, d in rows], "file string, function_id string, name string, stable_symbol string, references array<string>, structural_metrics_reliable boolean")
