@@ -57,10 +57,14 @@ def materialise(df: DataFrame, tag: str, partition_by: Sequence[str] = ()) -> Da
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.mode("overwrite").parquet(path)
-    atexit.register(_remove_quietly, spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove_quietly, spark, path)
+
+
 def _remove_quietly(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         try:

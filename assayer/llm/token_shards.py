@@ -1,54 +1,68 @@
 """Token-id shards with a minimal perfect hash index (operator 3).
 
-Documents are encoded, ordered by key and written as blocks. A block holds the raw ids of whole
-documents (little-endian unsigned 32-bit integers, one end id after each document) and an index: a
-minimal perfect hash over the block's distinct keys gives each key a slot; the slot stores a 32-bit
-fingerprint of the key, the ordinal of its first document and how many documents carry the key;
-``bounds`` then gives the place of the ids. A lookup costs a few hashes and one fingerprint
-comparison, whatever the size of the block.
+Documents are encoded in ascending key order. Every task writes one shard, three raw files beside each
+other in the shared folder:
 
-The blocks are binary columns of a Parquet table, so Spark's committer makes the write atomic on any
-store that executors reach, a lost executor only repeats its tasks, and no task opens local files.
-A block is closed at ``BLOCK_TOKENS`` ids; a document is never split.
+* ``.ids``: little-endian unsigned 32-bit ids, one end id after each document, nothing else;
+* ``.idx``: a minimal perfect hash over the shard's distinct keys; a key's slot stores a 32-bit
+  fingerprint of the key, the ordinal of its first document and how many documents carry the key; then
+  the place of each document's ids. Keys are not stored: the fingerprint alone tells a stranger, and it
+  errs for one stranger in 2^32;
+* ``.keys``: the documents' keys in order, for those who list a shard. A keyed access never opens it.
+
+A keyed access costs a few hashes, one fingerprint comparison and one read of the document's own
+bytes, whatever the size of the shard (``Shard.get``).
+
+The files are streamed, so a shard may be of any length. Their names are new for each attempt of a
+task, and the directory of shards is a Parquet table that Spark's committer writes: only files that it
+names count, so a lost executor leaves at most files that nobody reads. The folder must be on a store
+that ``pyarrow.fs`` knows (file, hdfs, s3, gs).
 
 Texts are cut where a space stands next to a character that is not white space. The byte-level
-pre-tokenizer always cuts there, so each distinct piece of text is encoded once by the tokenizers
-library and its ids are joined back (bounded table in each worker).
+pre-tokenizer always cuts there, so each distinct piece is segmented once in a worker and its ids are
+joined back; what the pre-tokenizer makes of a new piece is looked up in a second table, and only what
+that lacks goes through the library's merges. The tables are emptied at a size; only speed depends on
+it. Pieces with uncommon characters or with special tokens are encoded by the whole library.
 
 Defined results: a null text is empty and gives the end id alone; null keys come first; rows that
-share a key follow each other, ordered by a hash of the text; an empty table gives an empty table.
+share a key follow each other, ordered by a hash of the text and, where that is equal as well, by their
+place in the input; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import scratch_path, table
+from assayer.llm.common import remove_at_exit, scratch_path, table
 
 END_ID = 2
-BLOCK_TOKENS = 1_000_000
-TABLE_CHUNKS = 800_000
+TABLE_CHUNKS = 600_000
 LONGEST_REMEMBERED = 200
-GROUP_CHARS = 1_000_000
-MAGIC = b"TKB1"
+#: Bytes of a shard that a reader holds at once.
+READ_BYTES = 4_000_000
+MAGIC = b"TKB2"
 #: Bits for each key and level of the hash; more bits, fewer levels.
 GAMMA = 2
 MAX_LEVELS = 48
 _ODD = re.compile(r"\s \s")
-_PLAIN = re.compile(r" ?\S+")
-#: Pieces encoded in one text.
-JOINED = 256
 _CUT = re.compile(r"(?<=\S) | (?=\S)")
+#: Letters and numbers among the characters of which every version of Unicode says the same.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0400-\u0481\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_UNCOMMON = re.compile("[^ \n!-~\xa1-\u024f\u0400-\u0481\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
+#: Fixed value: the pattern of the byte-level pre-tokenizer, for common characters.
+_PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^ \n{_LETTERS}{_NUMBERS}]+|[ \n]+(?![^ \n])|[ \n]+")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -57,6 +71,34 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where it is printable, else the next from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in printable}
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(256 + len(out) - len(printable))
+    return out
+
+
+class _Remembered(dict):
+    """A dictionary that makes what it lacks; emptied at ``TABLE_CHUNKS`` entries."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        return self.remember(key, self.make(key))
+
+    def remember(self, key: str, made: bytes) -> bytes:
+        if len(key) <= LONGEST_REMEMBERED:
+            if len(self) >= TABLE_CHUNKS:
+                self.clear()
+            self[key] = made
+        return made
+
+
 class ChunkTokenizer:
     def __init__(self, path: str):
         import os
@@ -65,61 +107,40 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.table: dict[str, bytes] = {}
-        (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Pieces whose ids can be joined; only the first may lack a space in front."""
-        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        out = [" " + p for p in parts]
-        out[0] = parts[0]
-        return out if parts[0] else out[1:]
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pre_tokens = _Remembered(self._merged)
+        self.spaced = _Remembered(lambda rest: self._common(" " + rest))
+
+    def _merged(self, pre_token: str) -> bytes:
+        ids = [t.id for t in self.merge(pre_token.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _common(self, piece: str) -> bytes:
+        """Ids of a piece of common characters that holds no special token."""
+        if piece[1:].isalpha() and piece[0] == " ":
+            return self.pre_tokens[piece]
+        return b"".join(map(self.pre_tokens.__getitem__, _PRE_TOKENS.findall(piece)))
+
+    def _any(self, piece: str) -> bytes:
+        if _UNCOMMON.search(piece) or any(s in piece for s in self.special):
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._common(piece)
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not _UNCOMMON.search(text) and not any(s in text for s in self.special):
+            odd = ("  " in text or "\n \n" in text) and _ODD.search(text)
+            first, *rest = _CUT.split(text) if odd else text.split(" ")
+            return (self._common(first) if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+        first, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        known = [self.spaced.get(p) for p in rest]
+        return (self._any(first) if first else b"") + b"".join(self.spaced.remember(p, self._any(" " + p)) if k is None else k for p, k in zip(rest, known, strict=True))
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        group: list[list[str]] = []
-        size = 0
-        for t in texts:
-            group.append(self.cut(t) if t else [])
-            size += len(t or "")
-            if size > GROUP_CHARS:
-                yield from self._join(group)
-                group, size = [], 0
-        yield from self._join(group)
-
-    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces. Plain ones are encoded many to a text, a line break between them:
-        next to characters that are no white space it is a token of its own, and no piece has it."""
-        plain = [c for c in pieces if _PLAIN.fullmatch(c)]
-        rest = [c for c in pieces if not _PLAIN.fullmatch(c)]
-        out: dict[str, bytes] = {}
-        texts = ["\n".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
-        for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
-            some = plain[i * JOINED : (i + 1) * JOINED]
-            ids = np.array(e.ids, dtype="<u4")
-            cut = np.flatnonzero(ids == self.line_break)
-            if len(cut) != len(some) - 1:
-                raise AssertionError("pieces were not found again")
-            raw = ids.tobytes()
-            for c, a, b in zip(some, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
-                out[c] = raw[4 * a : 4 * b]
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
-            out[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
-
-    def _join(self, group: list[list[str]]) -> Iterator[bytes]:
-        fresh = sorted(set().union(*group).difference(self.table))
-        if len(self.table) + len(fresh) > TABLE_CHUNKS:
-            self.table.clear()
-            fresh = sorted(set().union(*group))
-        made = self.encode_pieces(fresh)
-        long = {c: made.pop(c) for c in fresh if len(c) > LONGEST_REMEMBERED}
-        self.table.update(made)
-        for pieces in group:
-            if long:
-                yield b"".join([long[c] if len(c) > LONGEST_REMEMBERED else self.table[c] for c in pieces])
-            else:
-                yield b"".join(map(self.table.__getitem__, pieces))
+        return map(self.encode, texts)
 
 
 @lru_cache(maxsize=2)
@@ -192,165 +213,198 @@ class PerfectHash:
         return cls(levels), at
 
 
-@dataclass
-class Block:
-    """A written block, opened. ``keys`` has each document's key in order, ``null`` marks null keys."""
+SLOT = np.dtype([("fingerprint", "<u4"), ("first", "<u4"), ("docs", "<u4")])
+
 
-    keys: np.ndarray
-    null: np.ndarray
-    bounds: np.ndarray
-    hash: PerfectHash
-    slots: np.ndarray
-    ids: memoryview
+def _fingerprints(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys, FINGERPRINT_SEED) >> np.uint64(32)).astype(np.uint32)
 
-    SLOT = np.dtype([("fingerprint", "<u4"), ("first", "<u4"), ("docs", "<u4")])
 
-    @staticmethod
-    def pack(keys: list[int | None], docs: list[bytes]) -> tuple[bytes, bytes]:
-        """(index, payload) of documents in key order."""
-        null = np.array([k is None for k in keys], dtype=np.uint8)
-        own = np.array([k or 0 for k in keys], dtype=np.int64)
-        bounds = np.concatenate([[0], np.cumsum([len(d) // 4 for d in docs])]).astype("<u8")
-        n_null = int(null.sum())  # they come first
-        uniq, first, count = np.unique(own[n_null:].view(np.uint64), return_index=True, return_counts=True)
+class Index:
+    """What ``.idx`` holds: perfect hash, slots, and the place of each document's ids."""
+
+    def __init__(self, n_null: int, mph: PerfectHash, slots: np.ndarray, bounds: np.ndarray):
+        self.n_null, self.hash, self.slots, self.bounds = n_null, mph, slots, bounds
+
+    @classmethod
+    def build(cls, keys: np.ndarray, n_null: int, sizes: np.ndarray) -> Index:
+        """Of documents in key order; the first ``n_null`` have no key."""
+        uniq, first, count = np.unique(keys[n_null:].astype(np.int64).view(np.uint64), return_index=True, return_counts=True)
         mph = PerfectHash.build(uniq)
-        slots = np.zeros(mph.size, dtype=Block.SLOT)
+        slots = np.zeros(mph.size, dtype=SLOT)
         at = mph.slots(uniq)
-        slots["fingerprint"][at] = (mix(uniq, FINGERPRINT_SEED) >> np.uint64(32)).astype(np.uint32)
-        slots["first"][at] = first + n_null
-        slots["docs"][at] = count
-        head = MAGIC + struct.pack("<II", len(keys), n_null)
-        return head + mph.dump() + slots.tobytes() + own.astype("<i8").tobytes() + bounds.tobytes(), b"".join(docs)
+        slots["fingerprint"][at], slots["first"][at], slots["docs"][at] = _fingerprints(uniq), first + n_null, count
+        return cls(n_null, mph, slots, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+
+    def dump(self) -> bytes:
+        return MAGIC + struct.pack("<QQ", len(self.bounds) - 1, self.n_null) + self.hash.dump() + self.slots.tobytes() + self.bounds.astype("<u8").tobytes()
 
     @classmethod
-    def open(cls, index: bytes, payload: bytes) -> Block:
-        if bytes(index[:4]) != MAGIC:
-            raise ValueError("not a token block")
-        n, n_null = struct.unpack_from("<II", index, 4)
-        mph, used = PerfectHash.load(memoryview(index)[12:])
-        at = 12 + used
-        slots = np.frombuffer(index, cls.SLOT, mph.size, at)
-        at += slots.nbytes
-        keys = np.frombuffer(index, "<i8", n, at)
-        bounds = np.frombuffer(index, "<u8", n + 1, at + 8 * n).astype(np.int64)
-        return cls(keys, np.arange(n) < n_null, bounds, mph, slots, memoryview(payload))
+    def load(cls, raw: bytes) -> Index:
+        if raw[:4] != MAGIC:
+            raise ValueError("not a token index")
+        n, n_null = struct.unpack_from("<QQ", raw, 4)
+        mph, used = PerfectHash.load(memoryview(raw)[20:])
+        slots = np.frombuffer(raw, SLOT, mph.size, 20 + used)
+        return cls(n_null, mph, slots, np.frombuffer(raw, "<u8", n + 1, 20 + used + slots.nbytes).astype(np.int64))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ordinal of the first document, number of documents) of each key; number 0 where absent."""
         keys = np.asarray(keys, dtype=np.int64).view(np.uint64)
         at = self.hash.slots(keys)
         ok = at >= 0
-        ok[ok] = self.slots["fingerprint"][at[ok]] == (mix(keys[ok], FINGERPRINT_SEED) >> np.uint64(32)).astype(np.uint32)
+        ok[ok] = self.slots["fingerprint"][at[ok]] == _fingerprints(keys[ok])
         first, docs = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         first[ok], docs[ok] = self.slots["first"][at[ok]], self.slots["docs"][at[ok]]
-        ok[ok] = self.keys[first[ok]].view(np.uint64) == keys[ok]  # a stranger may share a fingerprint
-        docs[~ok] = 0
         return first, docs
 
-    def document(self, ordinal: int) -> memoryview:
-        return self.ids[4 * int(self.bounds[ordinal]) : 4 * int(self.bounds[ordinal + 1])]
+
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+class Shard:
+    """One written shard, opened: the index in memory, the ids left where they are."""
+
+    def __init__(self, stem: str):
+        store, at = _store(stem)
+        with store.open_input_file(at + ".idx") as f:
+            self.index = Index.load(f.read())
+        self.ids = store.open_input_file(at + ".ids")
+        self._store, self._at = store, at
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of every document with ``key``: one read of their own bytes."""
+        first, docs = (int(x[0]) for x in self.index.find(np.array([key])))
+        bounds = self.index.bounds[first : first + docs + 1].tolist()
+        raw = self.ids.read_at(4 * (bounds[-1] - bounds[0]), 4 * bounds[0]) if docs else b""
+        return [np.frombuffer(raw, "<u4", y - x, 4 * (x - bounds[0])) for x, y in zip(bounds, bounds[1:])] if docs else []
+
+    def keys(self) -> np.ndarray:
+        with self._store.open_input_file(self._at + ".keys") as f:
+            return np.frombuffer(f.read(), "<i8")
+
+    def documents(self, ordinals: np.ndarray) -> Iterator[bytes]:
+        """The ids' bytes of documents, read ``READ_BYTES`` at a time where they follow each other."""
+        held, low = b"", 0
+        for i in ordinals.tolist():
+            a, b = 4 * int(self.index.bounds[i]), 4 * int(self.index.bounds[i + 1])
+            if a < low or b > low + len(held):
+                low, held = a, self.ids.read_at(max(b - a, min(READ_BYTES, 4 * int(self.index.bounds[-1]) - a)), a)
+            yield held[a - low : b - low]
+
+    def close(self) -> None:
+        self.ids.close()
 
 
-BLOCK_SCHEMA = "shard int, block int, first_start long, n_docs long, n_tokens long, first_key long, last_key long, index binary, payload binary"
+DIRECTORY = "shard int, stem string, n_docs long, n_tokens long, first_key long, last_key long"
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
-    """Encode ``docs`` and write the blocks, ascending in ``key`` through shards and blocks."""
+    """Encode ``docs`` and write shards ascending in ``key`` below ``path``, with their directory."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64("text")
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.withColumn("tie", tie).repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie")
+    # the last two only part rows of one key, however many there are
+    order = ["key", "tie", "place"]
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order)
     rows = rows.select("key", "text", F.spark_partition_id().alias("shard"))
-    names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
+    names = [x.split()[0] for x in DIRECTORY.split(", ")]
     end = struct.pack("<I", END_ID)
+    folder = f"{path}/shards"
+    _store(folder)[0].create_dir(_store(folder)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_tokenizer(tokenizer)
-        keys: list[int | None] = []
-        docs_: list[bytes] = []
-        size = block = start = 0
-        shard = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal keys, docs_, size, block, start
-            index, payload = Block.pack(keys, docs_)
-            known = [k for k in keys if k is not None] or [None]
-            row = [shard, block, start, len(keys), size, known[0], known[-1], index, payload]
-            start, block = start + size, block + 1
-            keys, docs_, size = [], [], 0
-            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
-
+        keys: list[np.ndarray] = []
+        sizes: list[int] = []
+        n_null = 0
+        shard = out = None
         for b in batches:
-            if b.num_rows:
+            if not b.num_rows:
+                continue
+            if out is None:
                 shard = b.column(2)[0].as_py()
+                stem = f"{folder}/{shard:06}-{uuid.uuid4().hex}"
+                store, at = _store(stem)
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                out = store.open_output_stream(at + ".ids", compression=None, buffer_size=1 << 20)
+            n_null += b.column(0).null_count
+            keys.append(b.column(0).fill_null(0).to_numpy())
             texts = b.column(1)
-            for k, raw in zip(b.column(0).to_pylist(), encoder.encode_all(t.as_py() for t in texts), strict=True):
-                keys.append(k)
-                docs_.append(raw + end)
-                size += len(raw) // 4 + 1
-                if size >= BLOCK_TOKENS:
-                    yield close()
-        if keys:
-            yield close()
-
-    rows.mapInArrow(run, BLOCK_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BLOCK_SCHEMA).parquet(path)
-
-
-def shard_starts(spark: SparkSession, path: str) -> DataFrame:
-    """shard, shard_start: ids before each shard. One row for each task that wrote."""
-    totals = read_index(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.sum("n_docs").alias("d"))
-    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("shard_start"))
+            for raw in encoder.encode_all(t.as_py() for t in texts):
+                out.write(raw + end)
+                sizes.append(len(raw) // 4 + 1)
+        if out is None:
+            return
+        out.close()
+        own = np.concatenate(keys)
+        index = Index.build(own, n_null, np.array(sizes, dtype=np.int64))
+        for kind, raw in ((".idx", index.dump()), (".keys", own.astype("<i8").tobytes())):
+            with store.open_output_stream(at + kind, compression=None) as f:
+                f.write(raw)
+        known = own[n_null:].tolist() or [None]
+        row = [shard, stem, len(own), int(index.bounds[-1]), known[0], known[-1]]
+        kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+    rows.mapInArrow(run, DIRECTORY).write.mode("overwrite").parquet(f"{path}/directory")
+
+
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each shard."""
+    return spark.read.schema(DIRECTORY).parquet(f"{path}/directory")
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each document, read from the blocks by keyed access through the perfect hash:
+    """One row for each document, read from the files by keyed access through the perfect hash:
     doc_id, start, n_tokens, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, first_start, index, payload in zip(*(b.column(i) for i in range(4)), strict=True):
-                block = Block.open(index.as_py(), payload.as_py())
-                n_null = int(block.null.sum())
-                first, docs = block.find(np.unique(block.keys[n_null:]))
-                order = [*range(n_null), *(i for f, d in zip(first.tolist(), docs.tolist(), strict=True) for i in range(f, f + d))]
-                at = np.array(order, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(at), shard.as_py(), np.int32)),
-                        pa.array(block.keys[at], pa.int64(), mask=block.null[at]),
-                        pa.array(block.bounds[at] + first_start.as_py()),
-                        pa.array(block.bounds[at + 1] - block.bounds[at]),
-                        pa.array([zlib.crc32(block.document(i)) for i in order], pa.int64()),
-                    ],
-                    names=["shard", "doc_id", "own_start", "n_tokens", "ids_crc32"],
-                )
-
-    blocks = read_index(spark, path).select("shard", "first_start", "index", "payload")
-    rows = blocks.mapInArrow(run, "shard int, doc_id long, own_start long, n_tokens long, ids_crc32 long")
-    # as many rows as tasks wrote: bounded by the number of partitions
-    rows = rows.join(F.broadcast(shard_starts(spark, path)), "shard")
-    return rows.select("doc_id", (F.col("own_start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+            for stem, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                shard = Shard(stem)
+                index, keys = shard.index, shard.keys()
+                known = keys[index.n_null :]
+                distinct = known[np.r_[True, known[1:] != known[:-1]]] if len(known) else known
+                first, docs = index.find(distinct)
+                # each document of a key, then the next key's
+                order = np.repeat(first - np.r_[0, np.cumsum(docs)[:-1]], docs) + np.arange(docs.sum()) if len(docs) else first
+                order = np.concatenate([np.arange(index.n_null), order]).astype(np.int64)
+                ids = np.concatenate([np.zeros(index.n_null, np.int64), np.repeat(distinct, docs)])
+                for at in range(0, len(order), 20_000):
+                    some = order[at : at + 20_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids[at : at + 20_000], pa.int64(), mask=np.arange(at, at + len(some)) < index.n_null),
+                            pa.array(index.bounds[some] + before),
+                            pa.array(index.bounds[some + 1] - index.bounds[some]),
+                            pa.array([zlib.crc32(x) for x in shard.documents(some)], pa.int64()),
+                        ],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
+                shard.close()
+
+    # a row for each task that wrote: bounded by the number of partitions
+    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = directory(spark, path).select("stem", "shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return shards.repartition(n, "shard").select("stem", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, path: str, key: int) -> list[np.ndarray]:
-    """The ids of every document with ``key``; the block directory prunes to the blocks that can hold it."""
-    blocks = read_index(spark, path).where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("shard", "block")
+    """The ids of every document with ``key``. The directory prunes to the shards that can hold it: one,
+    or those over which the documents of one key are spread."""
     out = []
-    for r in blocks.select("index", "payload").toLocalIterator():
-        block = Block.open(bytes(r["index"]), bytes(r["payload"]))
-        first, docs = block.find(np.array([key]))
-        out += [np.frombuffer(block.document(int(first[0]) + i), "<u4") for i in range(int(docs[0]))]
+    for r in directory(spark, path).where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("shard").select("stem").toLocalIterator():
+        shard = Shard(r["stem"])
+        out += shard.get(key)
+        shard.close()
     return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-shards")
     write_shards(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    remove_at_exit(spark, path)
     return read_back(spark, path)

@@ -108,10 +108,9 @@ def test_small_chunk_table_changes_nothing(monkeypatch, piece_model, odd_rows):
     assert [x.tolist() for x in sentencepieces.ChunkEncoder(piece_model).encode_all(texts)] == whole
 
 
-def test_shards_read_back(spark, odd, none, odd_rows, tmp_path, monkeypatch):
+def test_shards_read_back(spark, odd, none, odd_rows, tmp_path):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_shards, "BLOCK_TOKENS", 50)
     t = Tokenizer.from_file(token_shards.tokenizer_path())
     path = f"file://{tmp_path}/shards"
     token_shards.write_shards(odd, path, token_shards.tokenizer_path(), partitions=3)
@@ -140,10 +139,30 @@ def test_perfect_hash_is_minimal_and_rejects_strangers():
     assert sorted(mph.slots(keys).tolist()) == list(range(len(keys)))
     again, _ = token_shards.PerfectHash.load(memoryview(mph.dump()))
     assert (again.slots(keys) == mph.slots(keys)).all()
-    index, payload = token_shards.Block.pack(keys.view(np.int64).tolist(), [b"\1\0\0\0"] * len(keys))
-    block = token_shards.Block.open(index, payload)
-    assert block.find(keys.view(np.int64))[1].all()
-    assert not block.find(np.arange(1000))[1].any()
+    own = np.sort(keys.view(np.int64))
+    index = token_shards.Index.load(token_shards.Index.build(own, 0, np.ones(len(own), np.int64)).dump())
+    assert index.find(own)[1].all()
+    assert not index.find(np.arange(1000))[1].any()
+    assert index.bounds[index.find(own)[0]].tolist() == list(range(len(own)))
+
+
+def test_shard_reads_only_the_bytes_of_its_document(spark, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i % 7)) for i in range(500)], "doc_id long, text string")
+    token_shards.write_shards(docs, path, token_shards.tokenizer_path(), partitions=1)
+    (row,) = token_shards.directory(spark, path).collect()
+    shard = token_shards.Shard(row.stem)
+    reads, real = [], shard.ids
+
+    class Watched:
+        def read_at(self, n, at):
+            reads.append(n)
+            return real.read_at(n, at)
+
+    shard.ids = Watched()
+    (ids,) = shard.get(340)
+    assert reads == [4 * len(ids)] and len(ids) > 1
+    assert shard.get(10_000) == [] and len(reads) == 1
 
 
 def test_piecewise_tokens_equal_the_library():
@@ -152,7 +171,7 @@ def test_piecewise_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
     e, t = token_shards.ChunkTokenizer(token_shards.tokenizer_path()), Tokenizer.from_file(token_shards.tokenizer_path())
-    rng, parts = random.Random(5), [" ", "  ", "\n", "\t", "a", "The", "é", "　", "'s", "<|endoftext|>", "日本", "\r", "🙂", "12", ".", "\x1c", "\x85", "​"]
+    rng, parts = random.Random(5), [" ", "  ", "\n", "\t", "a", "The", "é", "　", "'s", "<|endoftext|>", "日本", "\r", "🙂", "12", ".", "'", "ll", "²", "Ж", "½x", "<|", "\x1c", "\x85", "​"]
     for _ in range(1500):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
         assert np.frombuffer(next(e.encode_all([s])), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
