@@ -109,7 +109,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     colour from which that node can be reached are its component. They go, and the rest, cut at the
     colours, is done again. Tables stay as large as the edges.
     """
-    all_edges = edges.select("a", "b").distinct()
+    all_edges = settle(edges.select("a", "b").distinct())
     alone = all_edges.where("a = b").select(F.col("a").alias("root"), F.col("a").alias("node"))
     left = _cyclic(all_edges.where("a <> b"))
     parts = [alone]
