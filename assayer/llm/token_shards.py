@@ -3,7 +3,8 @@
 Documents are encoded in ascending key order. Every task writes one shard, three raw files beside each
 other in the shared folder:
 
-* ``.ids``: little-endian unsigned 32-bit ids, one end id after each document, nothing else;
+* ``.ids``: little-endian unsigned ids, one end id after each document, nothing else; an id has 16 bits
+  where the vocabulary fits them, else 32;
 * ``.idx``: a minimal perfect hash over the shard's distinct keys; a key's slot stores a 32-bit
   fingerprint of the key, the ordinal of its first document and how many documents carry the key; then
   the place of each document's ids. Keys are not stored: the fingerprint alone tells a stranger, and it
@@ -108,6 +109,8 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.form = {2: "H", 4: "I"}[self.width]
         self.letters = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pre_tokens = _Remembered(self._merged)
@@ -115,7 +118,7 @@ class ChunkTokenizer:
 
     def _merged(self, pre_token: str) -> bytes:
         ids = [t.id for t in self.merge(pre_token.encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}{self.form}", *ids)
 
     def _common(self, piece: str) -> bytes:
         """Ids of a piece of common characters that holds no special token."""
@@ -125,7 +128,7 @@ class ChunkTokenizer:
 
     def _any(self, piece: str) -> bytes:
         if _UNCOMMON.search(piece) or any(s in piece for s in self.special):
-            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
         return self._common(piece)
 
     def encode(self, text: str | None) -> bytes:
@@ -221,32 +224,32 @@ def _fingerprints(keys: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """What ``.idx`` holds: perfect hash, slots, and the place of each document's ids."""
+    """What ``.idx`` holds: bytes of an id, perfect hash, slots, and the place of each document's ids."""
 
-    def __init__(self, n_null: int, mph: PerfectHash, slots: np.ndarray, bounds: np.ndarray):
-        self.n_null, self.hash, self.slots, self.bounds = n_null, mph, slots, bounds
+    def __init__(self, width: int, n_null: int, mph: PerfectHash, slots: np.ndarray, bounds: np.ndarray):
+        self.width, self.n_null, self.hash, self.slots, self.bounds = width, n_null, mph, slots, bounds
 
     @classmethod
-    def build(cls, keys: np.ndarray, n_null: int, sizes: np.ndarray) -> Index:
+    def build(cls, keys: np.ndarray, n_null: int, sizes: np.ndarray, width: int = 4) -> Index:
         """Of documents in key order; the first ``n_null`` have no key."""
         uniq, first, count = np.unique(keys[n_null:].astype(np.int64).view(np.uint64), return_index=True, return_counts=True)
         mph = PerfectHash.build(uniq)
         slots = np.zeros(mph.size, dtype=SLOT)
         at = mph.slots(uniq)
         slots["fingerprint"][at], slots["first"][at], slots["docs"][at] = _fingerprints(uniq), first + n_null, count
-        return cls(n_null, mph, slots, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+        return cls(width, n_null, mph, slots, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
 
     def dump(self) -> bytes:
-        return MAGIC + struct.pack("<QQ", len(self.bounds) - 1, self.n_null) + self.hash.dump() + self.slots.tobytes() + self.bounds.astype("<u8").tobytes()
+        return MAGIC + struct.pack("<IQQ", self.width, len(self.bounds) - 1, self.n_null) + self.hash.dump() + self.slots.tobytes() + self.bounds.astype("<u8").tobytes()
 
     @classmethod
     def load(cls, raw: bytes) -> Index:
         if raw[:4] != MAGIC:
             raise ValueError("not a token index")
-        n, n_null = struct.unpack_from("<QQ", raw, 4)
-        mph, used = PerfectHash.load(memoryview(raw)[20:])
-        slots = np.frombuffer(raw, SLOT, mph.size, 20 + used)
-        return cls(n_null, mph, slots, np.frombuffer(raw, "<u8", n + 1, 20 + used + slots.nbytes).astype(np.int64))
+        width, n, n_null = struct.unpack_from("<IQQ", raw, 4)
+        mph, used = PerfectHash.load(memoryview(raw)[24:])
+        slots = np.frombuffer(raw, SLOT, mph.size, 24 + used)
+        return cls(width, n_null, mph, slots, np.frombuffer(raw, "<u8", n + 1, 24 + used + slots.nbytes).astype(np.int64))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ordinal of the first document, number of documents) of each key; number 0 where absent."""
@@ -276,22 +279,24 @@ class Shard:
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of every document with ``key``: one read of their own bytes."""
         first, docs = (int(x[0]) for x in self.index.find(np.array([key])))
-        bounds = self.index.bounds[first : first + docs + 1].tolist()
-        raw = self.ids.read_at(4 * (bounds[-1] - bounds[0]), 4 * bounds[0]) if docs else b""
-        return [np.frombuffer(raw, "<u4", y - x, 4 * (x - bounds[0])) for x, y in zip(bounds, bounds[1:])] if docs else []
+        if not docs:
+            return []
+        w, bounds = self.index.width, self.index.bounds[first : first + docs + 1].tolist()
+        raw = self.ids.read_at(w * (bounds[-1] - bounds[0]), w * bounds[0])
+        return [np.frombuffer(raw, f"<u{w}", y - x, w * (x - bounds[0])).astype("<u4") for x, y in zip(bounds, bounds[1:])]
 
     def keys(self) -> np.ndarray:
         with self._store.open_input_file(self._at + ".keys") as f:
             return np.frombuffer(f.read(), "<i8")
 
-    def documents(self, ordinals: np.ndarray) -> Iterator[bytes]:
-        """The ids' bytes of documents, read ``READ_BYTES`` at a time where they follow each other."""
-        held, low = b"", 0
-        for i in ordinals.tolist():
-            a, b = 4 * int(self.index.bounds[i]), 4 * int(self.index.bounds[i + 1])
+    def documents(self, ordinals: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of documents, read ``READ_BYTES`` at a time where they follow each other."""
+        w, held, low = self.index.width, b"", 0
+        last = w * int(self.index.bounds[-1])
+        for a, b in zip((w * self.index.bounds[ordinals]).tolist(), (w * self.index.bounds[ordinals + 1]).tolist(), strict=True):
             if a < low or b > low + len(held):
-                low, held = a, self.ids.read_at(max(b - a, min(READ_BYTES, 4 * int(self.index.bounds[-1]) - a)), a)
-            yield held[a - low : b - low]
+                low, held = a, self.ids.read_at(max(b - a, min(READ_BYTES, last - a)), a)
+            yield np.frombuffer(held, f"<u{w}", (b - a) // w, a - low).astype("<u4")
 
     def close(self) -> None:
         self.ids.close()
@@ -310,12 +315,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     rows = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order)
     rows = rows.select("key", "text", F.spark_partition_id().alias("shard"))
     names = [x.split()[0] for x in DIRECTORY.split(", ")]
-    end = struct.pack("<I", END_ID)
     folder = f"{path}/shards"
     _store(folder)[0].create_dir(_store(folder)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_tokenizer(tokenizer)
+        end = struct.pack("<" + encoder.form, END_ID)
         keys: list[np.ndarray] = []
         sizes: list[int] = []
         n_null = 0
@@ -334,12 +339,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
             texts = b.column(1)
             for raw in encoder.encode_all(t.as_py() for t in texts):
                 out.write(raw + end)
-                sizes.append(len(raw) // 4 + 1)
+                sizes.append(len(raw) // encoder.width + 1)
         if out is None:
             return
         out.close()
         own = np.concatenate(keys)
-        index = Index.build(own, n_null, np.array(sizes, dtype=np.int64))
+        index = Index.build(own, n_null, np.array(sizes, dtype=np.int64), encoder.width)
         for kind, raw in ((".idx", index.dump()), (".keys", own.astype("<i8").tobytes())):
             with store.open_output_stream(at + kind, compression=None) as f:
                 f.write(raw)
