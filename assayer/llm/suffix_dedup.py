@@ -8,7 +8,9 @@ Suffix buckets. Within the first ``WINDOW`` positions after a start lies one wit
 strings have equal k and equal text from the anchor on: starts can only be equal within one bucket,
 keyed by the ``LENGTH - WINDOW + 1`` bytes after the anchor. Neighbouring starts with one anchor are
 a run, and a bucket holds runs. A bucket of one run repeats nothing. A bucket whose runs have equal
-text throughout repeats all of it. The others are sorted.
+text throughout repeats all of it. The others are sorted. Runs are of equal text if two independent
+64-bit hashes of their bytes (polynomial, and XXH3) and their places agree: 128 bits, as the texts of
+equal runs are not brought together.
 
 Sorting. Runs of equal text are one member with a weight. For a block of buckets the ranks of the
 suffixes at a difference cover (period 31: for any two positions some distance below 31 brings both
@@ -16,11 +18,11 @@ into the cover) are computed first, by doubling; then the suffixes of one bucket
 sorted by their bytes before the next cover position, and ties are resolved by the cover rank
 there. Equal strings end up side by side. A task holds one block, whatever the length of the ties.
 
-A bucket of more than ``BUCKET_RUNS`` runs (a passage in very many documents) is not gathered: its
-strings are counted by 128-bit hash, summed before the shuffle; a string is repeated if its weight is
-two or more.
+A bucket of more than ``BUCKET_RUNS`` runs (a passage in very many documents) would not fit one task:
+its strings are counted by a 128-bit hash, summed before the shuffle, and a string is repeated if its
+weight is two or more. Both ways find the same strings.
 
-Defined results: null and empty texts have no bytes and lose none; texts shorter than ``LENGTH`` lose
+Defined results: the kept bytes, as text, have U+FFFD where a cut goes through a character; null and empty texts have no bytes and lose none; texts shorter than ``LENGTH`` lose
 none; repeated rows are repeats of each other, whatever their ids; a null id is kept; an empty table
 gives an empty table.
 """
@@ -32,10 +34,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import encode, materialise, table
+from assayer.llm.common import encode, materialise, pieces, table
 
 LENGTH = 400
 WINDOW = 256
@@ -93,11 +96,12 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def find_runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Runs of the starts of each piece: (piece, first start, anchor, last start, bucket, text hash).
-    Pieces together must fit a ``Roller``."""
+    """Runs of the starts of each piece: (piece, first start, anchor, last start, bucket, two hashes of
+    the text). Pieces together must fit a ``Roller``."""
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     ends = np.cumsum(sizes)
-    octets = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    raw = b"".join(pieces)
+    octets = np.frombuffer(raw, dtype=np.uint8)
     n = len(octets)
     roller = Roller(octets)
     place = np.arange(n - GRAM + 1, dtype=np.int64)
@@ -115,8 +119,10 @@ def find_runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     bucket = roller.hash(mid, CORE)
     text = roller.hash(low, high - low + LENGTH)
     text = _finish(text ^ ((mid - low).astype(np.uint64) << np.uint64(20)) ^ (high - low).astype(np.uint64))
+    view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
+    more = np.fromiter((digest(view[a:b]) for a, b in zip(low.tolist(), (high + LENGTH).tolist(), strict=True)), dtype=np.uint64, count=len(low))
     base = (ends - sizes)[own]
-    return own, low - base, mid - base, high - base, bucket, text
+    return own, low - base, mid - base, high - base, bucket, text, more
 
 
 def runs_of(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -125,9 +131,9 @@ def runs_of(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     size = 0
 
     def done() -> tuple[np.ndarray, ...]:
-        own, low, mid, high, bucket, text = find_runs([p for _, _, p in group])
+        own, low, mid, high, bucket, text, more = find_runs([p for _, _, p in group])
         base = np.array([b for _, b, _ in group], dtype=np.int64)[own]
-        return np.array([i for i, _, _ in group], dtype=np.int64)[own], low + base, mid + base, high + base, bucket, text
+        return np.array([i for i, _, _ in group], dtype=np.int64)[own], low + base, mid + base, high + base, bucket, text, more
 
     for i, t in enumerate(texts):
         for at in range(0, len(t) - LENGTH + 1, SEGMENT):
@@ -204,7 +210,7 @@ def repeated_starts(buckets: np.ndarray, distance: np.ndarray, runs: np.ndarray,
     return np.split(again, np.cumsum(runs)[:-1])
 
 
-RUNS = "id long, th long, place long, bucket long, text_hash long"
+RUNS = "id long, th long, place long, bucket long, text_hash long, more_hash long"
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 #: A run's place: first start, then distance of the anchor and of the last start in ten bits each.
 _LOW, _MID, _BITS = 20, 10, 1023
@@ -218,83 +224,80 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for own, low, mid, high, bucket, text in runs_of(encode(t.as_py()) for t in b.column(2)):
-            yield _batch(RUNS, [ids[own], ths[own], low << _LOW | (mid - low) << _MID | (high - low), bucket.view(np.int64), text.view(np.int64)])
+        for own, low, mid, high, bucket, text, more in runs_of(encode(t.as_py()) for t in b.column(2)):
+            yield _batch(RUNS, [ids[own], ths[own], low << _LOW | (mid - low) << _MID | (high - low), bucket.view(np.int64), text.view(np.int64), more.view(np.int64)])
 
 
 STATE = (
-    "doc_id long, id long, th long, n_bytes long, removed array<struct<first:long,end:long>>, kept binary, text string, pure array<struct<low:long,high:long>>, "
-    "mixed array<struct<place:long,bucket:long,text_hash:long>>, members array<struct<bucket:long,text_hash:long,n:long,weight:long,distance:int,runs:int,slice:binary>>"
+    "doc_id long, id long, th long, n_bytes long, removed array<struct<first:long,end:long>>, kept_sha256 string, kept string, text string, pure array<struct<low:long,high:long>>, "
+    "mixed array<struct<place:long,bucket:long,text_hash:long,more_hash:long>>, members array<struct<bucket:long,text_hash:long,more_hash:long,n:long,weight:long,distance:int,runs:int,slice:binary>>"
 )
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 _PURE = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-_MIXED = pa.list_(pa.struct([("place", pa.int64()), ("bucket", pa.int64()), ("text_hash", pa.int64())]))
-_MEMBERS = pa.list_(pa.struct([("bucket", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("weight", pa.int64()), ("distance", pa.int32()), ("runs", pa.int32()), ("slice", pa.binary())]))
+_MIXED = pa.list_(pa.struct([("place", pa.int64()), ("bucket", pa.int64()), ("text_hash", pa.int64()), ("more_hash", pa.int64())]))
+_MEMBERS = pa.list_(pa.struct([("bucket", pa.int64()), ("text_hash", pa.int64()), ("more_hash", pa.int64()), ("n", pa.int64()), ("weight", pa.int64()), ("distance", pa.int32()), ("runs", pa.int32()), ("slice", pa.binary())]))
 
 
-def _begin(digest: bool):
+def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with what the buckets say of them: finished where no run must be sorted, else kept with
     the text slices that this document lends to its buckets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, removed, kept, text, pure, mixed, members = ([] for _ in range(7))
-            for t, told in zip(b.column("text"), b.column("told"), strict=True):
-                raw = encode(t.as_py())
-                rows = told.as_py() or []
-                place = lambda r: (r["place"] >> _LOW, r["place"] >> _MID & _BITS, r["place"] & _BITS)
-                whole = [{"low": (q := place(r))[0], "high": q[0] + q[2]} for r in rows if r["kind"] == 0]
-                some = [{k: r[k] for k in ("place", "bucket", "text_hash")} for r in rows if r["kind"] == 1]
-                lent = []
-                for r in rows:
-                    if r["kind"] == 2:
-                        low, distance, last = place(r)
-                        lent.append({**{k: r[k] for k in ("bucket", "text_hash", "n", "weight")}, "distance": distance, "runs": last + 1, "slice": raw[low : low + last + LENGTH]})
-                n.append(len(raw))
-                done = not some and not lent
-                spans = _merge(whole) if done else None
-                removed.append(spans)
-                kept.append(_digest(_keep(raw, spans), digest) if done else None)
-                text.append(None if done else t.as_py())
-                pure.append(None if done else whole)
-                mixed.append(None if done else some)
-                members.append(lent or None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("id"), b.column("th"), pa.array(n, pa.int64()), pa.array(removed, _SPANS), pa.array(kept, pa.binary()), pa.array(text, pa.string()), pa.array(pure, _PURE), pa.array(mixed, _MIXED), pa.array(members, _MEMBERS)],
-                names=["doc_id", "id", "th", "n_bytes", "removed", "kept", "text", "pure", "mixed", "members"],
-            )
-
-    return run
-
-
-def _end(digest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            removed, kept = [], []
-            for t, pure, parts in zip(*(b.column(c) for c in ("text", "pure", "parts")), strict=True):
-                raw = encode(t.as_py())
-                spans = list(pure.as_py() or [])
-                for x in parts.as_py() or []:
-                    low = x["place"] >> _LOW
-                    spans += [{"low": low + p, "high": low + p} for p in x["again"]]
-                removed.append(_merge(spans))
-                kept.append(_digest(_keep(raw, removed[-1]), digest))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, _SPANS), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
-
-    return run
+    for b in pieces(batches):
+        n, removed, hashes, kept, text, pure, mixed, members = ([] for _ in range(8))
+        for t, told in zip(b.column("text"), b.column("told"), strict=True):
+            raw = encode(t.as_py())
+            rows = told.as_py() or []
+            place = lambda r: (r["place"] >> _LOW, r["place"] >> _MID & _BITS, r["place"] & _BITS)
+            whole = [{"low": (q := place(r))[0], "high": q[0] + q[2]} for r in rows if r["kind"] == 0]
+            some = [{k: r[k] for k in ("place", "bucket", "text_hash", "more_hash")} for r in rows if r["kind"] == 1]
+            lent = []
+            for r in rows:
+                if r["kind"] == 2:
+                    low, distance, last = place(r)
+                    lent.append({**{k: r[k] for k in ("bucket", "text_hash", "more_hash", "n", "weight")}, "distance": distance, "runs": last + 1, "slice": raw[low : low + last + LENGTH]})
+            n.append(len(raw))
+            done = not some and not lent
+            spans = _merge(whole) if done else None
+            removed.append(spans)
+            made = _kept(raw, spans) if done else (None, None)
+            hashes.append(made[0])
+            kept.append(made[1])
+            text.append(None if done else t.as_py())
+            pure.append(None if done else whole)
+            mixed.append(None if done else some)
+            members.append(lent or None)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("id"), b.column("th"), pa.array(n, pa.int64()), pa.array(removed, _SPANS), pa.array(hashes, pa.string()), pa.array(kept, pa.string()), pa.array(text, pa.string()), pa.array(pure, _PURE), pa.array(mixed, _MIXED), pa.array(members, _MEMBERS)],
+            names=["doc_id", "id", "th", "n_bytes", "removed", "kept_sha256", "kept", "text", "pure", "mixed", "members"],
+        )
+
+
+def _end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches):
+        removed, hashes, kept = [], [], []
+        for t, pure, parts in zip(*(b.column(c) for c in ("text", "pure", "parts")), strict=True):
+            raw = encode(t.as_py())
+            spans = list(pure.as_py() or [])
+            for x in parts.as_py() or []:
+                low = x["place"] >> _LOW
+                spans += [{"low": low + p, "high": low + p} for p in x["again"]]
+            removed.append(_merge(spans))
+            made = _kept(raw, removed[-1])
+            hashes.append(made[0])
+            kept.append(made[1])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, _SPANS), pa.array(hashes, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "removed", "kept_sha256", "kept"])
 
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; a block is whole buckets."""
-    names = ["bucket", "text_hash", "weight", "distance", "runs", "slice"]
+    names = ["bucket", "text_hash", "more_hash", "weight", "distance", "runs", "slice"]
     held: list[tuple] = []
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({(r[0], r[1]): r for r in rows}.values())  # repeated rows gave their slice twice
+        rows = list({r[:3]: r for r in rows}.values())  # repeated rows gave their slice twice
         columns = list(zip(*rows, strict=True))
-        found = repeated_starts(np.array(columns[0]), np.array(columns[3], dtype=np.int64), np.array(columns[4], dtype=np.int64), np.array(columns[2]), list(columns[5]))
+        found = repeated_starts(np.array(columns[0]), np.array(columns[4], dtype=np.int64), np.array(columns[5], dtype=np.int64), np.array(columns[3]), list(columns[6]))
         again = pa.array([np.flatnonzero(x).tolist() for x in found], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), again], names=["bucket", "text_hash", "again"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), again], names=["bucket", "text_hash", "more_hash", "again"])
 
     for b in batches:
         for row in zip(*(b.column(n).to_pylist() for n in names), strict=True):
@@ -307,15 +310,16 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _repeated_members(members: DataFrame) -> DataFrame:
-    """(bucket, text_hash, again): the repeated starts of each member's run."""
-    small = members.where(F.col("n") <= BUCKET_RUNS).select("bucket", "text_hash", "weight", "distance", "runs", "slice")
-    small = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_blocks, "bucket long, text_hash long, again array<int>")
+    """(bucket, text_hash, more_hash, again): the repeated starts of each member's run."""
+    small = members.where(F.col("n") <= BUCKET_RUNS).select("bucket", "text_hash", "more_hash", "weight", "distance", "runs", "slice")
+    small = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_blocks, "bucket long, text_hash long, more_hash long, again array<int>")
     # large buckets: count the strings themselves
-    large = members.where(F.col("n") > BUCKET_RUNS).dropDuplicates(["bucket", "text_hash"])
+    large = members.where(F.col("n") > BUCKET_RUNS).dropDuplicates(["bucket", "text_hash", "more_hash"])
     string = F.expr(f"substring(slice, p + 1, {LENGTH})")
-    strings = large.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).select("bucket", "text_hash", "weight", "p", (F.col("distance") - F.col("p")).alias("k"), F.xxhash64(string).alias("g"), F.xxhash64(string, F.lit(1)).alias("h"))
+    strings = large.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    strings = strings.select("bucket", "text_hash", "more_hash", "weight", "p", (F.col("distance") - F.col("p")).alias("k"), F.xxhash64(string).alias("g"), F.xxhash64(F.lit(1), string).alias("h"))
     twice = strings.groupBy("bucket", "k", "g", "h").agg(F.sum("weight").alias("w")).where("w > 1").drop("w")
-    counted = strings.join(twice, ["bucket", "k", "g", "h"], "left_semi").groupBy("bucket", "text_hash").agg(F.collect_list("p").alias("again"))
+    counted = strings.join(twice, ["bucket", "k", "g", "h"], "left_semi").groupBy("bucket", "text_hash", "more_hash").agg(F.collect_list("p").alias("again"))
     return small.unionByName(counted).where(F.size("again") > 0)
 
 
@@ -343,36 +347,42 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(i, F.lit(-1)).alias("id"), F.xxhash64(i.isNull(), t).alias("th"), i.alias("doc_id"), t.alias("text"))
 
 
-def _digest(raw: bytes, digest: bool) -> bytes:
-    return hashlib.sha256(raw).digest() if digest else raw
+def _kept(raw: bytes, removed: list[dict]) -> tuple[str, str]:
+    """SHA-256 of the remaining bytes, and the bytes as text."""
+    left = _keep(raw, removed)
+    return hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, n_bytes, removed (byte spans) and kept (the remaining bytes, or with ``digest`` their SHA-256).
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, removed (byte spans), kept_sha256 (of the remaining bytes) and kept (those bytes
+    as text).
 
     Texts are exchanged once; only those with a run to be sorted are kept for a second, later join.
     """
     rows = _keyed(docs, doc_id, text)
     runs = materialise(rows.select("id", "th", "text").mapInArrow(_runs, RUNS), "suffix-runs")
-    several = runs.groupBy("bucket").agg(F.count("*").alias("n"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("n > 1")
-    met = materialise(runs.join(several.select("bucket", "n", (F.col("a") != F.col("b")).alias("mixed")), "bucket"), "suffix-buckets")
+    mixed_up = (F.min("text_hash") != F.max("text_hash")) | (F.min("more_hash") != F.max("more_hash"))
+    several = runs.groupBy("bucket").agg(F.count("*").alias("n"), mixed_up.alias("mixed")).where("n > 1")
+    # a table of its own, one row a bucket: the join below is then between exchanges, and a bucket of very
+    # many runs is split among tasks
+    several = materialise(several, "suffix-several")
+    met = materialise(runs.join(several, "bucket"), "suffix-buckets")
     mixed = met.where("mixed")
-    lenders = mixed.groupBy("bucket", "text_hash", "n").agg(F.count("*").alias("weight"), F.min(F.struct("id", "th", "place")).alias("r"))
+    lenders = mixed.groupBy("bucket", "text_hash", "more_hash", "n").agg(F.count("*").alias("weight"), F.min(F.struct("id", "th", "place")).alias("r"))
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    told = (
-        met.select("id", "th", "mixed", F.struct(F.col("mixed").cast("int").alias("kind"), "place", F.when(F.col("mixed"), F.col("bucket")).alias("bucket"), F.when(F.col("mixed"), F.col("text_hash")).alias("text_hash"), none.alias("n"), none.alias("weight")).alias("x")).drop("mixed")
-        .unionByName(lenders.select("r.id", "r.th", F.struct(F.lit(2).alias("kind"), F.col("r.place").alias("place"), "bucket", "text_hash", "n", F.coalesce("weight", zero).alias("weight")).alias("x")))
-        .groupBy("id", "th").agg(F.collect_list("x").alias("told"))
-    )
-    state = materialise(rows.join(told, ["id", "th"], "left").mapInArrow(_begin(digest), STATE), "suffix-state")
+    if_mixed = lambda c: F.when(F.col("mixed"), F.col(c)).alias(c)
+    own = F.struct(F.col("mixed").cast("int").alias("kind"), "place", if_mixed("bucket"), if_mixed("text_hash"), if_mixed("more_hash"), none.alias("n"), none.alias("weight"))
+    lent = F.struct(F.lit(2).alias("kind"), F.col("r.place").alias("place"), "bucket", "text_hash", "more_hash", "n", F.coalesce("weight", zero).alias("weight"))
+    told = met.select("id", "th", own.alias("x")).unionByName(lenders.select("r.id", "r.th", lent.alias("x"))).groupBy("id", "th").agg(F.collect_list("x").alias("told"))
+    state = materialise(rows.join(told, ["id", "th"], "left").mapInArrow(_begin, STATE), "suffix-state")
     again = _repeated_members(state.where("members IS NOT NULL").select(F.inline("members")))
-    parts = state.where("mixed IS NOT NULL").select("id", "th", F.inline("mixed")).join(again, ["bucket", "text_hash"]).groupBy("id", "th").agg(F.collect_list(F.struct("place", "again")).alias("parts"))
+    parts = state.where("mixed IS NOT NULL").select("id", "th", F.inline("mixed")).join(again, ["bucket", "text_hash", "more_hash"]).groupBy("id", "th").agg(F.collect_list(F.struct("place", "again")).alias("parts"))
     open_ = state.where("text IS NOT NULL").select("doc_id", "id", "th", "n_bytes", "text", "pure").join(parts, ["id", "th"], "left")
-    ended = open_.mapInArrow(_end(digest), "doc_id long, n_bytes long, removed array<struct<first:long,end:long>>, kept binary")
-    return state.where("text IS NULL").select("doc_id", "n_bytes", "removed", "kept").unionByName(ended)
+    ended = open_.mapInArrow(_end, "doc_id long, n_bytes long, removed array<struct<first:long,end:long>>, kept_sha256 string, kept string")
+    return state.where("text IS NULL").select("doc_id", "n_bytes", "removed", "kept_sha256", "kept").unionByName(ended)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s.end - s.first)
-    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256", F.col("kept").alias("text"), "removed")
