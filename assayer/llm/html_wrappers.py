@@ -1,22 +1,31 @@
 """Main-text extraction with induced wrappers (operator 1).
 
 A page is a stream of tag and text tokens. Pages of one host are aligned to a wrapper, a union-free
-regular expression over such tokens: ``merge`` walks two expressions side by side, aligns the tags
-that both have (longest common subsequence), makes what only one has an optional group, folds
-neighbours of the same form into a repeated group, and turns texts that differ into a text slot. The
-merge takes pages or wrappers, so a task folds the pages of a host that it reads into one wrapper
-and wrappers of a host are then merged; a hot host sends one row for each task, not its pages.
-
-The host's wrapper then tells which region is the article (an article or main element, else the
-content container with the most variable text), which regions are menus, headers, footers, sidebars,
-notices, adverts, forms or comments, and, without an article, which texts never change. Applied to
-each page, the text slots of the article become blocks.
-
-Defined results: null and empty html give an empty text; a page without the article region of its
-host's wrapper is extracted by the wrapper that it makes alone; a null url or one without host has the host
-"" (one wrapper); repeated pages give repeated rows and count in the wrapper like others; unclosed or
-cut-off markup is closed where the page ends; an empty table gives an empty table. Input columns named
-like output columns are replaced.
+regular expression over such tokens: ``merge`` walks expressions side by side, aligns the tags that
+both have, makes what only one has an optional group, folds neighbours of the same form into a repeated
+group, and turns texts that differ into a text slot. The merge takes pages or wrappers, so a task folds
+the pages of a host that it reads into one wrapper and wrappers of a host are then merged; a hot host
+sends one row for each task, not its pages. Nothing recurses, and an alignment takes memory in
+proportion to its two lists.
+
+``roles`` decides by the host's wrapper alone what is text of the article:
+
+* A slot weighs what its texts have in characters outside links. A text that is one and the same on
+  three different pages or more is constant and weighs nothing; copies of a page are one page.
+* Elements that are by definition no part of an article (nav, footer, aside, form and the like) and
+  containers whose names say so (comments, advert, sidebar and the like) are out, unless they hold the
+  page's title or an article element.
+* The region is the article element, or else the main element, if it holds half of the weight or more.
+  If not, the wrapper is walked down from the page to the one child that holds the content: as long as
+  what stands beside it has hardly any weight and no title.
+* In a region without a name of its own, groups of links that repeat and constant texts are out too.
+
+Applied to each page, what is left of the region becomes blocks.
+
+Defined results: null and empty html give an empty text; a page without the region of its host's
+wrapper is extracted by the wrapper that it makes alone; a null url or one without host has the host
+"" (one wrapper); repeated pages give repeated rows; unclosed or cut-off markup is closed where the
+page ends; an empty table gives an empty table. Input columns named like output columns are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +34,8 @@ import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,6 +50,7 @@ from assayer.llm.common import add_columns, materialise, table
 BROADCAST_BYTES = 32_000_000
 #: Hosts that a task folds at once.
 HOSTS_HELD = 2_000
+MERGED_AT_ONCE = 16
 MERGE_FAN = 32
 
 _TOKEN = re.compile(
@@ -59,38 +71,81 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 BOILER_TAGS = frozenset("head nav header footer aside form script style noscript template iframe svg math select button menu dialog textarea".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements adsense banner banners promo promos promotion sponsor sponsored sponsors nav navbar navigation menu menus "
-    "sidebar sidebars side rail header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay comment comments reply replies respond disqus "
+    "sidebar sidebars rail header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay comment comments reply replies respond disqus "
     "share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription signup login search pagination pager toolbar widget widgets copyright disclaimer skip complementary contentinfo".split()
 )
+#: A name with one of these is about content, whatever else it says.
 MAIN_WORDS = frozenset("article articlebody main content post entry story body text".split())
+#: Elements of text, whose names do not make them a container of something else.
+TEXT_TAGS = frozenset("body html article main p blockquote pre h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody thead figure figcaption address".split())
+TITLE_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: So many different pages with one text make it constant.
+CONSTANT_PAGES = 3
+#: What stands beside the content may weigh this share of it.
+BESIDE = 0.05
+LINK_SHARE = 0.6
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _BLANK = re.compile(r"\s+")
 
 
 @dataclass
 class Node:
-    """An element of a wrapper. ``texts``: pages, total length, least and greatest hash of its own text."""
+    """An element of a wrapper, with what is known of its own texts: how many, their characters, those
+    of them in links, least and greatest hash, and the least numbers of different pages that have one."""
 
     key: str
     optional: bool = False
     repeated: bool = False
-    pages: int = 1
-    texts: tuple[int, int, int, int] = (0, 0, 0, 0)
+    texts: int = 0
+    size: int = 0
+    linked: int = 0
+    low: int = 0
+    high: int = 0
+    pages: tuple[int, ...] = ()
     children: list[Node] = field(default_factory=list)
 
+    def walk(self) -> Iterator[tuple[int, Node]]:
+        """(depth, node) in page order."""
+        stack = [(0, self)]
+        while stack:
+            depth, node = stack.pop()
+            yield depth, node
+            stack += [(depth + 1, c) for c in reversed(node.children)]
+
     def dump(self) -> list:
-        return [self.key, int(self.optional), int(self.repeated), self.pages, list(self.texts), [c.dump() for c in self.children]]
+        return [[d, n.key, int(n.optional), int(n.repeated), n.texts, n.size, n.linked, n.low, n.high, list(n.pages)] for d, n in self.walk()]
 
     @classmethod
-    def load(cls, x: list) -> Node:
-        return cls(x[0], bool(x[1]), bool(x[2]), x[3], tuple(x[4]), [cls.load(c) for c in x[5]])
+    def load(cls, rows: list) -> Node:
+        path: list[Node] = []
+        for depth, key, optional, repeated, texts, size, linked, low, high, pages in rows:
+            node = cls(key, bool(optional), bool(repeated), texts, size, linked, low, high, tuple(pages))
+            del path[depth:]
+            if path:
+                path[-1].children.append(node)
+            path.append(node)
+        return path[0]
+
+    def constant(self) -> bool:
+        return len(self.pages) >= CONSTANT_PAGES and self.low == self.high
+
+    def add_texts(self, other: Node) -> None:
+        if other.texts:
+            self.low, self.high = (min(self.low, other.low), max(self.high, other.high)) if self.texts else (other.low, other.high)
+            self.texts, self.size, self.linked = self.texts + other.texts, self.size + other.size, self.linked + other.linked
+            self.pages = tuple(sorted({*self.pages, *other.pages})[:CONSTANT_PAGES])
 
     def expression(self) -> str:
         """The wrapper as text: ( )? optional, ( )+ repeated, #T a text slot, #C a constant text."""
-        text = "" if not self.texts[0] else " #C" if self.texts[2] == self.texts[3] else " #T"
-        body = f"<{self.key}>{text}{''.join(' ' + c.expression() for c in self.children)}"
-        mark = {(True, True): "*", (True, False): "?", (False, True): "+"}.get((self.optional, self.repeated), "")
-        return f"({body}){mark}" if mark else body
+        out: list[str] = []
+        ends: list[str] = []
+        for depth, n in self.walk():
+            while len(ends) > depth:
+                out.append(ends.pop())
+            mark = {(True, True): ")*", (True, False): ")?", (False, True): ")+"}.get((n.optional, n.repeated), "")
+            out.append((" " if out else "") + ("(" if mark else "") + f"<{n.key}>" + ("" if not n.texts else " #C" if n.constant() else " #T"))
+            ends.append(mark)
+        return "".join(out + ends[::-1])
 
 
 def element_key(tag: str, attributes: str) -> str:
@@ -151,93 +206,141 @@ def events(page: str) -> Iterator[tuple[str, str]]:
 def parse(page: str | None) -> Node:
     """The page as a wrapper of its own. Inline elements belong to their block."""
     root = Node("#page")
-    stack, parts = [root], [[]]
-    inline = [False]
+    own = zlib.crc32((page or "").encode("utf-8", "surrogatepass"))
+    stack, parts, linked = [root], [[]], [0]
+    inline, links = [False], 0
     for kind, value in events(page or ""):
         if kind == "text":
             parts[-1].append(value)
+            if links:
+                linked[-1] += len(value.strip())
         elif kind == "open":
-            flat = value.split(".")[0].split("#")[0].split("@")[0].split("$")[0] in INLINE and not boiler(value)
-            inline.append(flat)
-            if not flat:
+            tag = tag_of(value)
+            inline.append(tag in INLINE)
+            links += tag == "a"
+            if tag not in INLINE:
                 node = Node(value)
                 stack[-1].children.append(node)
                 stack.append(node)
                 parts.append([])
-        elif kind == "close" and not inline.pop():
-            _settle(stack.pop(), parts.pop())
-    _settle(root, parts[0])
+                linked.append(0)
+            else:
+                inline[-1] = "a" if tag == "a" else True
+        elif kind == "close":
+            flat = inline.pop()
+            links -= flat == "a"
+            if not flat:
+                _settle(stack.pop(), parts.pop(), linked.pop(), own)
+    _settle(root, parts[0], linked[0], own)
     return root
 
 
-def _settle(node: Node, parts: list[str]) -> None:
+def _settle(node: Node, parts: list[str], linked: int, page: int) -> None:
     text = _BLANK.sub(" ", "".join(parts)).strip()
     if text:
         h = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-        node.texts = (1, len(text), h, h)
-    node.children = fold(node.children)
-
-
-def _texts(a: tuple, b: tuple) -> tuple:
-    if not a[0] or not b[0]:
-        return a if a[0] else b
-    return (a[0] + b[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3]))
+        node.texts, node.size, node.linked, node.low, node.high, node.pages = 1, len(text), min(linked, len(text)), h, h, (page,)
+    node.children = _grouped([_Group([c]) for c in node.children])
+
+
+class _Group(list):
+    """Nodes of one form that become one node of the wrapper."""
+
+    def __init__(self, nodes: list[Node], optional: bool = False, repeated: bool = False):
+        super().__init__(nodes)
+        self.optional, self.repeated = optional, repeated
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence: equal ends, then keys that both have once in the longest order
+    that both keep, then, between those, the next of each key."""
+    n = min(len(a), len(b))
+    head = next((i for i in range(n) if a[i] != b[i]), n)
+    tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
+    pairs = [(i, i) for i in range(head)]
+    end_a, end_b = len(a) - tail, len(b) - tail
+    once_a, once_b = Counter(a[head:end_a]), Counter(b[head:end_b])
+    place = {k: j for j, k in enumerate(b[head:end_b], head) if once_b[k] == 1}
+    single = [(i, place[k]) for i, k in enumerate(a[head:end_a], head) if once_a[k] == 1 and k in place]
+    ends: list[int] = []  # longest increasing run of places in b
+    back: list[int] = []
+    at: list[int] = []
+    for x, (_, j) in enumerate(single):
+        d = bisect_left(ends, j)
+        ends[d : d + 1] = [j]
+        at[d : d + 1] = [x]
+        back.append(at[d - 1] if d else -1)
+    anchors = []
+    x = at[-1] if at else -1
+    while x >= 0:
+        anchors.append(single[x])
+        x = back[x]
+    where: dict[str, list[int]] = {}
+    for j in range(head, end_b):
+        where.setdefault(b[j], []).append(j)
+    i, j = head, head
+    for stop_a, stop_b in [*reversed(anchors), (end_a, end_b)]:
+        for x in range(i, stop_a):
+            found = where.get(a[x], ())
+            y = bisect_left(found, j)
+            if y < len(found) and found[y] < stop_b:
+                pairs.append((x, found[y]))
+                j = found[y] + 1
+        if stop_a < end_a:
+            pairs.append((stop_a, stop_b))
+        i, j = stop_a + 1, stop_b + 1
+    return pairs + [(len(a) - tail + t, len(b) - tail + t) for t in range(tail)]
+
+
+def align(a: list[_Group], b: list[_Group]) -> list[_Group]:
+    out: list[_Group] = []
+    i = j = 0
+    for x, y in [*_common([g[0].key for g in a], [g[0].key for g in b]), (len(a), len(b))]:
+        for g in (*a[i:x], *b[j:y]):
+            g.optional = True
+            out.append(g)
+        if x < len(a):
+            out.append(_Group([*a[x], *b[y]], a[x].optional or b[y].optional, a[x].repeated or b[y].repeated))
+        i, j = x + 1, y + 1
+    return out
 
 
-def merge(a: Node, b: Node, same_page: bool = False) -> Node:
-    """The wrapper that matches whatever either matches."""
-    pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
-    return Node(a.key, a.optional or b.optional, a.repeated or b.repeated, pages, _texts(a.texts, b.texts), align(a.children, b.children, same_page))
+def _fold(groups: list[_Group]) -> list[_Group]:
+    """Neighbours of one form become a repeated group."""
+    out: list[_Group] = []
+    for g in groups:
+        if out and out[-1][0].key == g[0].key:
+            last = out[-1]
+            out[-1] = _Group([*last, *g], last.optional and g.optional, True)
+        else:
+            out.append(g)
+    return out
 
 
-def align(a: list[Node], b: list[Node], same_page: bool) -> list[Node]:
-    if [x.key for x in a] == [x.key for x in b]:
-        return [merge(x, y, same_page) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in reversed(range(n)):
-        for j in reversed(range(m)):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].key == b[j].key else max(best[i + 1][j], best[i][j + 1])
-    out: list[Node] = []
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i].key == b[j].key:
-            out.append(merge(a[i], b[j], same_page))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            a[i].optional = True
-            out.append(a[i])
-            i += 1
-        else:
-            b[j].optional = True
-            out.append(b[j])
-            j += 1
-    return fold(out)
-
-
-def fold(nodes: list[Node]) -> list[Node]:
-    """Neighbours of one form become a repeated group. A list that stays long and mixed becomes a
-    repeated group of optional forms, which keeps wrappers small."""
-    out: list[Node] = []
-    for x in nodes:
-        if out and out[-1].key == x.key:
-            optional = out[-1].optional and x.optional
-            out[-1] = merge(out[-1], x, True)
-            out[-1].optional, out[-1].repeated = optional, True
-        else:
-            out.append(x)
-    forms = {x.key for x in out}
-    if len(out) > 24 and len(forms) * 2 <= len(out):
-        first: dict[str, Node] = {}
-        for x in out:
-            if x.key in first:
-                first[x.key] = merge(first[x.key], x, True)
-                first[x.key].repeated = True
+def _grouped(groups: list[_Group]) -> list[Node]:
+    """One node for each folded group."""
+    return [g[0] if len(g) == 1 else merge(g, g.optional, g.repeated) for g in _fold(groups)]
+
+
+def merge(nodes: list[Node], optional: bool = False, repeated: bool = False) -> Node:
+    """The wrapper that matches whatever one of ``nodes``, all of one form, matches."""
+    top = Node(nodes[0].key, optional, repeated)
+    todo = [(top, list(nodes))]
+    while todo:
+        out, some = todo.pop()
+        for n in some:
+            out.add_texts(n)
+        groups = [_Group([c], c.optional, c.repeated) for c in some[0].children]
+        for n in some[1:]:
+            groups = align(groups, [_Group([c], c.optional, c.repeated) for c in n.children])
+        for g in _fold(groups):
+            if len(g) == 1:
+                g[0].optional, g[0].repeated = g.optional, g.repeated
+                out.children.append(g[0])
             else:
-                first[x.key] = x
-            first[x.key].optional = True
-        out = list(first.values())
-    return out
+                out.children.append(Node(g[0].key, g.optional, g.repeated))
+                todo.append((out.children[-1], list(g)))
+    return top
 
 
 def _name_words(key: str) -> set[str]:
@@ -248,115 +351,194 @@ def tag_of(key: str) -> str:
     return re.split(r"[.#@$]", key, maxsplit=1)[0]
 
 
-def boiler(key: str) -> bool:
+def _named_out(key: str) -> bool:
+    """A container whose names say that it is no part of an article."""
     tag = tag_of(key)
-    return tag in BOILER_TAGS or tag not in ("body", "html", "article", "main") and bool(_name_words(key[len(tag) :]) & BOILER_WORDS)
+    words = _name_words(key[len(tag) :])
+    return tag not in TEXT_TAGS and bool(words & BOILER_WORDS) and not words & MAIN_WORDS
 
 
 def _article(key: str) -> int:
+    """2 for an article element, 1 for a main element, by tag, role or itemprop."""
     tag = tag_of(key)
-    words = {w for w in re.split(r"[.#@$]", key[len(tag) :].lower()) if w}
-    if tag == "article" or "articlebody" in words:
-        return 3
-    if tag == "main" or "main" in words:
-        return 2
-    return 1 if tag in ("div", "section", "td") and _name_words(key[len(tag) :]) & MAIN_WORDS else 0
-
-
-def roles(wrapper: Node) -> dict[str, list[str]]:
-    """Paths (keys joined by spaces) of the article regions, and of constant texts to leave out."""
-    found: dict[str, tuple[int, int]] = {}
-    constant: list[str] = []
-
-    def walk(node: Node, path: str) -> int:
-        if boiler(node.key):
-            return 0
-        own = f"{path} {node.key}" if path else node.key
-        size = node.texts[1] + sum(walk(c, own) for c in node.children)
-        if _article(node.key):
-            level, before = found.get(own, (0, 0))
-            found[own] = (max(level, _article(node.key)), before + size)
-        if node.texts[0] > 2 and node.texts[2] == node.texts[3]:
-            constant.append(own)
-        return size
-
-    walk(wrapper, "")
-    if not found:
-        return {"article": ["#page"], "constant": constant}
-    level = max((lv for lv, size in found.values() if size), default=0)
-    level = level or max(lv for lv, _ in found.values())
-    at = {p: size for p, (lv, size) in found.items() if lv == level}
-    if level == 1:  # named by a class only: the one with the most text
-        at = {max(at, key=lambda p: (at[p], p)): 0}
-    # an article inside another one is a part of it
-    return {"article": [p for p in at if not any(p != q and p.startswith(q + " ") for q in at)], "constant": []}
-
-
-def extract(page: str | None, role: dict[str, list[str]]) -> str:
-    """The blocks of the article regions, one to a line."""
+    told = {w for w in re.split(r"[@$]", key[len(tag) :].lower())[1:]}
+    return 2 if tag == "article" or told & {"article", "articlebody"} else 1 if tag == "main" or "main" in told else 0
+
+
+@dataclass
+class _Place:
+    """All nodes of the wrapper on one path of keys."""
+
+    key: str
+    parent: int
+    below: list[int] = field(default_factory=list)
+    repeated: bool = False
+    own: int = 0
+    weight: int = 0
+    size: int = 0
+    linked: int = 0
+    links_repeat: bool = False
+    constant: bool = False
+    title: bool = False
+    named: int = 0
+
+
+def roles(wrapper: Node) -> dict[str, list]:
+    """What a page is extracted by: ``steps`` (place, key, next place), and the places of the regions
+    (``article``), of what is ``out`` and of ``constant`` texts."""
+    places: list[_Place] = []
+    steps: dict[tuple[int, str], int] = {}
+    path: list[int] = []
+    for depth, n in wrapper.walk():
+        del path[depth:]
+        at = steps.setdefault((path[-1] if path else -1, n.key), len(places))
+        if at == len(places):
+            places.append(_Place(n.key, path[-1] if path else -1, constant=True))
+            if path:
+                places[path[-1]].below.append(at)
+        path.append(at)
+        p = places[at]
+        p.repeated |= n.repeated
+        p.size += n.size
+        p.linked += n.linked
+        p.links_repeat |= n.repeated and n.linked > 0
+        p.constant &= not n.texts or n.constant()
+        p.own += 0 if n.constant() else n.size - n.linked
+        p.title |= tag_of(n.key) == "h1" and n.size > 0
+        p.named = max(p.named, _article(n.key))
+    for p in places:
+        p.constant &= p.size > 0
+    holds = [p.title or p.named > 0 for p in places]
+    for i in range(len(places) - 1, 0, -1):
+        up = places[i].parent
+        holds[up] |= holds[i]
+        places[up].title |= places[i].title
+    out = {i for i, p in enumerate(places) if tag_of(p.key) in BOILER_TAGS or _named_out(p.key) and not holds[i]}
+    for i in range(len(places) - 1, -1, -1):  # a place stands after the one that it is below
+        p = places[i]
+        p.weight += p.own
+        if i and i not in out:
+            up = places[p.parent]
+            up.weight += p.weight
+        if i:
+            up = places[p.parent]
+            up.size, up.linked, up.links_repeat = up.size + p.size, up.linked + p.linked, up.links_repeat or p.links_repeat or p.repeated and p.linked > 0
+    hidden = set()
+    for i, p in enumerate(places):
+        if i in out or p.parent in hidden:
+            hidden.add(i)
+    named = {level: [i for i, p in enumerate(places) if p.named == level and i not in hidden] for level in (2, 1)}
+    region: list[int] = []
+    for some in named.values():
+        outer = [i for i in some if not _below(places, i, set(some))]
+        if not region and outer and 2 * sum(places[i].weight for i in outer) >= places[0].weight:
+            region = outer
+    constant: list[int] = []
+    if not region:
+        region = [_content(places, out)]
+        out |= {i for i, p in enumerate(places) if p.links_repeat and p.linked >= LINK_SHARE * p.size and not p.title and i not in region}
+        constant = [i for i, p in enumerate(places) if p.constant and not _inside_title(p)]
+    return {"steps": [[a, k, b] for (a, k), b in steps.items() if a not in hidden], "article": region, "out": sorted(out), "constant": constant}
+
+
+def _inside_title(p: _Place) -> bool:
+    return tag_of(p.key) == "h1"
+
+
+def _below(places: list[_Place], i: int, some: set[int]) -> bool:
+    i = places[i].parent
+    while i >= 0:
+        if i in some:
+            return True
+        i = places[i].parent
+    return False
+
+
+def _content(places: list[_Place], out: set[int]) -> int:
+    """Down from the page to the container of the content."""
+    at = 0
+    while True:
+        here = places[at]
+        below = [i for i in here.below if i not in out]
+        if not below:
+            return at
+        best = max(below, key=lambda i: (places[i].weight, -i))
+        rest = here.own + sum(places[i].weight for i in below if i != best)
+        title = any(places[i].title for i in below if i != best)
+        p = places[best]
+        if title or rest > BESIDE * p.weight or p.own * 2 > p.weight or not p.weight:
+            return at
+        at = best
+
+
+def extract(page: str | None, role: dict[str, list]) -> str:
+    """The blocks of the regions, one to a line."""
     if not page:
         return ""
-    article, constant = set(role["article"]), set(role["constant"])
-    paths, inline = ["#page"], [False]
-    inside = [bool("#page" in article)]
-    hidden = [False]
-    heading_only = [False]
-    blocks: list[tuple[str, str]] = []
+    steps = role.get("_steps")
+    if steps is None:
+        steps = role["_steps"] = {(a, k): b for a, k, b in role["steps"]}
+        role["_sets"] = set(role["article"]), set(role["out"]), set(role["constant"])
+    article, out, constant = role["_sets"]
+    places, inline = [steps.get((-1, "#page"), -2)], [False]
+    inside, hidden, titles_only = [places[0] in article], [places[0] in out], [False]
+    blocks: list[str] = []
     part: list[str] = []
     reached = inside[0]
 
     def flush() -> None:
         if part:
             text = _BLANK.sub(" ", entities.unescape("".join(part))).strip()
-            if text and paths[-1] not in constant:
-                blocks.append((paths[-1], text))
+            if text and places[-1] not in constant:
+                blocks.append(text)
             part.clear()
 
     for kind, value in events(page):
         if kind == "text":
-            if inside[-1] and not hidden[-1] and not heading_only[-1]:
+            if inside[-1] and not hidden[-1] and not titles_only[-1]:
                 part.append(value)
         elif kind == "break":
             if value == "hr":
                 flush()
             part.append(" ")
         elif kind == "open":
-            tag, off = tag_of(value), boiler(value)
-            flat = tag in INLINE and not off
-            inline.append(flat)
-            if flat:
+            tag = tag_of(value)
+            inline.append(tag in INLINE)
+            if inline[-1]:
                 continue
             flush()
-            path = f"{paths[-1]} {value}"
+            at = steps.get((places[-1], value), -2)
             # the title of an article may stand in a header of its own
-            titles = tag == "header" and inside[-1] and not hidden[-1] and value == "header"
-            paths.append(path)
-            inside.append(inside[-1] or path in article)
+            titles = tag == "header" and inside[-1] and not hidden[-1]
+            places.append(at)
+            inside.append(inside[-1] or at in article)
             reached = reached or inside[-1]
-            hidden.append(hidden[-1] or off and not titles)
-            heading_only.append((heading_only[-1] or titles) and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"))
+            hidden.append(hidden[-1] or at in out and not titles)
+            titles_only.append((titles_only[-1] or titles) and tag not in TITLE_TAGS)
         elif not inline.pop():
             flush()
-            for x in (paths, inside, hidden, heading_only):
+            for x in (places, inside, hidden, titles_only):
                 x.pop()
     flush()
-    if not reached:  # a page of another kind than its host's articles is its own wrapper
-        own = roles(parse(page))
-        return extract(page, own) if own["article"] != role["article"] else ""
-    return "\n".join(t for _, t in blocks)
+    if not reached and not role.get("alone"):  # a page of another kind than its host's articles is its own wrapper
+        return extract(page, roles(parse(page)) | {"alone": True})
+    return "\n".join(blocks)
 
 
 def _fold_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, html or wrapper) -> one wrapper for each host met."""
-    held: dict[str, Node] = {}
+    held: dict[str, list[Node]] = {}
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(n.dump(), ensure_ascii=True) for n in held.values()], pa.string())], names=["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(merge(n).dump(), ensure_ascii=True) for n in held.values()], pa.string())], names=["host", "wrapper"])
 
     for b in batches:
         for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             node = parse(page.as_py())
-            held[host] = merge(held[host], node) if host in held else node
+            own = held.setdefault(host, [])
+            own.append(node)
+            if len(own) >= MERGED_AT_ONCE:
+                held[host] = [merge(own)]
         if len(held) > HOSTS_HELD:
             yield out()
             held.clear()
@@ -367,10 +549,7 @@ def _fold_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _merge_group(t: pa.Table) -> pa.Table:
     # the order of merging is fixed, whatever order the rows came in
     nodes = [Node.load(json.loads(w)) for w in sorted(t.column("wrapper").to_pylist())]
-    out = nodes[0]
-    for n in nodes[1:]:
-        out = merge(out, n)
-    return pa.table({"host": t.column("host")[:1], "wrapper": pa.array([json.dumps(out.dump())], pa.string())})
+    return pa.table({"host": t.column("host")[:1], "wrapper": pa.array([json.dumps(merge(nodes).dump())], pa.string())})
 
 
 def host_of(url: str = "url"):
