@@ -19,7 +19,6 @@ from assayer.functions.columns import coverage_path
 from assayer.operators.coverage import merge_lines
 
 LINES = "file string, line int, hits long"
-REGIONS = "file string, region int, line int, hits long, start_line int, start_column int, end_line int, end_column int"
 
 
 def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
@@ -84,36 +83,27 @@ def cobertura(reports: DataFrame) -> DataFrame:
     return merge_lines(_by_report(reports, _cobertura, LINES).withColumn("file", coverage_path("file")))
 
 
-def _llvm_lines(text: str) -> list[tuple]:
-    out = []
-    for data in json.loads(text).get("data", ()):
-        for f in data.get("files", ()):
-            for line, _, hits, counted, *_ in f.get("segments", ()):
-                if counted:
-                    out.append((f["filename"], line, hits))
-    return out
+_LLVM = "data array<struct<files: array<struct<filename: string, segments: array<array<string>>>>, functions: array<struct<filenames: array<string>, regions: array<array<string>>>>>>"
 
 
-def _llvm_regions(text: str) -> list[tuple]:
-    out, n = [], 0
-    for data in json.loads(text).get("data", ()):
-        for fn in data.get("functions", ()):
-            for l1, c1, l2, c2, hits, file, _, kind, *_ in fn.get("regions", ()):
-                if kind == 0:
-                    out += [(fn["filenames"][file], n, line, hits, l1, c1, l2, c2) for line in range(l1, l2 + 1)]
-            n += 1
-    return out
+def llvm_regions(reports: DataFrame) -> DataFrame:
+    """The lines of each code region of each function; native expressions only. A region is an array of
+    numbers: start line and column, end line and column, count, file, expanded file, kind (0 is code)."""
+    data = F.from_json("text", _LLVM).data
+    functions = reports.select(F.posexplode(F.flatten(F.transform(data, lambda d: d["functions"]))).alias("region", "f"))
+    r = functions.select("region", "f.filenames", F.explode("f.regions").alias("r")).where(F.col("r")[7] == "0")
+    n = [F.col("r")[i].cast("int") for i in range(4)]
+    rows = r.select(F.expr("filenames[int(r[5])]").alias("file"), "region", F.explode(F.sequence(n[0], n[2])).alias("line"), F.col("r")[4].cast("long").alias("hits"), *(x.alias(c) for x, c in zip(n, ("start_line", "start_column", "end_line", "end_column"), strict=True)))
+    return rows.withColumn("file", coverage_path("file"))
 
 
 def llvm(reports: DataFrame) -> DataFrame:
-    """Counted segments and the lines of code regions."""
-    lines = _by_report(reports, _llvm_lines, LINES)
-    regions = _by_report(reports, _llvm_regions, REGIONS).select("file", "line", "hits")
-    return merge_lines(lines.withColumn("file", coverage_path("file")), regions.withColumn("file", coverage_path("file")))
-
-
-def llvm_regions(reports: DataFrame) -> DataFrame:
-    return _by_report(reports, _llvm_regions, REGIONS).withColumn("file", coverage_path("file"))
+    """Counted segments and the lines of code regions. A segment is an array: line, column, count, whether
+    it is counted, and more."""
+    files = reports.select(F.explode(F.from_json("text", _LLVM).data).alias("d")).select(F.explode("d.files").alias("f"))
+    s = files.select("f.filename", F.explode("f.segments").alias("s")).where(F.col("s")[3] == "true")
+    lines = s.select(coverage_path("filename").alias("file"), F.col("s")[0].cast("int").alias("line"), F.col("s")[2].cast("long").alias("hits"))
+    return merge_lines(lines, llvm_regions(reports).select("file", "line", "hits"))
 
 
 READERS = {"lcov": lcov, "cobertura": cobertura, "coverage-py": coverage_py, "istanbul": istanbul, "llvm": llvm}

@@ -21,24 +21,26 @@ def values(rows, columns):
     return sorted(tuple(text(r[i]) for i in order) for r in rows)
 
 
-def names():
-    from assayer.plans.sql import ORACLE_SQL
+def plans():
+    from assayer.plans import queries, rule_queries, rule_sql, sql
+
+    return queries.QUERIES | rule_queries.QUERIES, sql.ORACLE_SQL | rule_sql.ORACLE_SQL
 
-    return sorted(ORACLE_SQL)
+
+def names():
+    return sorted(plans()[1])
 
 
 @pytest.mark.parametrize("name", names())
 def test_query_equals_sql(spark, name):
     import duckdb
 
-    from assayer.plans.queries import QUERIES
-    from assayer.plans.sql import ORACLE_SQL
-
+    queries, sql = plans()
     con = duckdb.connect()
     for t in os.listdir(SF):
         con.execute(f"create view {t.removesuffix('.parquet')} as select * from '{SF}/{t}'")
-    df = QUERIES[name](spark, SF)
-    want = con.execute(ORACLE_SQL[name])
+    df = queries[name](spark, SF)
+    want = con.execute(sql[name])
     columns = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(columns)
     assert values([tuple(r) for r in df.collect()], df.columns) == values(want.fetchall(), columns)
