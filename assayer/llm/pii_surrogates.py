@@ -3,7 +3,15 @@
 Entities (e-mail addresses, phone numbers, card numbers, IBANs, social security numbers, IPv4
 addresses, secrets, and persons named after an honorific) are found by one regular expression over the
 whole text and replaced by surrogates of the same type: digits by digits, letters by letters of the
-same case and script, separators kept; given names follow the gender of the honorific.
+same case and script (Latin, Cyrillic, Greek, Han; others by Latin ones), separators kept. Texts that
+hold none of the signs without which nothing can match (a digit, an at sign, an honorific, the start of
+a key) are not searched further.
+
+A person is an honorific and up to three name words, with hyphens, apostrophes, inner capitals and
+particles, which stay. The last word is the surname, those before it are given names. A given name
+follows the gender of its honorific; after a title without gender it is the person of the one gender
+with which the corpus has that name, if there is just one. Once a document names a person so, the name
+words stand for that person wherever else they stand as words of their own in it.
 
 A surrogate is a keyed hash (SHA-256 twice, key inside and outside) of type, normalised value and
 attempt, so an entity has one surrogate wherever and however it is written (coreference): phone and
@@ -18,8 +26,10 @@ up in a constant map, more are joined.
 
 Text without entities is returned as it is. Defined results: a null text stays null with no entities;
 an empty text stays empty; repeated rows get equal surrogates; null ids are kept; an empty table gives
-an empty table. Columns named like output columns are replaced. A name without an honorific is not
-detected, and card surrogates keep no check digit.
+an empty table. Columns named like output columns are replaced. A person whom a document never names
+with an honorific is not detected there, and card surrogates keep no check digit.
+
+The key is given by the caller; the queries take it from ``spark.assayer.pii.key``.
 """
 
 from __future__ import annotations
@@ -31,7 +41,9 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import materialise, table, without
 
-KEY = "assayer-default-key"
+KEY_SETTING = "spark.assayer.pii.key"
+#: Of no secrecy: for sessions that set none, as over the test tables.
+TEST_KEY = "no-key-was-set"
 MAP_ENTRIES = 2_000
 #: From this attempt on a surrogate is longer than its entity: the shape has too few of its own.
 LONGER_AT = 6
@@ -41,6 +53,8 @@ OTHER = ("Dr", "Prof")
 _HONORIFIC = "|".join((*FEMALE, *MALE, *OTHER))
 _NOT_AFTER = r"(?<![\p{L}\p{N}])"
 _NOT_BEFORE = r"(?![\p{L}\p{N}])"
+_PARTICLES = "von|vom|zu|zum|zur|van|der|den|de|del|della|di|da|das|dos|du|la|le|ter|ten|bin|ibn|al|el|y|e"
+_NAME_WORD = rf"(?!(?:{_HONORIFIC})(?!\p{{L}}))" + r"\p{Lu}\p{L}*+(?:(?:['’](?!s(?!\p{L}))|\-)\p{L}++)*+(?<=\p{Ll})"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
     "secret": _NOT_AFTER + r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})" + _NOT_BEFORE,
@@ -49,8 +63,10 @@ PATTERNS = {
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
     "ip": r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])",
     "phone": r"(?<![\p{L}\p{N}.])(?:(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,5}\)[ .\-]?[0-9]{2,4}[ .\-]?[0-9]{2,4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})" + _NOT_BEFORE,
-    "name": _NOT_AFTER + rf"(?:{_HONORIFIC})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?" + _NOT_BEFORE,
+    "name": _NOT_AFTER + rf"(?:{_HONORIFIC})\.? (?:(?:{_PARTICLES}) )*{_NAME_WORD}(?: (?:(?:{_PARTICLES}) )*{_NAME_WORD}){{0,2}}" + _NOT_BEFORE,
 }
+#: Every entity holds one of these.
+SIGNS = rf"[0-9@]|[a-f]{{32}}|[A-F]{{32}}|gh[pousr]_|sk-|AKIA|ASIA|{_NOT_AFTER}(?:{_HONORIFIC})\.? "
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Syllables of surrogate names by script: consonants, vowels, endings of female, male and other given names, ending of surnames.
 SCRIPTS = {
@@ -59,6 +75,7 @@ SCRIPTS = {
     "greek": ("βδφγκλμνπρστθζξχ", "αεηιοωαεηιοωαεηι", "α", "ος", "ι", "ης"),
 }
 _HEX = "0123456789abcdef"
+LETTERS = {"latin": "bcdfghjkmnpqrtvz", "cyrillic": "бвгджзклмнпрстфх", "greek": "βγδζθκλμνξπρστφχ", "han": "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳"}
 
 
 def kind_of(m: Column) -> Column:
@@ -86,7 +103,7 @@ def digest(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
 def _shaped(m: Column, d: Column) -> Column:
     """Letters and digits of ``m`` replaced by those of the digest, one by one; the rest kept."""
-    digits, letters = F.translate(d, "abcdef", "361709"), F.translate(d, _HEX, "bcdfghjkmnpqrtvz")
+    digits = F.translate(d, "abcdef", "361709")
     kept = F.regexp_replace(m, r"[^\p{L}\p{N}]", "")
     n = F.char_length(m)
 
@@ -96,7 +113,10 @@ def _shaped(m: Column, d: Column) -> Column:
         at = F.pmod(before, F.lit(60)) + 1
         digit = F.substring(digits, at, F.lit(1))
         first = (before == 1) & (c != "0") & (digit == "0") & (F.char_length(kept) > 1)  # no new leading zero
-        return F.when(c.rlike("[0-9]"), F.when(first, "7").otherwise(digit)).when(c.rlike(r"\p{Lu}"), F.upper(F.substring(letters, at, F.lit(1)))).when(c.rlike(r"\p{L}"), F.substring(letters, at, F.lit(1))).otherwise(c)
+        hexit = F.substring(d, at, F.lit(1))
+        of = lambda script: F.translate(hexit, _HEX, LETTERS[script])
+        letter = F.when(c.rlike(r"\p{IsLatin}"), of("latin")).when(c.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(c.rlike(r"\p{IsGreek}"), of("greek")).when(c.rlike(r"\p{IsHan}"), of("han")).otherwise(of("latin"))
+        return F.when(c.rlike("[0-9]"), F.when(first, "7").otherwise(digit)).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")
 
@@ -122,12 +142,22 @@ def _name(part: Column, d: Column, given: Column, gender: Column, more: Column)
     return out
 
 
+def _name_words(m: Column) -> Column:
+    """Array of (kind, value) arrays: the hyphenated parts of each word after the honorific."""
+    words = F.split(F.regexp_replace(m, rf"^(?:{_HONORIFIC})\.? ", ""), " ")
+    given = F.concat(F.lit("given-"), gender_of(m))
+
+    def word(w: Column, i: Column) -> Column:
+        kind = F.when(w.rlike(rf"^(?:{_PARTICLES})$"), "particle").when(i + 1 < F.size(words), given).otherwise("surname")
+        return F.transform(F.split(w, "-"), lambda p: F.struct(kind.alias("kind"), p.alias("value")))
+
+    return F.transform(words, word)
+
+
 def parts_of(kind: Column, m: Column) -> Column:
     """Array of the entities in a match: the parts of a name and of an address count by themselves."""
     item = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
-    words = F.split(F.regexp_replace(m, rf"^(?:{_HONORIFIC})\.? ", ""), " ")
-    gender = gender_of(m)
-    name = F.transform(words, lambda w, i: item(F.when((F.size(words) > 1) & (i == 0), F.concat(F.lit("given-"), gender)).otherwise("surname"), w))
+    name = F.filter(F.flatten(_name_words(m)), lambda p: p["kind"] != "particle")
     address = F.array(item(F.lit("email"), F.lower(m)), item(F.lit("domain"), F.lower(F.substring_index(m, "@", -1))))
     return F.when(kind == "name", name).when(kind == "email", address).otherwise(F.array(item(kind, normal(kind, m))))
 
@@ -166,13 +196,19 @@ def canonical(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
 
 def entity_table(matches: DataFrame, key: str) -> DataFrame:
-    """(kind, value, attempt) of every distinct entity, all surrogates of a kind distinct.
+    """(kind, value, attempt, as_kind) of every distinct entity, all surrogates of a kind distinct; a
+    given name after a title without gender is told as the person that it is.
 
     ``matches``: one array column ``matches``.
     """
     m = F.col("m")
     found = matches.select(F.explode("matches").alias("m")).groupBy("m").agg(F.lit(1).alias("_"))
     found = found.select(F.explode(parts_of(kind_of(m), m)).alias("e")).select("e.*").distinct()
+    found = materialise(found, "pii-found")
+    # names after a title without gender that the corpus has with one gender
+    gendered = found.where("kind IN ('given-f', 'given-m')").groupBy("value").agg(F.max("kind").alias("as_kind"), F.count("*").alias("n")).where("n = 1").drop("n")
+    found_as = gendered.join(found.where("kind = 'given-x'").select("value"), "value")
+    found = found.join(found_as.select(F.lit("given-x").alias("kind"), "value"), ["kind", "value"], "left_anti")
     kind, value, attempt = F.col("kind"), F.col("value"), F.col("attempt")
     have = materialise(found.withColumn("attempt", F.lit(0)).withColumn("surrogate", canonical(kind, value, F.lit(0), key)), "pii-entities")
     real = have.select("kind", F.lower("value").alias("surrogate")).distinct().withColumn("real", F.lit(True))
@@ -181,60 +217,95 @@ def entity_table(matches: DataFrame, key: str) -> DataFrame:
         told = have.withColumn("place", place).join(real, ["kind", "surrogate"], "left").withColumn("bad", (F.col("place") > 1) | F.col("real").isNotNull())
         told = materialise(told.drop("place", "real"), "pii-attempt")
         if told.where("bad").isEmpty():
-            return told.drop("bad")
+            own = told.select("kind", "value", "attempt", F.col("kind").alias("as_kind"))
+            same = own.where("as_kind IN ('given-f', 'given-m')")
+            return own.unionByName(same.join(found_as, ["as_kind", "value"]).select(F.lit("given-x").alias("kind"), "value", "attempt", "as_kind"))
         again = told.withColumn("attempt", F.when(F.col("bad"), attempt + 1).otherwise(attempt)).drop("bad")
         have = again.withColumn("surrogate", F.when(attempt > 0, canonical(kind, value, attempt, key)).otherwise(F.col("surrogate")))
 
 
-def _written(m: Column, attempt_of, key: str) -> Column:
+def _name_part(p: Column, told: Column, key: str) -> Column:
+    kind = F.coalesce(F.substring_index(told, "/", -1), p["kind"])
+    return F.when(p["kind"] == "particle", p["value"]).otherwise(replacement(kind, p["value"], p["value"], _attempt(told), key))
+
+
+def _attempt(told: Column) -> Column:
+    return F.coalesce(F.substring_index(told, "/", 1).cast("int"), F.lit(0))
+
+
+def _written(m: Column, told_of, key: str) -> Column:
     """The surrogate text of a match."""
     kind = kind_of(m)
-    parts = parts_of(kind, m)
-    made = F.transform(parts, lambda p: replacement(p["kind"], p["value"], F.when(kind.isin("name", "email"), p["value"]).otherwise(m), attempt_of(p), key))
+    made = F.transform(parts_of(kind, m), lambda p: replacement(p["kind"], p["value"], F.when(kind == "email", p["value"]).otherwise(m), _attempt(told_of(p)), key))
     title = F.regexp_extract(m, rf"^(?:{_HONORIFIC})\.? ", 0)
-    return F.when(kind == "name", F.concat(title, F.array_join(made, " "))).when(kind == "email", F.when(F.upper(m) == m, F.upper(F.array_join(made, "@"))).otherwise(F.array_join(made, "@"))).otherwise(made[0])
+    words = F.transform(_name_words(m), lambda w: F.array_join(F.transform(w, lambda p: _name_part(p, told_of(p), key)), "-"))
+    return F.when(kind == "name", F.concat(title, F.array_join(words, " "))).when(kind == "email", F.when(F.upper(m) == m, F.upper(F.array_join(made, "@"))).otherwise(F.array_join(made, "@"))).otherwise(made[0])
+
+
+def _mentioned(matches: Column, told_of, key: str) -> Column:
+    """(value, surrogate) of the name words by which a document's persons may be mentioned again, the
+    first way of a word for all. Words of one letter are left alone."""
+    names = F.flatten(F.transform(F.filter(matches, lambda m: kind_of(m) == "name"), lambda m: parts_of(F.lit("name"), m)))
+    long = F.filter(names, lambda p: F.char_length(p["value"]) > 1)
+    said = F.transform(long, lambda p: F.struct(p["value"].alias("value"), _name_part(p, told_of(p), key).alias("surrogate")))
+    return F.filter(F.array_distinct(said), lambda x: x["value"].isNotNull())
 
 
-def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def _without_mentions(rest: Column, mentioned: Column) -> Column:
+    one = lambda t, x: F.regexp_replace(t, F.concat(F.lit(_NOT_AFTER + r"\Q"), x["value"], F.lit(r"\E" + _NOT_BEFORE)), x["surrogate"])
+    return F.transform(rest, lambda t: F.aggregate(mentioned, t, one))
+
+
+def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten and entities: array of (kind, surrogate)."""
     t = F.col(f"`{text}`").cast("string")
-    matches = F.coalesce(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    matches = F.when(t.rlike(SIGNS), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))).otherwise(none)
     table_ = entity_table(docs.select(matches.alias("matches")).where(F.size("matches") > 0), key)
-    exceptions = materialise(table_.where("attempt > 0").select(F.concat_ws(":", "kind", "value").alias("entity"), "attempt"), "pii-exceptions")
+    told = F.concat_ws("/", F.col("attempt").cast("string"), "as_kind")
+    exceptions = materialise(table_.where("attempt > 0 OR kind <> as_kind").select(F.concat_ws(":", "kind", "value").alias("entity"), told.alias("told")), "pii-exceptions")
     n = exceptions.count()
     rows = docs.select(*[f"`{c}`" for c in without(docs, ["entities"])]).withColumn("_matches", matches)
+    entity = lambda p: F.concat_ws(":", p["kind"], p["value"])
     if n <= MAP_ENTRIES:
-        known = {r.entity: r.attempt for r in exceptions.collect()}  # at most MAP_ENTRIES
-        table_map = F.from_json(F.lit(json.dumps(known)), "map<string,int>") if known else None
-        attempt_of = lambda p: F.lit(0) if table_map is None else F.coalesce(F.element_at(table_map, F.concat_ws(":", p["kind"], p["value"])), F.lit(0))
+        known = {r.entity: r.told for r in exceptions.collect()}  # at most MAP_ENTRIES
+        table_map = F.from_json(F.lit(json.dumps(known)), "map<string,string>") if known else None
+        told_of = lambda p: F.lit(None).cast("string") if table_map is None else F.element_at(table_map, entity(p))
     else:
-        rows = _join_attempts(rows, exceptions)
-        attempt_of = lambda p: F.coalesce(F.element_at(F.col("_attempts"), F.concat_ws(":", p["kind"], p["value"])), F.lit(0))
-    written = F.transform("_matches", lambda m: F.struct(kind_of(m).alias("kind"), _written(m, attempt_of, key).alias("surrogate")))
+        rows = _join_told(rows, exceptions)
+        told_of = lambda p: F.element_at(F.col("_told"), entity(p))
+    written = F.transform("_matches", lambda m: F.struct(kind_of(m).alias("kind"), _written(m, told_of, key).alias("surrogate")))
     rows = rows.withColumn("entities", F.when(F.size("_matches") > 0, written).otherwise(F.array().cast("array<struct<kind:string,surrogate:string>>")))
+    named = F.exists("_matches", lambda m: kind_of(m) == "name")
+    rows = rows.withColumn("_mentioned", F.when(named, _mentioned(F.col("_matches"), told_of, key)))
     rest = F.split(t, ENTITY, -1)
+    rest = F.when(F.col("_mentioned").isNotNull(), _without_mentions(rest, F.col("_mentioned"))).otherwise(rest)
     joined = F.array_join(F.zip_with(rest, F.col("entities"), lambda a, e: F.concat(a, F.coalesce(e["surrogate"], F.lit("")))), "")
     rows = rows.withColumn(text, F.when(F.size("_matches") > 0, joined).otherwise(F.col(f"`{text}`")))
-    return rows.drop("_matches", "_attempts")
+    return rows.drop("_matches", "_told", "_mentioned")
 
 
-def _join_attempts(rows: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """Many exceptions: each row with such entities gets the attempts of its own."""
+def _join_told(rows: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """Many exceptions: each row with such entities gets what is told of its own."""
     rows = materialise(rows.withColumn("_rid", F.monotonically_increasing_id()), "pii-rows")
     m = F.col("m")
     own = rows.select("_rid", F.explode("_matches").alias("m")).select("_rid", F.explode(parts_of(kind_of(m), m)).alias("e")).select("_rid", F.concat_ws(":", "e.kind", "e.value").alias("entity")).distinct()
-    maps = own.join(exceptions, "entity").groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_attempts"))
+    maps = own.join(exceptions, "entity").groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("entity", "told"))).alias("_told"))
     return rows.join(maps, "_rid", "left").drop("_rid")
 
 
-def rewrite_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
+def rewrite_documents(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with its own columns: text rewritten and n_chars, where there is one, counted again."""
-    out = replace_entities(docs, key=key).select(*[f"`{c}`" for c in docs.columns])
+    out = replace_entities(docs, key).select(*[f"`{c}`" for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out
 
 
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
