@@ -317,7 +317,7 @@ def text_positions(spark, d):
 
 def sarif_results(spark, d):
     rows = catalog.kiss(order_functions(spark, d), complexity=5, parameters=2)
-    return reports.sarif_results(rows).select("rule_id", "level", "uri", "fingerprint")
+    return reports.sarif_results(rows).select("rule_id", "level", F.col("places")[0]["uri"].alias("uri"), "fingerprint")
 
 
 def finding_groups(spark, d):

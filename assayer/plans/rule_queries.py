@@ -10,20 +10,28 @@ from pyspark.sql import functions as F
 from assayer.operators import clones, cohesion, coverage, facts, mutation, unused
 from assayer.plans.queries import CAP, WINDOW, event_lines, graph, mutant_lines, read, scored_lines, word_arrays
 from assayer.rules import catalog, engine
+from assayer.sinks import reports
 from assayer.sources import coverage_reports
 
 ROW = ("rule_id", "violation_id", "file", "stable_symbol", "result")
 
 
+def crap_rows(f):
+    return catalog.crap(f)
+
+
 # functions are order lines
 def crap_rules(spark, d):
     f = scored_lines(spark, d).select(F.concat(F.lit("o/"), "l_orderkey").alias("file"), F.concat(F.lit("l"), "l_linenumber").alias("name"), F.lit("").alias("stable_symbol"), F.round("crap", 6).alias("crap"))
     return catalog.crap(f).select(*ROW, "measured", F.round("excess", 6).alias("excess"))
 
 
+def mutant_results(spark, d):
+    return mutant_lines(spark, d).select("status", F.concat(F.lit("src/"), "l_suppkey", F.lit(".rs")).alias("file"), F.concat(F.lit("f"), "l_linenumber").alias("stable_symbol"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("fingerprint"))
+
+
 def mutation_rules(spark, d):
-    m = mutant_lines(spark, d).select("status", F.concat(F.lit("src/"), "l_suppkey", F.lit(".rs")).alias("file"), F.concat(F.lit("f"), "l_linenumber").alias("stable_symbol"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("fingerprint"))
-    return catalog.mutants(m, "run-v1").select(*ROW, F.round("measured", 9).alias("measured"), "measured_flag")
+    return catalog.mutants(mutant_results(spark, d), "run-v1").select(*ROW, F.round("measured", 9).alias("measured"), "measured_flag")
 
 
 # clone groups are orders
@@ -213,6 +221,18 @@ def report_counts(spark, d):
     return facts.report_summary(rows, left, 3, 4, 5, 6)
 
 
+def sarif_sections(spark, d):
+    """A report with the risk and clone sections: their results stand for the rows of their rules."""
+    f = scored_lines(spark, d).select(F.concat(F.lit("o/"), "l_orderkey").alias("file"), F.concat(F.lit("l"), "l_linenumber").alias("name"), F.lit("").alias("stable_symbol"), (F.col("l_linenumber") - 2).alias("start_line"), F.lit(3).alias("end_line"), F.round("crap", 6).alias("crap"))
+    g = clone_findings(spark, d).where("similarity >= 0.92 AND statement_count >= 5")
+    place = F.struct(F.col("first_file").alias("file"), F.col("statement_count").cast("int").alias("start_line"), F.lit(7).alias("end_line"))
+    groups = g.select(F.col("identity").alias("number"), F.col("statement_count").alias("token_count"), F.array(place, place).alias("locations"))
+    rules = crap_rows(f).unionByName(catalog.dry(clone_findings(spark, d))).unionByName(catalog.mutants(mutant_results(spark, d), "run-v1"))
+    out = reports.sarif_results(rules, f, groups)
+    first = F.col("places")[0]
+    return out.groupBy("rule_id", first["start_line"].alias("start_line"), first["end_line"].alias("end_line"), F.size("places").alias("places")).agg(F.count("*").alias("n"), F.count("fingerprint").alias("fingerprints"))
+
+
 def cobertura_round_trip(spark, d):
     rows = event_lines(spark, d).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "hits"))).alias("x"))
     lines = F.array_join(F.transform("x", lambda x: F.concat(F.lit('<line number="'), x["line"], F.lit('" hits="'), x["hits"], F.lit('"/>'))), "")
@@ -241,6 +261,6 @@ QUERIES = {
     for f in (
         crap_rules, mutation_rules, dry_rules, empty_inventories, unused_functions, unused_dependencies, unused_features, unreachable_items, module_references, yagni_rules, architecture_rules,
         resolved_targets, structural_claims, merged_lines, merged_functions, merged_records, merged_identifiers, merged_features, non_redundant_regions, fallback_groups, maximal_groups,
-        eligible_functions, invalid_rows, outcomes, ranked_risk, report_counts, cobertura_round_trip, istanbul_round_trip, llvm_round_trip,
+        eligible_functions, invalid_rows, outcomes, ranked_risk, report_counts, sarif_sections, cobertura_round_trip, istanbul_round_trip, llvm_round_trip,
     )
 }

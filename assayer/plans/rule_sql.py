@@ -88,6 +88,11 @@ SELECT file, measured, result, COUNT(*) AS n FROM k WHERE file = '../up' OR same
 SELECT *, CASE WHEN timeout + runtime_error > 0 THEN 1 WHEN survived > 0 THEN 2 ELSE 0 END AS exit_code FROM ct""",
     "ranked_risk": f"SELECT 'o/' || l_orderkey AS file, l_linenumber AS start_line, CASE WHEN l_orderkey % 4 <> 0 THEN {CRAP} END AS crap FROM lineitem ORDER BY crap DESC NULLS LAST, file, start_line LIMIT 500",
     "report_counts": f"WITH {CRAP_RULES} SELECT COUNT(*) AS rule_results, SUM((result = 'fail')::INT)::BIGINT AS rule_failures, 18::BIGINT AS findings, 2::BIGINT AS omitted_checks FROM cr",
+    "sarif_sections": f"""WITH {MUTANTS}, sc AS (SELECT SUM((status = 'killed')::INT)::DOUBLE / SUM((status IN ('killed', 'survived'))::INT) AS m FROM m),
+r AS (SELECT 'crap-threshold' AS rule_id, GREATEST(l_linenumber - 2, 1)::INT AS start_line, GREATEST(3, l_linenumber - 2)::INT AS end_line, 1 AS places, 0 AS fp FROM lineitem WHERE {CRAP} > 6
+UNION ALL SELECT 'duplicate-code', (o_orderkey % 9)::INT, GREATEST(7, o_orderkey % 9)::INT, 2, 0 FROM orders WHERE o_orderkey % 5 <> 0 AND (o_orderkey % 100) / 100.0::DOUBLE >= 0.92 AND o_orderkey % 9 >= 5
+UNION ALL SELECT 'mutation.score', NULL, NULL, 1, 1 FROM sc WHERE m < 0.8 UNION ALL SELECT 'mutation.surviving-mutant', NULL, NULL, 1, 1 FROM m WHERE status = 'survived')
+SELECT rule_id, start_line, end_line, places, COUNT(*) AS n, SUM(fp)::BIGINT AS fingerprints FROM r GROUP BY 1, 2, 3, 4""",
     "cobertura_round_trip": round_trip("SELECT unnest([file || '.py', '/base/' || file || '.py']) AS file, line::INT AS line, hits::BIGINT AS hits FROM lines"),
     "istanbul_round_trip": round_trip("SELECT '/src/' || file || '.ts' AS file, line::INT AS line, hits::BIGINT AS hits FROM lines"),
     "llvm_round_trip": round_trip(

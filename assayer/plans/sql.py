@@ -149,5 +149,5 @@ WHEN p.result IS NULL THEN 'new' WHEN p.result = 'pass' OR c.excess > p.excess T
 SELECT page_id, 'a/' || v AS repository, '/' || v AS report, {URI.format("u")} AS uri, {stable_id("'r'", "v", "'é'", "u")} AS id FROM y""",
     "symbol_functions": f"SELECT s_suppkey, {SYMBOL} AS bare, replace(s_name, '#', '_') AS name, 'crate::m' || s_nationkey || '::Type' AS owner, 'm' || s_nationkey || '|Type|' || replace(s_name, '#', '_') AS segments, length('m' || s_nationkey) || ':m' || s_nationkey || '4:Type' || length(s_name) || ':' || replace(s_name, '#', '_') AS encoded FROM supplier",
     "text_positions": "WITH x AS (SELECT conv_id, turn, substr(text, 1, length(text) // 2) AS b FROM conversations) SELECT conv_id, turn, (length(b) - length(replace(b, chr(10), '')) + 1)::INT AS line, (length(string_split(b, chr(10))[-1]) + 1)::INT AS \"column\" FROM x",
-    "sarif_results": f"WITH {KISS} SELECT rule_id, 'error' AS level, {URI.format('file')} AS uri, violation_id AS fingerprint FROM kr WHERE result = 'fail'",
+    "sarif_results": f"WITH {KISS} SELECT rule_id, 'warning' AS level, {URI.format('file')} AS uri, violation_id AS fingerprint FROM kr WHERE result = 'fail'",
 }

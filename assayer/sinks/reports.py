@@ -19,29 +19,79 @@ def native_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def sarif_results(rules: DataFrame) -> DataFrame:
-    """Failing rule rows as SARIF results: rule_id, level, message, uri, fingerprint."""
-    text = F.concat(F.col("stable_symbol"), F.lit(": "), F.coalesce(F.col("measured").cast("string"), F.col("measured_flag").cast("string")), F.lit(" against "), F.coalesce(F.col("allowed").cast("string"), F.col("allowed_flag").cast("string"), F.lit("none")))
-    return rules.where("result = 'fail'").select("rule_id", F.lit("error").alias("level"), text.alias("message"), path_uri("file").alias("uri"), F.col("violation_id").alias("fingerprint"))
-
+CRAP_RESULT, DRY_RESULT = "crap-threshold", "duplicate-code"
 
-def sarif_rows(rules: DataFrame) -> DataFrame:
-    """(json): one SARIF result object for each failing row."""
-    r = sarif_results(rules)
-    place = F.array(F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
-    return r.select(F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("violationId/v1")).alias("partialFingerprints"))).alias("json"))
 
+def sarif_results(rules: DataFrame, functions: DataFrame | None = None, groups: DataFrame | None = None, limit: float = 6.0) -> DataFrame:
+    """SARIF results: rule_id, level, message, places (array of uri, start_line, end_line), fingerprint.
 
-def sarif_document(rules: DataFrame, tool: str = "assayer") -> Iterator[str]:
+    A report that has the risk section (``functions``: name, file, start_line, end_line, crap) shows its
+    functions over the limit, and no failing row of a ``crap.`` rule; one that has the clone section
+    (``groups``: number, token_count, locations of file, start_line, end_line) shows its groups, and no
+    row of a ``dry.`` rule. All other failing rows with a file follow.
+    """
+    none = F.lit(None).cast("int")
+    place = lambda uri, low, high: F.struct(uri.alias("uri"), low.alias("start_line"), high.alias("end_line"))
+    span = lambda file, low, high: place(path_uri(file), F.greatest(low, F.lit(1)).cast("int"), F.greatest(high, low, F.lit(1)).cast("int"))
+    text = F.concat(F.col("stable_symbol"), F.lit(": "), F.coalesce(F.col("measured").cast("string"), F.col("measured_flag").cast("string")), F.lit(" against "), F.coalesce(F.col("allowed").cast("string"), F.col("allowed_flag").cast("string"), F.lit("none")))
+    told = rules.where("result = 'fail' AND file <> ''")
+    if functions is not None:
+        told = told.where(~F.startswith("rule_id", F.lit("crap.")))
+    if groups is not None:
+        told = told.where(~F.startswith("rule_id", F.lit("dry.")))
+    parts = [told.select("rule_id", text.alias("message"), F.array(place(path_uri("file"), none, none)).alias("places"), F.col("violation_id").alias("fingerprint"))]
+    if functions is not None:
+        over = functions.where(F.col("crap") > limit)
+        score = F.concat("name", F.lit(": risk "), F.format_string("%.2f", "crap"), F.lit(f" over {limit:.2f}"))
+        parts.append(over.select(F.lit(CRAP_RESULT).alias("rule_id"), score.alias("message"), F.array(span(F.col("file"), F.col("start_line"), F.col("end_line"))).alias("places"), F.lit(None).cast("string").alias("fingerprint")))
+    if groups is not None:
+        size = F.concat(F.lit("group "), F.col("number").cast("string"), F.lit(": "), F.col("token_count").cast("string"), F.lit(" tokens in "), F.size("locations").cast("string"), F.lit(" places"))
+        parts.append(groups.select(F.lit(DRY_RESULT).alias("rule_id"), size.alias("message"), F.transform("locations", lambda x: span(x["file"], x["start_line"], x["end_line"])).alias("places"), F.lit(None).cast("string").alias("fingerprint")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("rule_id", F.lit("warning").alias("level"), "message", "places", "fingerprint")
+
+
+def sarif_rows(rules: DataFrame, functions: DataFrame | None = None, groups: DataFrame | None = None, limit: float = 6.0) -> DataFrame:
+    """(rule_id, json): one SARIF result object for each result."""
+    r = sarif_results(rules, functions, groups, limit)
+    region = lambda p: F.when(p["start_line"].isNotNull(), F.struct(p["start_line"].alias("startLine"), p["end_line"].alias("endLine")))
+    places = F.transform("places", lambda p: F.struct(F.struct(F.struct(p["uri"].alias("uri")).alias("artifactLocation"), region(p).alias("region")).alias("physicalLocation")))
+    prints = F.when(F.col("fingerprint").isNotNull(), F.struct(F.col("fingerprint").alias("violationId/v1")))
+    return r.select("rule_id", F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), places.alias("locations"), prints.alias("partialFingerprints"))).alias("json"))
+
+
+def sarif_document(rules: DataFrame, tool: str = "assayer", functions: DataFrame | None = None, groups: DataFrame | None = None, limit: float = 6.0) -> Iterator[str]:
     """The SARIF log in pieces, results streamed from the cluster one partition at a time."""
-    names = [r.rule_id for r in rules.select("rule_id").distinct().orderBy("rule_id").collect()]  # the catalog
+    rows = sarif_rows(rules, functions, groups, limit)
+    sections = [CRAP_RESULT] * (functions is not None) + [DRY_RESULT] * (groups is not None)
+    names = sections + sorted({r.rule_id for r in rows.select("rule_id").distinct().collect()} - set(sections))  # the catalog
     head = {"$schema": SARIF_SCHEMA, "version": "2.1.0"}
     yield json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps({"name": tool, "rules": [{"id": n} for n in names]}) + '}, "results": ['
-    for i, r in enumerate(sarif_rows(rules).orderBy("json").toLocalIterator()):
+    for i, r in enumerate(rows.select("json").orderBy("json").toLocalIterator()):
         yield (", " if i else "") + r.json
     yield "]}]}\n"
 
 
+def envelope(spark, tool: dict, request: dict, sections: dict[str, DataFrame], diagnostics: DataFrame | None = None, version: int = 1) -> Iterator[str]:
+    """The native report in pieces: schema version, tool, request, then each section's rows and the
+    diagnostics, streamed in the order of their JSON. Sections that were not taken are left out, empty
+    ones are empty arrays."""
+    head = json.dumps({"schema_version": version, "tool": tool, "request": request}, sort_keys=True)
+    yield head[:-1] + ', "results": {'
+    for k, name in enumerate(sorted(sections)):
+        yield (", " if k else "") + json.dumps(name) + ": ["
+        for i, r in enumerate(native_rows(sections[name]).orderBy("json").toLocalIterator()):
+            yield (", " if i else "") + r.json
+        yield "]"
+    yield '}, "diagnostics": ['
+    if diagnostics is not None:
+        for i, r in enumerate(native_rows(diagnostics).orderBy("json").toLocalIterator()):
+            yield (", " if i else "") + r.json
+    yield "]}\n"
+
+
 def position(text: str, offset: str) -> tuple[Column, Column]:
     """(line, column), from 1, of a character offset: breaks before it, and characters since the last."""
     before = F.substring(F.col(text), F.lit(1), F.col(offset))

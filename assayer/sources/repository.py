@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import json
 import os
+import re
+import shlex
 import shutil
 import tomllib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.functions.columns import is_excluded_path, is_generated_path, is_test_path, language_of, shebang_language
+from assayer.functions.columns import coverage_path, is_excluded_path, is_generated_path, is_test_path, language_of, shebang_language
 
 PROJECT_MARKERS = {
     "cargo": ("Cargo.toml",), "compilation-database": ("compile_commands.json", "build/compile_commands.json"), "typescript": ("tsconfig.json", "package.json"),
@@ -57,38 +59,80 @@ def scope_fingerprint(request: dict, config: dict, check: dict) -> str:
     return h.hexdigest()
 
 
-def _ignored(rules: list[tuple[str, str, bool]], path: str) -> bool:
-    out = False
-    for base, pattern, negated in rules:
-        inner = path[len(base) :].lstrip("/") if path.startswith(base) else None
-        if inner is None:
-            continue
-        p = pattern.rstrip("/").lstrip("/")
-        anchored = "/" in pattern.strip("/") or pattern.startswith("/")
-        hit = fnmatch.fnmatch(inner, p) or inner.startswith(p + "/") if anchored else any(fnmatch.fnmatch(part, p) for part in inner.split("/"))
-        if hit:
-            out = not negated
-    return out
-
-
-def ignore_rules(files: dict[str, str]) -> list[tuple[str, str, bool]]:
-    """(folder, pattern, negated) of ignore files by path; the deepest file and the last line win."""
+def _glob(pattern: str) -> str:
+    """A pattern of an ignore file as a regular expression over a whole path: ``*`` and ``?`` stay within
+    a folder, ``**`` does not, a set in brackets is one character, a backslash takes the next as it is."""
+    out, i = [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
+            out.append("(?:.*/)?")
+            i += 3
+        elif pattern.startswith("**", i) and i + 2 == len(pattern) and i and pattern[i - 1] == "/":
+            out.append(".+")
+            i += 2
+        elif c == "*":
+            out.append("[^/]*")
+            i += 1
+        elif c == "?":
+            out.append("[^/]")
+            i += 1
+        elif c == "[" and "]" in pattern[i + 2 :]:
+            end = pattern.index("]", i + 2)
+            body = pattern[i + 1 : end].replace("\\", "\\\\")
+            out.append("[" + ("^" + body[1:] if body[0] in "!^" else body) + "]")
+            i = end + 1
+        else:
+            i += c == "\\" and i + 1 < len(pattern)
+            out.append(re.escape(pattern[i]))
+            i += 1
+    return "".join(out)
+
+
+def ignore_rules(files: dict[str, str]) -> list[tuple[str, str, bool, bool]]:
+    """(folder, expression, folders only, negated) of ignore files by path, least first: the deepest
+    file wins, in a folder ``.ignore`` over ``.gitignore``, and in a file the last line."""
     out = []
-    for path in sorted(files, key=lambda p: (p.count("/"), p.endswith(".ignore") and not p.endswith(".gitignore"), p)):
+    for path in sorted(files, key=lambda p: (p.count("/"), not p.endswith(".gitignore"), p)):
         base = path.rpartition("/")[0]
         for line in files[path].splitlines():
-            line = line.strip()
-            if line and not line.startswith("#"):
-                out.append((base, line.lstrip("!"), line.startswith("!")))
+            line = re.sub(r"(?<!\\)\s+$", "", line)
+            if not line or line.startswith("#"):
+                continue
+            negated = line.startswith("!")
+            line = line[negated:]
+            folders = line.endswith("/")
+            line = line.rstrip("/")
+            anchored = "/" in line
+            out.append((base, ("" if anchored else "(?:.*/)?") + _glob(line.lstrip("/")), folders, negated))
     return out
 
 
+def ignored(rules: list[tuple[str, str, bool, bool]], path: str) -> bool:
+    """Whether the rules leave a file out: by itself, or with a folder that they leave out, from which
+    nothing comes back."""
+    parts = path.split("/")
+    for n in range(1, len(parts) + 1):
+        some, out = "/".join(parts[:n]), False
+        for base, expression, folders, negated in rules:
+            inner = some[len(base) + 1 :] if base and some.startswith(base + "/") else some if not base else None
+            if inner and not (folders and n == len(parts)) and re.fullmatch(expression, inner, re.S):
+                out = not negated
+        if out:
+            return True
+    return False
+
+
 def source_files(spark: SparkSession, root: str, languages: tuple[str, ...] = (), filters: tuple[str, ...] = (), include_tests: bool = False, ignore: dict[str, str] | None = None, max_bytes: int = 8 << 20) -> DataFrame:
-    """(relative, language, generated, test, text) of the selected sources below ``root``, read by Spark."""
+    """(relative, language, generated, test, text) of the selected sources below ``root``, read by Spark.
+
+    A selected source of more than ``max_bytes`` is an error that names it: a run over a part of the
+    sources would look like a run over all.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace("path", "^file:/+", "/")
     rel = F.regexp_replace(F.substring_index(base, root.rstrip("/") + "/", -1), "^/+", "")
-    rows = files.where(F.col("length") <= max_bytes).select(rel.alias("relative"), F.decode("content", "UTF-8").alias("text")).where(~is_excluded_path("relative"))
+    rows = files.select(rel.alias("relative"), F.decode("content", "UTF-8").alias("text"), "length").where(~is_excluded_path("relative"))
     language = F.coalesce(language_of("relative", languages), F.when(~F.contains(F.substring_index("relative", "/", -1), F.lit(".")), shebang_language(F.substring("text", 1, 4096))))
     rows = rows.withColumn("language", language).where("language IS NOT NULL")
     rows = rows.withColumn("generated", is_generated_path("relative")).withColumn("test", is_test_path("relative", "language"))
@@ -103,15 +147,40 @@ def source_files(spark: SparkSession, root: str, languages: tuple[str, ...] = ()
         rows = rows.where(~F.col("test"))
     if ignore:
         rules = ignore_rules(ignore)
-        keep = F.udf(lambda p: not _ignored(rules, p), "boolean")  # a few path names, no hot path
-        rows = rows.where(keep("relative"))
-    return rows
-
 
-def compile_commands(spark: SparkSession, path: str) -> DataFrame:
-    """(directory, file, arguments, command) of a compilation database."""
-    shape = "directory string, file string, arguments array<string>, command string, output string"
-    return spark.read.schema(shape).option("multiLine", "true").json(path)
+        @F.pandas_udf("boolean")
+        def kept(paths: pd.Series) -> pd.Series:
+            return pd.Series([not ignored(rules, p) for p in paths], dtype=bool)
+
+        rows = rows.where(kept("relative"))
+    large = F.raise_error(F.concat(F.lit(f"source of more than {max_bytes} bytes: "), "relative"))
+    return rows.withColumn("text", F.when(F.col("length") > max_bytes, large).otherwise(F.col("text"))).drop("length")
+
+
+def compile_commands(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
+    """(directory, file, arguments, output, index) of a compilation database, in its order.
+
+    Folders are resolved against the database's own (``base``), files against their folder. An entry has
+    arguments or a command, which is split as a shell does; both, neither, an empty one, or an empty
+    folder or file is an error. A file may have several commands; all are kept.
+    """
+    shape = "array<struct<directory: string, file: string, arguments: array<string>, command: string, output: string>>"
+    text = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    e = text.select("path", F.posexplode(F.from_json("text", shape)).alias("index", "e")).select("path", "index", "e.*")
+    own = F.lit(base) if base else F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "/[^/]*$", "")
+    bad = lambda why: F.raise_error(F.concat(F.lit("compilation database entry "), F.col("index").cast("string"), F.lit(f": {why}")))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+
+    @F.pandas_udf("array<string>")
+    def split(commands: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else shlex.split(c) for c in commands])
+
+    given, made = F.col("arguments"), split("command")
+    arguments = F.when(empty("directory") | empty("file"), bad("directory and file must be set")).when(given.isNotNull() & F.col("command").isNotNull(), bad("arguments and command")).when(F.size(F.coalesce(given, made)) > 0, F.coalesce(given, made)).otherwise(bad("neither arguments nor command"))
+    absolute = lambda c: c.rlike(r"^(/|[A-Za-z]:[/\\\\])")
+    folder = coverage_path(F.when(absolute(F.col("directory")), F.col("directory")).otherwise(F.concat_ws("/", own, "directory")))
+    rows = e.withColumn("arguments", arguments).withColumn("directory", folder)
+    return rows.select("directory", coverage_path(F.when(absolute(F.col("file")), F.col("file")).otherwise(F.concat_ws("/", "directory", "file"))).alias("file"), "arguments", "output", "index")
 
 
 def cargo_metadata(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
