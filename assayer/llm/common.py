@@ -15,8 +15,16 @@ from pyspark.sql import types as T
 PIECE_BYTES = 8_000_000
 
 
+#: Tables of whole texts, whose rows are worth dealing out.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts are dealt to all cores where the files have fewer splits than there are cores, as
+    one small file would else keep one core busy. Tables of many files are left as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

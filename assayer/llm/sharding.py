@@ -5,7 +5,7 @@ between shards are found by probing: exact bytes and rows are counted below even
 boundaries (bins of the key's bits) over all partitions, the bin that holds a target is probed again
 with finer boundaries, and so on until each splitter is within tolerance of its share of the bytes or
 its bin holds one row. A group of equal texts larger than the tolerance is split by doc_id. Only
-counts reach the driver: at most ``BINS`` for each bin that is still open. Rows are then exchanged
+counts reach the driver: at most 2^``COLLECT_BITS`` in a round, however many bins are open. Rows are then exchanged
 once, straight to their place.
 
 The law is ``bytes``: each shard's size is within twice the tolerance, or the size of one document, of
@@ -32,8 +32,8 @@ SHARDS = 40
 ROW_BYTES = 16
 #: Of a shard's size.
 TOLERANCE = 0.001
-BIN_BITS = 12
-BINS = 1 << BIN_BITS
+#: A round refines open bins by at most so many bits, and gathers at most 2^COLLECT_BITS counts in all.
+BIN_BITS, COLLECT_BITS = 12, 18
 #: A shard is exchanged in so many tasks that each has about this many bytes, to a limit.
 TASK_BYTES = 64_000_000
 MAX_TASKS = 16_384
@@ -85,12 +85,13 @@ def find_splitters(sizes: DataFrame, targets: np.ndarray, slack: np.ndarray) ->
     open_: dict[tuple[int, int, int, int], list[int]] = {(0, 0, 0, 0): list(range(n))}
     base = {(0, 0, 0, 0): (0, 0)}
     while open_:
-        counts = _count(sizes, list(open_))
+        finer = max(1, min(BIN_BITS, COLLECT_BITS - (len(open_) - 1).bit_length()))
+        counts = _count(sizes, list(open_), finer)
         following: dict[tuple[int, int, int, int], list[int]] = {}
         next_base = {}
         for where, inside in open_.items():
             column, bits, prefix, fixed = where
-            take = min(BIN_BITS, 64 - bits)
+            take = min(finer, 64 - bits)
             size, number = np.zeros(1 << take, dtype=np.int64), np.zeros(1 << take, dtype=np.int64)
             for b, s, c in counts.get(where, ()):
                 size[b], number[b] = s, c
@@ -126,14 +127,14 @@ def find_splitters(sizes: DataFrame, targets: np.ndarray, slack: np.ndarray) ->
     return Splitters(np.array([keys[t] for t in order], dtype=np.uint64), np.array([ids[t] for t in order], dtype=np.uint64), below[order], rows[order])
 
 
-def _count(sizes: DataFrame, bins: list[tuple[int, int, int, int]]) -> dict[tuple[int, int, int, int], list[tuple[int, int, int]]]:
+def _count(sizes: DataFrame, bins: list[tuple[int, int, int, int]], finer: int) -> dict[tuple[int, int, int, int], list[tuple[int, int, int]]]:
     """Exact bytes and rows in the next finer bins of each open bin: one pass over all partitions."""
     out: dict[tuple[int, int, int, int], list[tuple[int, int, int]]] = {}
     by_kind: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
     for b in bins:
         by_kind.setdefault(b[:2], []).append(b)
     for (column, bits), some in by_kind.items():
-        take = min(BIN_BITS, 64 - bits)
+        take = min(finer, 64 - bits)
         x = F.col("k" if column == 0 else "i")
         prefix = F.shiftrightunsigned(x, 64 - bits) if bits else F.lit(0).cast("long")
         rows = sizes
@@ -144,7 +145,7 @@ def _count(sizes: DataFrame, bins: list[tuple[int, int, int, int]]) -> dict[tupl
         bin_ = F.shiftrightunsigned(F.shiftleft(x, bits), 64 - take)
         fixed = F.col("k") if column == 1 else F.lit(0).cast("long")
         got = rows.groupBy(prefix.alias("p"), fixed.alias("f"), bin_.alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("c"))
-        for r in got.collect():  # BINS for each open bin
+        for r in got.collect():  # 2^finer for each open bin
             out.setdefault((column, bits, _unsigned(r.p), _unsigned(r.f)), []).append((int(r.b), int(r.s), int(r.c)))
     return out
 

@@ -241,5 +241,17 @@ def test_shards_are_balanced_and_gapless(spark, odd, none, monkeypatch):
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
         split = Counter(t for t, _ in {(r.text, r.shard) for r in out if r.text is not None and not r.text.startswith("copy")})
         assert max(split.values()) == 1
+        # against a plain sort: the shards one after the other are the rows in order, cut near the targets
+        keyed = spark.createDataFrame([(r.doc_id, r.text, r.shard, r.slot, r.size) for r in out], "doc_id long, text string, shard int, slot long, size long")
+        keyed = keyed.select("shard", "slot", "size", sharding.key_of().alias("k"), sharding.id_of().alias("i")).collect()
+        unsigned = lambda x: x & (1 << 64) - 1
+        placed = sorted(keyed, key=lambda r: (r.shard, r.slot))
+        order = [(unsigned(r.k), unsigned(r.i)) for r in placed]
+        assert order == sorted(order)
+        below = 0
+        for a, b in zip(placed, placed[1:]):
+            below += a.size
+            if a.shard != b.shard:
+                assert abs(below - mean * b.shard) <= 416
     assert sharding.shard_documents(odd.withColumn("SLOT", F.lit(1))).count() == odd.count()
     assert sharding.shard_documents(none).count() == 0
