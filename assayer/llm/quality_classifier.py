@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     share = F.pmod(order, F.lit(1 << 20)) < F.lit(min(1 << 20, int(rows * (1 << 20) / n) + 1))
     # at most the sample is broadcast: its rows are bounded by the parameter
     sample = F.broadcast(marks.where(share))
-    texts = docs.select("doc_id", "text").join(sample, "doc_id").withColumn("place", order).dropDuplicates(["doc_id"])
+    # of a repeated id the least text, so that a fit can be repeated
+    texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).withColumn("place", order)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -193,6 +193,34 @@ def test_classifier_learns_and_handles_odd_rows(spark, odd, none):
     assert quality_classifier.score_documents(none, model).count() == 0
 
 
+def test_training_equals_a_plain_pass():
+    """Follow-the-regularised-leader one coordinate at a time, in plain numbers."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    texts = [(i % 2, " ".join(rng.choice(["calm", "river", "good", "buy", "now", "!!"][3 * (i % 2 == 0) :][:4]) for _ in range(12))) for i in range(60)]
+    rows = [(y, *quality_classifier.vector(t)) for y, t in texts]
+    z, n = {}, {}
+    a, b, l1, l2 = quality_classifier.ALPHA, quality_classifier.BETA, quality_classifier.L1, quality_classifier.L2
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((b + math.sqrt(n.get(i, 0.0))) / a + l2)
+
+    for _ in range(quality_classifier.EPOCHS):
+        for y, index, value in rows:
+            w = {i: weight(i) for i in index.tolist()}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(index.tolist(), value.tolist(), strict=True))))
+            for i, v in zip(index.tolist(), value.tolist(), strict=True):
+                g = (p - y) * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / a * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality_classifier.train(rows).weights
+    assert len(z) > 10 and set(np.flatnonzero(got).tolist()) == {i for i in z if weight(i)}
+    assert all(abs(got[i] - weight(i)) < 1e-4 for i in z)
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     rows = [(i, f"text {i} of {'good' if i % 3 else 'bad'} kind") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
