@@ -102,14 +102,60 @@ def _colours(edges: DataFrame) -> DataFrame:
         labels = stepped.select("node", "colour")
 
 
+#: Graphs of at most so many edges are solved by the driver; larger ones stay distributed.
+DRIVER_EDGES = 50_000
+
+
+def _rings(edges: list[tuple[str, str]]) -> list[list[str]]:
+    """Strongly connected components with a cycle, without recursion: nodes by the end of a first walk,
+    then gathered against the edges."""
+    ahead: dict[str, list[str]] = {}
+    back: dict[str, list[str]] = {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    ended: list[str] = []
+    met: set[str] = set()
+    for start in ahead:
+        walk = [] if start in met else [(start, iter(ahead[start]))]
+        met.add(start)
+        while walk:
+            node, rest = walk[-1]
+            step = next((x for x in rest if x not in met), None)
+            if step is None:
+                ended.append(node)
+                walk.pop()
+            else:
+                met.add(step)
+                walk.append((step, iter(ahead.get(step, ()))))
+    out, taken = [], set()
+    for start in reversed(ended):
+        part, todo = [], [] if start in taken else [start]
+        taken.add(start)
+        while todo:
+            node = todo.pop()
+            part.append(node)
+            for x in back.get(node, ()):
+                if x not in taken:
+                    taken.add(x)
+                    todo.append(x)
+        if len(part) > 1 or part and part[0] in ahead.get(part[0], ()):
+            out.append(sorted(part))
+    return out
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(cycle: sorted members) of each strongly connected component with a cycle; a self-edge is one.
 
-    Colours instead of a closure: each node takes the least node that reaches it; the nodes of one
+    A graph of at most ``DRIVER_EDGES`` edges, as package graphs are, is solved at once. Beyond that:
+    colours instead of a closure: each node takes the least node that reaches it; the nodes of one
     colour from which that node can be reached are its component. They go, and the rest, cut at the
     colours, is done again. Tables stay as large as the edges.
     """
     all_edges = settle(edges.select("a", "b").distinct())
+    if all_edges.count() <= DRIVER_EDGES:
+        rings = _rings([(r.a, r.b) for r in all_edges.collect()])
+        return edges.sparkSession.createDataFrame([(r,) for r in sorted(rings)], "cycle array<string>")
     alone = all_edges.where("a = b").select(F.col("a").alias("root"), F.col("a").alias("node"))
     left = _cyclic(all_edges.where("a <> b"))
     parts = [alone]

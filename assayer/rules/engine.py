@@ -50,19 +50,19 @@ def union(*parts: DataFrame) -> DataFrame:
 
 
 def or_sentinel(rows: DataFrame, sentinel: DataFrame) -> DataFrame:
-    """``rows``, or the sentinel row where there are none: an inventory that was taken and is empty."""
-    return sentinel if rows.isEmpty() else rows
+    """``rows``, or the sentinel row where there are none: an inventory that was taken and is empty.
+    Whether there are any is a scalar of the plan, no job of its own."""
+    some = rows.select(F.lit(1).alias("x")).limit(1).agg(F.count("*").alias("n")).scalar()
+    return rows.unionByName(sentinel.where(some == 0))
 
 
 def bounded_inventory(findings: DataFrame, rule_id: str, allowed: int, algorithm: str = "") -> DataFrame:
     """A row for each finding, each measuring the total; one row of zero without findings."""
-    spark = findings.sparkSession
     found = findings.select("file", "symbol", "evidence").distinct()
-    total = found.count()  # one number
-    if not total:
-        one = spark.range(1)
-        return rule_rows(one, rule_id, "Cargo.toml", f"repository inventory::{rule_id}", "maximum", "empty-reliable-inventory-v1", 0, allowed, algorithm=algorithm)
-    return rule_rows(found, rule_id, F.col("file"), F.col("symbol"), "maximum", F.col("evidence"), total, allowed, algorithm=algorithm)
+    total = found.agg(F.count("*").alias("n")).scalar()
+    rows = rule_rows(found, rule_id, F.col("file"), F.col("symbol"), "maximum", F.col("evidence"), total, allowed, algorithm=algorithm)
+    none = findings.sparkSession.range(1).where(total == 0)
+    return rows.unionByName(rule_rows(none, rule_id, "Cargo.toml", f"repository inventory::{rule_id}", "maximum", "empty-reliable-inventory-v1", 0, allowed, algorithm=algorithm))
 
 
 def omissions(spark, rows: list[tuple[str, str]]) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.columns import imported_status, mutation_operator
+from assayer.functions.columns import imported_status, mutation_operator, path_is_relative, repository_path
 
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -68,5 +68,22 @@ def muter(reports: DataFrame) -> DataFrame:
 IMPORTERS = {"mutation-elements": mutation_elements, "cargo-mutants": cargo_mutants, "muter": muter}
 
 
+MAX_IMPORTED = 100_000
+
+
+def checked(rows: DataFrame, maximum: int = MAX_IMPORTED) -> DataFrame:
+    """Imported rows; more than ``maximum`` of them, a path that leaves the project, a mutant without a
+    place or a second one of its id in a file is an error."""
+    n = rows.agg(F.count("*").alias("n")).scalar()
+    again = F.count("*").over(Window.partitionBy("file", "external_id")) > 1
+    told = rows.withColumn("_again", again)
+    fail = lambda why: F.raise_error(F.concat(F.lit(f"imported mutant {why}: "), F.coalesce("file", F.lit("?")), F.lit(" "), F.coalesce("external_id", F.lit("?"))))
+    file = (
+        F.when(n > maximum, fail(f"beyond {maximum}")).when(F.col("file").isNull() | ~path_is_relative("file"), fail("outside the project"))
+        .when((F.coalesce("line", F.lit(0)) < 1) | (F.coalesce("column", F.lit(0)) < 1), fail("without a place")).when(F.col("_again"), fail("told twice")).otherwise(repository_path("file"))
+    )
+    return told.withColumn("file", file).drop("_again")
+
+
 def sort_imported(rows: DataFrame) -> DataFrame:
     return rows.orderBy("file", "line", "column", "external_id")

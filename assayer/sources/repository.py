@@ -30,14 +30,50 @@ DEFAULT_CONFIG = {
 }
 
 
+#: Settings that are shares, and settings that may be nought; all other numbers are counts of one or more.
+SHARES = {"similarity_threshold", "minimum_score", "minimum"}
+FROM_ZERO = {"fail_over", "seed"}
+#: Further settings that a section may have.
+MORE_KEYS = {
+    "analysis": ("languages", "filters", "include_tests", "max_source_bytes"), "mutation": ("provider", "operators", "max_mutants", "timeout_seconds"), "baseline": ("path",),
+    "yagni": ("maximum_unused_private_functions", "maximum_unreferenced_exports", "maximum_unused_dependencies", "maximum_unused_modules", "maximum_unreachable", "maximum_unused_features", "entry_points"),
+    "architecture": ("layers", "forbidden", "domain", "infrastructure", "interfaces", "implementations", "contract_traits", "contract_marker"),
+}
+
+
 def load_config(text: str) -> dict:
-    """Defaults with what the TOML text sets; an unknown section is an error."""
+    """Defaults with what the TOML text sets. An unknown section or setting is an error, and so is a
+    number out of its range."""
     given = tomllib.loads(text)
     if unknown := set(given) - set(SECTIONS):
         raise ValueError(f"unknown configuration sections: {sorted(unknown)}")
+    for section, values in given.items():
+        if not isinstance(values, dict):
+            raise ValueError(f"{section} is not a section")
+        known = {*DEFAULT_CONFIG.get(section, {}), *MORE_KEYS.get(section, ())}
+        if unknown := set(values) - known:
+            raise ValueError(f"unknown settings in {section}: {sorted(unknown)}")
+        for k, v in values.items():
+            if isinstance(v, bool) or not isinstance(v, int | float):
+                continue
+            low, high = (0, 1) if k in SHARES else (0, float("inf")) if k in FROM_ZERO or section == "yagni" else (1, float("inf"))
+            if not low <= v <= high:
+                raise ValueError(f"{section}.{k} is out of range: {v}")
     return {s: DEFAULT_CONFIG.get(s, {}) | given.get(s, {}) for s in SECTIONS}
 
 
+def find_config(start: str, name: str = "assayer.toml") -> str | None:
+    """The configuration file of ``start`` or of the nearest folder above that has one."""
+    folder = os.path.abspath(start)
+    while True:
+        path = os.path.join(folder, name)
+        if os.path.isfile(path):
+            return path
+        if folder == os.path.dirname(folder):
+            return None
+        folder = os.path.dirname(folder)
+
+
 def project_kinds(root: str) -> set[str]:
     found = {k for k, names in PROJECT_MARKERS.items() if any(os.path.isfile(os.path.join(root, n)) for n in names)}
     return found or {"generic"}

@@ -181,9 +181,12 @@ def test_independent_groups_equal_one_greedy_pass(spark):
     assert sorted(r.group_id for r in clones.independent_groups(df).collect()) == sorted(want)
 
 
-def test_cycles_equal_mutual_reach(spark):
+@pytest.mark.parametrize("edges_at_once", [packages.DRIVER_EDGES, 0])
+def test_cycles_equal_mutual_reach(spark, monkeypatch, edges_at_once):
     import random
 
+    monkeypatch.setattr(packages, "DRIVER_EDGES", edges_at_once)
+
     rng = random.Random(3)
     edges = sorted({(f"n{rng.randrange(24):02}", f"n{rng.randrange(24):02}") for _ in range(34)})
     reach = {x: {b for a, b in edges if a == x} for x, _ in edges}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.sinks import reports
-from assayer.sources import repository
+from assayer.sources import mutation_reports, repository
 
 
 @pytest.mark.parametrize(("files", "path", "want"), [
@@ -45,6 +45,32 @@ def test_compile_commands(spark, tmp_path):
             repository.compile_commands(spark, str(path)).collect()
 
 
+@pytest.mark.parametrize("text", ["[nonsense]\n", "[dry]\nmin_token = 3\n", "[dry]\nsimilarity_threshold = 1.5\n", "[kiss]\nmaximum_parameters = 0\n", "crap = 3\n"])
+def test_wrong_settings(text):
+    with pytest.raises(ValueError):
+        repository.load_config(text)
+
+
+def test_settings_are_found_above(tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "assayer.toml").write_text("[dry]\nmin_tokens = 9\n[yagni]\nmaximum_unused_modules = 0\n")
+    path = repository.find_config(str(tmp_path / "a" / "b"))
+    assert path == str(tmp_path / "assayer.toml")
+    got = repository.load_config((tmp_path / "assayer.toml").read_text())
+    assert got["dry"]["min_tokens"] == 9 and got["dry"]["shingle_tokens"] == 4
+
+
+def test_imported_mutants_are_checked(spark):
+    schema = "file string, external_id string, line int, column int"
+    ok = [("./src/a.c", "1", 1, 1), ("src/a.c", "2", 1, 5)]
+    assert [r.file for r in mutation_reports.checked(spark.createDataFrame(ok, schema)).orderBy("external_id").collect()] == ["src/a.c", "src/a.c"]
+    for bad, why in (([("../a.c", "1", 1, 1)], "outside"), ([("a.c", "1", 0, 1)], "without a place"), ([("a.c", "1", 1, 1), ("a.c", "1", 2, 1)], "told twice")):
+        with pytest.raises(Exception, match=why):
+            mutation_reports.checked(spark.createDataFrame(bad, schema)).collect()
+    with pytest.raises(Exception, match="beyond 1"):
+        mutation_reports.checked(spark.createDataFrame(ok, schema), 1).collect()
+
+
 def test_envelope_and_sarif_sections(spark):
     rules = spark.createDataFrame([("crap.maximum", "v1", "a b.c", "f", 9.0, "fail"), ("kiss.x", "v2", "b.c", "g", 2.0, "fail"), ("kiss.x", "v3", "b.c", "h", 1.0, "pass"), ("kiss.y", "v4", "", "h", 2.0, "fail")], "rule_id string, violation_id string, file string, stable_symbol string, measured double, result string")
     rules = rules.withColumns({"allowed": F.lit(1.0), "measured_flag": F.lit(None).cast("boolean"), "allowed_flag": F.lit(None).cast("boolean")})
