@@ -65,6 +65,7 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}.])(?:(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,5}\)[ .\-]?[0-9]{2,4}[ .\-]?[0-9]{2,4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})" + _NOT_BEFORE,
     "name": _NOT_AFTER + rf"(?:{_HONORIFIC})\.? (?:(?:{_PARTICLES}) )*{_NAME_WORD}(?: (?:(?:{_PARTICLES}) )*{_NAME_WORD}){{0,2}}" + _NOT_BEFORE,
 }
+_TITLED = rf"^(?:{_HONORIFIC})\.? "
 #: Every entity holds one of these.
 SIGNS = rf"[0-9@]|[a-f]{{32}}|[A-F]{{32}}|gh[pousr]_|sk-|AKIA|ASIA|{_NOT_AFTER}(?:{_HONORIFIC})\.? "
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -78,6 +79,11 @@ _HEX = "0123456789abcdef"
 LETTERS = {"latin": "bcdfghjkmnpqrtvz", "cyrillic": "бвгджзклмнпрстфх", "greek": "βγδζθκλμνξπρστφχ", "han": "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳"}
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once and stands in the plan once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kind_of(m: Column) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), "email")
@@ -103,22 +109,20 @@ def digest(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
 def _shaped(m: Column, d: Column) -> Column:
     """Letters and digits of ``m`` replaced by those of the digest, one by one; the rest kept."""
-    digits = F.translate(d, "abcdef", "361709")
-    kept = F.regexp_replace(m, r"[^\p{L}\p{N}]", "")
-    n = F.char_length(m)
 
     def one(i: Column) -> Column:
-        c = F.substring(m, i, F.lit(1))
+        def of(c: Column, before: Column) -> Column:
+            hexit = F.substring(d, F.pmod(before, F.lit(60)) + 1, F.lit(1))
+            digit = F.translate(hexit, "abcdef", "361709")
+            first = (before == 1) & (c != "0") & (digit == "0") & (F.char_length(F.regexp_replace(m, r"[^\p{L}\p{N}]", "")) > 1)  # no new leading zero
+            script = F.when(c.rlike(r"\p{IsCyrillic}"), LETTERS["cyrillic"]).when(c.rlike(r"\p{IsGreek}"), LETTERS["greek"]).when(c.rlike(r"\p{IsHan}"), LETTERS["han"]).otherwise(LETTERS["latin"])
+            letter = F.substring(script, F.instr(F.lit(_HEX), hexit), F.lit(1))
+            return F.when(c.rlike("[0-9]"), F.when(first, "7").otherwise(digit)).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
+
         before = F.char_length(F.regexp_replace(F.substring(m, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-        at = F.pmod(before, F.lit(60)) + 1
-        digit = F.substring(digits, at, F.lit(1))
-        first = (before == 1) & (c != "0") & (digit == "0") & (F.char_length(kept) > 1)  # no new leading zero
-        hexit = F.substring(d, at, F.lit(1))
-        of = lambda script: F.translate(hexit, _HEX, LETTERS[script])
-        letter = F.when(c.rlike(r"\p{IsLatin}"), of("latin")).when(c.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(c.rlike(r"\p{IsGreek}"), of("greek")).when(c.rlike(r"\p{IsHan}"), of("han")).otherwise(of("latin"))
-        return F.when(c.rlike("[0-9]"), F.when(first, "7").otherwise(digit)).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
+        return _let(F.substring(m, i, F.lit(1)), lambda c: _let(before, lambda n: of(c, n)))
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(m)), one), "")
 
 
 def _octets(m: Column, d: Column, longer: Column) -> Column:
@@ -130,16 +134,15 @@ def _octets(m: Column, d: Column, longer: Column) -> Column:
     return F.array_join(F.transform(F.split(m, r"\."), one), ".")
 
 
-def _name(part: Column, d: Column, given: Column, gender: Column, more: Column) -> Column:
-    out = None
-    for script, (consonants, vowels, female, male, other, surname) in SCRIPTS.items():
+def _name(part: Column, d: Column, kind: Column, more: Column) -> Column:
+    def written(script: str) -> Column:
+        consonants, vowels, female, male, other, surname = SCRIPTS[script]
         c, v = F.translate(d, _HEX, consonants), F.translate(d, _HEX, vowels)
         body = F.concat(*(x for i in (1, 4, 7) for x in (F.substring(c, i, 1), F.substring(v, i + 1, 1))), F.substring(c, 11, 1), F.translate(more, _HEX, consonants))
-        end = F.when(~given, surname).when(gender == "f", female).when(gender == "m", male).otherwise(other)
-        value = F.initcap(F.concat(body, end))
-        test = {"cyrillic": r"^\p{IsCyrillic}", "greek": r"^\p{IsGreek}"}.get(script)
-        out = value if test is None else F.when(part.rlike(test), value).otherwise(out)
-    return out
+        end = F.when(kind == "given-f", female).when(kind == "given-m", male).when(kind == "given-x", other).otherwise(surname)
+        return F.initcap(F.concat(body, end))
+
+    return F.when(part.rlike(r"^\p{IsCyrillic}"), written("cyrillic")).when(part.rlike(r"^\p{IsGreek}"), written("greek")).otherwise(written("latin"))
 
 
 def _name_words(m: Column) -> Column:
@@ -147,11 +150,11 @@ def _name_words(m: Column) -> Column:
     words = F.split(F.regexp_replace(m, rf"^(?:{_HONORIFIC})\.? ", ""), " ")
     given = F.concat(F.lit("given-"), gender_of(m))
 
-    def word(w: Column, i: Column) -> Column:
-        kind = F.when(w.rlike(rf"^(?:{_PARTICLES})$"), "particle").when(i + 1 < F.size(words), given).otherwise("surname")
+    def word(w: Column, i: Column, n: Column) -> Column:
+        kind = F.when(w.rlike(rf"^(?:{_PARTICLES})$"), "particle").when(i + 1 < n, given).otherwise("surname")
         return F.transform(F.split(w, "-"), lambda p: F.struct(kind.alias("kind"), p.alias("value")))
 
-    return F.transform(words, word)
+    return _let(words, lambda all_: F.transform(all_, lambda w, i: word(w, i, F.size(all_))))
 
 
 def parts_of(kind: Column, m: Column) -> Column:
@@ -167,30 +170,43 @@ def gender_of(m: Column) -> Column:
     return F.when(first.isin(*FEMALE), "f").when(first.isin(*MALE), "m").otherwise("x")
 
 
+def _longer(d: Column, attempt: Column) -> Column:
+    return F.when(attempt >= LONGER_AT, F.substring(d, F.lit(25), (attempt - LONGER_AT + 1) * 4)).otherwise("")
+
+
+def name_replacement(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a name word."""
+    return _let(digest(kind, value, attempt, key), lambda d: _name(value, d, kind, _longer(d, attempt)))
+
+
 def replacement(kind: Column, value: Column, m: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of one entity (kind and normalised value), in the format of ``m``."""
-    d = digest(kind, value, attempt, key)
-    longer = attempt >= LONGER_AT
-    more = F.when(longer, F.substring(d, F.lit(25), (attempt - LONGER_AT + 1) * 4)).otherwise("")
-    letters, digits = F.translate(more, _HEX, "bcdfghjkmnpqrtvz"), F.translate(more, "abcdef", "361709")
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)  # country code, kept
-    tld = F.regexp_extract(value, r"\.(com|net|org)$", 1)
-    return (
-        F.when(kind == "email", F.concat(_shaped(F.substring_index(value, "@", 1), d), letters))
-        .when(kind == "domain", F.concat(F.substring(F.translate(d, _HEX, "bcdfghjkmnpqrtvz"), 1, 12), F.lit(".example."), F.when(tld == "", "com").otherwise(tld)))
-        .when(kind == "ip", _octets(m, d, longer))
-        .when(kind == "secret", F.when(m.rlike(r"^[0-9a-f]+$"), F.substring(F.concat(d, d), F.lit(1), F.char_length(m))).when(m.rlike(r"^[0-9A-F]+$"), F.upper(F.substring(F.concat(d, d), F.lit(1), F.char_length(m)))).otherwise(F.concat(F.regexp_extract(m, r"^(AKIA|ASIA|gh[pousr]_|sk-)", 0), _shaped(F.regexp_replace(m, r"^(AKIA|ASIA|gh[pousr]_|sk-)", ""), d))))
-        .when(kind.startswith("given-"), _name(value, d, F.lit(True), F.substring(kind, -1, 1), more))
-        .when(kind == "surname", _name(value, d, F.lit(False), F.lit("x"), more))
-        .when(kind == "phone", F.concat(code, _shaped(F.substring(m, F.char_length(code) + 1, F.char_length(m)), d), digits))
-        .when(kind.isin("card", "ssn", "iban"), F.concat(_shaped(m, d), digits))
-        .otherwise(_shaped(m, d))
-    )
+    """The surrogate of one entity but a name word (kind and normalised value), in the format of ``m``."""
+
+    def of(d: Column) -> Column:
+        more = _longer(d, attempt)
+        letters, digits = F.translate(more, _HEX, LETTERS["latin"]), F.translate(more, "abcdef", "361709")
+        code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)  # country code, kept
+        tld = F.regexp_extract(value, r"\.(com|net|org)$", 1)
+        head = F.regexp_extract(m, r"^(AKIA|ASIA|gh[pousr]_|sk-)", 0)
+        hexits = F.substring(F.concat(d, d), F.lit(1), F.char_length(m))
+        # what keeps its shape: what stands before, what is shaped, what is added
+        kept = F.when(kind == "phone", code).when(kind == "secret", head).otherwise("")
+        shaped = F.when(kind == "email", F.substring_index(value, "@", 1)).otherwise(F.substring(m, F.char_length(kept) + 1, F.char_length(m)))
+        added = F.when(kind == "email", letters).when(kind.isin("phone", "card", "ssn", "iban"), digits).otherwise("")
+        return (
+            F.when(kind == "domain", F.concat(F.substring(F.translate(d, _HEX, LETTERS["latin"]), 1, 12), F.lit(".example."), F.when(tld == "", "com").otherwise(tld)))
+            .when(kind == "ip", _octets(m, d, attempt >= LONGER_AT))
+            .when((kind == "secret") & m.rlike(r"^[0-9a-f]+$"), hexits)
+            .when((kind == "secret") & m.rlike(r"^[0-9A-F]+$"), F.upper(hexits))
+            .otherwise(F.concat(kept, _let(shaped, lambda x: _shaped(x, d)), added))
+        )
+
+    return _let(digest(kind, value, attempt, key), of)
 
 
 def canonical(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """A surrogate as its entity's normalised value would be written: what distinctness is about."""
-    made = F.lower(replacement(kind, value, value, attempt, key))
+    made = F.lower(F.when(kind.startswith("given-") | (kind == "surname"), name_replacement(kind, value, attempt, key)).otherwise(replacement(kind, value, value, attempt, key)))
     # domains are kept apart by themselves, so an address is told by its domain, and none is real
     return F.when(kind == "email", F.concat(made, F.lit("@\x01"), F.substring_index(value, "@", -1))).otherwise(made)
 
@@ -203,7 +219,7 @@ def entity_table(matches: DataFrame, key: str) -> DataFrame:
     """
     m = F.col("m")
     found = matches.select(F.explode("matches").alias("m")).groupBy("m").agg(F.lit(1).alias("_"))
-    found = found.select(F.explode(parts_of(kind_of(m), m)).alias("e")).select("e.*").distinct()
+    found = found.select(F.explode(_let(kind_of(m), lambda k: parts_of(k, m))).alias("e")).select("e.*").distinct()
     found = materialise(found, "pii-found")
     # names after a title without gender that the corpus has with one gender
     gendered = found.where("kind IN ('given-f', 'given-m')").groupBy("value").agg(F.max("kind").alias("as_kind"), F.count("*").alias("n")).where("n = 1").drop("n")
@@ -225,28 +241,28 @@ def entity_table(matches: DataFrame, key: str) -> DataFrame:
 
 
 def _name_part(p: Column, told: Column, key: str) -> Column:
-    kind = F.coalesce(F.substring_index(told, "/", -1), p["kind"])
-    return F.when(p["kind"] == "particle", p["value"]).otherwise(replacement(kind, p["value"], p["value"], _attempt(told), key))
+    made = _let(told, lambda t: name_replacement(F.coalesce(F.substring_index(t, "/", -1), p["kind"]), p["value"], _attempt(t), key))
+    return F.when(p["kind"] == "particle", p["value"]).otherwise(made)
 
 
 def _attempt(told: Column) -> Column:
     return F.coalesce(F.substring_index(told, "/", 1).cast("int"), F.lit(0))
 
 
-def _written(m: Column, told_of, key: str) -> Column:
+def _written(kind: Column, m: Column, told_of, key: str) -> Column:
     """The surrogate text of a match."""
-    kind = kind_of(m)
     made = F.transform(parts_of(kind, m), lambda p: replacement(p["kind"], p["value"], F.when(kind == "email", p["value"]).otherwise(m), _attempt(told_of(p)), key))
     title = F.regexp_extract(m, rf"^(?:{_HONORIFIC})\.? ", 0)
     words = F.transform(_name_words(m), lambda w: F.array_join(F.transform(w, lambda p: _name_part(p, told_of(p), key)), "-"))
-    return F.when(kind == "name", F.concat(title, F.array_join(words, " "))).when(kind == "email", F.when(F.upper(m) == m, F.upper(F.array_join(made, "@"))).otherwise(F.array_join(made, "@"))).otherwise(made[0])
+    whole = _let(F.array_join(made, "@"), lambda x: F.when((kind == "email") & (F.upper(m) == m), F.upper(x)).otherwise(x))
+    return F.when(kind == "name", F.concat(title, F.array_join(words, " "))).otherwise(whole)
 
 
 def _mentioned(matches: Column, told_of, key: str) -> Column:
     """(value, surrogate) of the name words by which a document's persons may be mentioned again, the
     first way of a word for all. Words of one letter are left alone."""
-    names = F.flatten(F.transform(F.filter(matches, lambda m: kind_of(m) == "name"), lambda m: parts_of(F.lit("name"), m)))
-    long = F.filter(names, lambda p: F.char_length(p["value"]) > 1)
+    names = F.flatten(F.transform(F.filter(matches, lambda m: m.rlike(_TITLED)), lambda m: F.flatten(_name_words(m))))
+    long = F.filter(names, lambda p: (F.char_length(p["value"]) > 1) & (p["kind"] != "particle"))
     said = F.transform(long, lambda p: F.struct(p["value"].alias("value"), _name_part(p, told_of(p), key).alias("surrogate")))
     return F.filter(F.array_distinct(said), lambda x: x["value"].isNotNull())
 
@@ -274,9 +290,9 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     else:
         rows = _join_told(rows, exceptions)
         told_of = lambda p: F.element_at(F.col("_told"), entity(p))
-    written = F.transform("_matches", lambda m: F.struct(kind_of(m).alias("kind"), _written(m, told_of, key).alias("surrogate")))
+    written = F.transform("_matches", lambda m: _let(kind_of(m), lambda kind: F.struct(kind.alias("kind"), _written(kind, m, told_of, key).alias("surrogate"))))
     rows = rows.withColumn("entities", F.when(F.size("_matches") > 0, written).otherwise(F.array().cast("array<struct<kind:string,surrogate:string>>")))
-    named = F.exists("_matches", lambda m: kind_of(m) == "name")
+    named = F.exists("_matches", lambda m: m.rlike(_TITLED))
     rows = rows.withColumn("_mentioned", F.when(named, _mentioned(F.col("_matches"), told_of, key)))
     rest = F.split(t, ENTITY, -1)
     rest = F.when(F.col("_mentioned").isNotNull(), _without_mentions(rest, F.col("_mentioned"))).otherwise(rest)
@@ -289,7 +305,7 @@ def _join_told(rows: DataFrame, exceptions: DataFrame) -> DataFrame:
     """Many exceptions: each row with such entities gets what is told of its own."""
     rows = materialise(rows.withColumn("_rid", F.monotonically_increasing_id()), "pii-rows")
     m = F.col("m")
-    own = rows.select("_rid", F.explode("_matches").alias("m")).select("_rid", F.explode(parts_of(kind_of(m), m)).alias("e")).select("_rid", F.concat_ws(":", "e.kind", "e.value").alias("entity")).distinct()
+    own = rows.select("_rid", F.explode("_matches").alias("m")).select("_rid", F.explode(_let(kind_of(m), lambda k: parts_of(k, m))).alias("e")).select("_rid", F.concat_ws(":", "e.kind", "e.value").alias("entity")).distinct()
     maps = own.join(exceptions, "entity").groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("entity", "told"))).alias("_told"))
     return rows.join(maps, "_rid", "left").drop("_rid")
 
