@@ -117,7 +117,8 @@ def graph(spark, d):
     mean = e.agg(F.avg("n").alias("mean"))
     e = e.withColumn("scope", F.when(F.col("n") > 1.3 * mean.scalar(), "production").otherwise("development"))
     x, y = n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("package"), F.col("n_regionkey").alias("ra")), n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("dependency"), F.col("n_regionkey").alias("rb"))
-    e = e.join(x, "a").join(y, "b").select("package", "dependency", "scope", F.lit(True).alias("internal"), (F.col("ra") == F.col("rb")).alias("target_gated"))
+    # a package graph is used many times over, and is small beside the lines that it comes from
+    e = settle(e.join(x, "a").join(y, "b").select("package", "dependency", "scope", F.lit(True).alias("internal"), (F.col("ra") == F.col("rb")).alias("target_gated")))
     return n.select(F.col("n_name").alias("name"), F.concat(F.lit("crates/"), F.col("n_name")).alias("root"), "n_regionkey"), e
 
 
