@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 4_000_000
 
 
 #: Tables of whole texts, whose rows are worth dealing out.
@@ -56,7 +59,7 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialise(df: DataFrame, tag: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage like ``checkpoint()`` does, survives lost executors and can be read
@@ -69,6 +72,37 @@ def materialise(df: DataFrame, tag: str, partition_by: Sequence[str] = ()) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of what no plan holds any more: Spark removes exchanged files when the driver collects its
+    garbage, which may else be long after the step that needed them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+_owner = ""
+
+
+def take_worker(owner: str) -> None:
+    """A reused Python worker goes to another operator: the tables of those before are emptied, and
+    memory that is free goes back to the system."""
+    global _owner
+    if owner != _owner:
+        _owner = owner
+        for name, module in list(sys.modules.items()):
+            if name.startswith("assayer.llm.") and name != owner and hasattr(module, "release"):
+                module.release()
+        give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(_remove_quietly, spark, path)
 
@@ -122,11 +156,13 @@ def add_columns(
     names = [*kept, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(compute.__module__)
         state = setup() if setup else None
         for b in pieces(batches):
             made = compute(state, *(b.column(carried.index(c)).to_pylist() for c in inputs))
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(carried.index(c)) for c in kept), *arrays], names=names)
+        give_back()
 
     return src.mapInArrow(run, schema)
 

@@ -47,6 +47,11 @@ _MASK = _DIM - 1
 _known: dict[str, int] = {}
 
 
+def release() -> None:
+    """Empties the worker's table."""
+    _known.clear()
+
+
 def token_hashes(text: str | None) -> np.ndarray:
     tokens = _TOKEN.findall(text) if text else []
     if not tokens:

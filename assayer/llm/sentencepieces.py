@@ -126,6 +126,11 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+def release() -> None:
+    """Empties the worker's tables."""
+    encoder.cache_clear()
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ids (array of int) and decoded (string)."""
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]

@@ -151,6 +151,11 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+def release() -> None:
+    """Empties the worker's tables."""
+    chunk_tokenizer.cache_clear()
+
+
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit finalizer (multiply, shift, xor) of key and seed."""
     x = keys.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
