@@ -69,7 +69,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(spark, tag)
     df.write.mode("overwrite").parquet(path)
     remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables at once; nothing that is still to run may read them."""
+    for df in tables:
+        _remove_quietly(df.sparkSession, df._scratch_path)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import materialise
+from assayer.llm.common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,10 +34,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        old, edges = edges, materialise(_star(_star(edges, True), False), "edges")
+        discard(old)
         # decimal sums: long sums of hashes could overflow
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
+    # each round of the two stars at least halves what is left of a chain, so this many rounds are more
+    # than any number of rows can need
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
