@@ -177,7 +177,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
     own = docs.select(*[f"`{c}`" for c in without(docs, ["size", "shard", "slot"])])
     rows_ = own.withColumns({"_k": key_of(text), "_i": id_of(doc_id), "size": size_of(text)})
     rows_ = rows_.withColumn("_to", place("_k", "_i"))
-    rows_ = rows_.repartitionById(n, F.col("_to.task")).sortWithinPartitions("_to.task", "_k", "_i")
+    rows_ = rows_.repartitionById(n, F.col("_to.task")).sortWithinPartitions("_to.task", *(F.col(c).bitwiseXOR(F.lit(_FLIP)) for c in ("_k", "_i")))
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows_ = rows_.withColumns({"shard": F.floor(F.col("_to.task") / tasks).cast("int"), "slot": F.col("_to.base") + local})
     return rows_.drop("_k", "_i", "_to")
