@@ -129,6 +129,15 @@ def without(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def scratch_name(df: DataFrame, tag: str) -> str:
+    """A column name for a helper column that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{tag}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(batches: Iterator[pa.RecordBatch], octets: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``octets`` each, so that what is made of one in Python stays small."""
     for b in batches:

@@ -47,4 +47,9 @@ cut AS (SELECT stratum, k, min(b) AS cut FROM p, lvl WHERE tail <= level GROUP B
 bad AS (SELECT DISTINCT rid FROM r JOIN cut USING (stratum) WHERE v[k] >= cut.cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM r"""
 
-ORACLE_SQL = {"op4_quality_rules": QUALITY_RULES, "op7_decontamination": DECONTAMINATION}
+EXACT_DEDUP = f"""
+WITH d AS (SELECT doc_id, {_FOLD.format("text")} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)"""
+
+ORACLE_SQL = {"op11_exact_dedup": EXACT_DEDUP, "op4_quality_rules": QUALITY_RULES, "op7_decontamination": DECONTAMINATION}
