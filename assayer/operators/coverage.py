@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.columns import coverage_path, coverage_percent, crap_score
+from assayer.operators.intervals import greatest_stretches, stab, with_point_cells, with_span_cells
 
 
 def merge_lines(*reports: DataFrame) -> DataFrame:
@@ -48,12 +49,17 @@ def resolve_files(files: DataFrame, reported: DataFrame, root: str = "") -> Data
 def owned_lines(functions: DataFrame, lines: DataFrame) -> DataFrame:
     """Each executable line of a function: within its range, not strictly inside an excluded range.
 
-    ``functions``: function_id, file, start_line, end_line, excluded (array of struct(s, e)).
+    ``functions``: function_id, file, start_line, end_line, excluded (array of struct(s, e)). A line and a
+    function meet in a dyadic cell, which carries only the excluded ranges that reach into it.
     """
-    f, ln = functions.alias("f"), lines.alias("l")
-    inside = (F.col("f.file") == F.col("l.file")) & F.col("l.line").between(F.col("f.start_line"), F.col("f.end_line"))
-    free = ~F.exists(F.coalesce(F.col("f.excluded"), F.array().cast("array<struct<s:int,e:int>>")), lambda r: (r.s < F.col("l.line")) & (F.col("l.line") < r.e))
-    return f.join(ln, inside).where(free).select("f.function_id", "f.file", "l.line", "l.hits")
+    f = functions.select("function_id", "file", "start_line", "end_line", F.coalesce("excluded", F.array().cast("array<struct<s:int,e:int>>")).alias("excluded"))
+    cells = with_span_cells(f, "start_line", "end_line")
+    first = F.call_function("shiftleft", F.col("cell"), F.col("level"))
+    last = F.call_function("shiftleft", F.col("cell") + 1, F.col("level")) - 1
+    cells = cells.select("function_id", "file", "level", "cell", F.filter("excluded", lambda r: (r.s < last) & (first < r.e)).alias("excluded"))
+    points = with_point_cells(lines.select("file", "line", "hits"), "line", f, "start_line", "end_line")
+    free = ~F.exists("excluded", lambda r: (r.s < F.col("line")) & (F.col("line") < r.e))
+    return points.join(cells, ["file", "level", "cell"]).where(free).select("function_id", "file", "line", "hits")
 
 
 def boundary_executable(functions: DataFrame, lines: DataFrame) -> DataFrame:
@@ -78,16 +84,21 @@ def smallest_container(points: DataFrame, functions: DataFrame, point_id: str =
 
     Ties go to the lesser symbol, then name. The least of a struct is an aggregate with partial sums.
     """
-    p, f = points.alias("p"), functions.alias("f")
-    inside = (F.col("p.file") == F.col("f.file")) & (F.col("f.start_line") <= F.col("p.start_line")) & (F.col("p.end_line") <= F.col("f.end_line"))
-    key = F.struct((F.col("f.end_line") - F.col("f.start_line")).alias("size"), F.col("f.stable_symbol").alias("symbol"), F.col("f.name").alias("name"), F.col("f.function_id").alias("function_id"))
-    return p.join(f, inside, "left").groupBy(f"p.{point_id}", F.col("p.file")).agg(F.min(F.when(F.col("f.function_id").isNotNull(), key)).alias("k")).select(point_id, "file", "k.function_id", F.col("k.symbol").alias("symbol"))
-
-
-def regional_percent(region_lines: DataFrame) -> DataFrame:
-    """(function_id, line, hits) of assigned regions -> coverage; lines merged by the most hits."""
-    merged = region_lines.groupBy("function_id", "line").agg(F.max("hits").alias("hits"))
-    return merged.groupBy("function_id").agg(F.count_if(F.col("hits") > 0).alias("covered"), F.count("*").alias("executable")).select("function_id", coverage_percent("covered", "executable").alias("coverage"))
+    f = functions.select("file", F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"), F.struct((F.col("end_line") - F.col("start_line")).alias("size"), F.col("stable_symbol").alias("symbol"), "name", "function_id").alias("k"))
+    hits = stab(points.select(point_id, "file", "start_line", "end_line"), "start_line", f, "f_start", "f_end", ["file"])
+    hits = hits.where(F.col("end_line") <= F.col("f_end")).select(point_id, "file", "k")
+    # points without a function come from the points themselves: one grouping, no join back
+    every = points.select(point_id, "file").withColumn("k", F.lit(None).cast(hits.schema["k"].dataType))
+    return hits.unionByName(every).groupBy(point_id, "file").agg(F.min("k").alias("k")).select(point_id, "file", "k.function_id", F.col("k.symbol").alias("symbol"))
+
+
+def regional_percent(regions: DataFrame) -> DataFrame:
+    """(function_id, start_line, end_line, hits) of assigned regions -> coverage; where regions overlap, a
+    line has the most hits. Rows grow with regions: lines are counted by the length of stretches."""
+    merged = greatest_stretches(regions.select("function_id", "start_line", "end_line", "hits"), ["function_id"])
+    lines = F.col("end_line") - F.col("start_line") + 1
+    counts = merged.groupBy("function_id").agg(F.sum(F.when(F.col("hits") > 0, lines).otherwise(0)).alias("covered"), F.sum(lines).alias("executable"))
+    return counts.select("function_id", coverage_percent("covered", "executable").alias("coverage"))
 
 
 def apply_coverage(functions: DataFrame, lines: DataFrame, unreported_as_zero: bool = False, has_regions: bool = False) -> DataFrame:

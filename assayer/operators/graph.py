@@ -24,7 +24,15 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{folder}/assayer/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove settled tables at once; nothing that is still to run may read them."""
+    for df in tables:
+        _remove(df.sparkSession, df._settled_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -53,8 +61,11 @@ def min_labels(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         stepped = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         up = stepped.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        stepped = settle(stepped.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), "old"))
-        if stepped.where("label <> old").isEmpty():
-            return stepped.select("node", "label")
-        labels = stepped.select("node", "label")
+        before, labels = labels, settle(stepped.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), "old"))
+        forget(before)
+        if labels.where("label <> old").isEmpty():
+            forget(both)
+            return labels.select("node", "label")
+    # the least label moves at least one edge in a round and then twice as far as before, so a chain of
+    # any length that a table can hold ends in fewer rounds
     raise RuntimeError("labels did not settle")
