@@ -15,18 +15,31 @@ def settle(df: DataFrame) -> DataFrame:
     ``spark.checkpoint.dir``, and read it back: this cuts the lineage, survives lost executors and
     keeps column pruning. The table goes when the driver ends."""
     spark = df.sparkSession
+    path = shared_path(spark, "settled")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(_own_folder(sc.master))
         folder = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/assayer/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder}/assayer/{tag}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled_at = path
-    return out
+    return path
+
+
+def settle_lines(lines: DataFrame, tag: str = "lines") -> str:
+    """The path of text files in the shared folder with one line for each row of ``lines`` (one string)."""
+    path = shared_path(lines.sparkSession, tag)
+    lines.write.text(path)
+    return path
 
 
 def forget(*tables: DataFrame) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import columns as fn
 from assayer.operators import clones, cohesion, coverage, mutation, packages, unused
-from assayer.operators.graph import settle
+from assayer.operators.graph import settle, settle_lines
 from assayer.rules import catalog, engine
 from assayer.sinks import reports
 from assayer.sources import coverage_reports
@@ -94,10 +94,10 @@ def file_resolution(spark, d):
 
 
 def lcov_round_trip(spark, d):
-    """Report texts made of the event lines, read again."""
+    """A report made of the event lines, one record a file, written and read in records."""
     rows = event_lines(spark, d).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "hits"))).alias("x"))
-    text = F.concat(F.lit("TN:\nSF:src/"), F.col("file"), F.lit(".c\n"), F.array_join(F.transform("x", lambda x: F.concat(F.lit("DA:"), x["line"], F.lit(","), x["hits"])), "\n"), F.lit("\nend_of_record\n"))
-    return coverage_reports.lcov(rows.select(F.col("file").alias("path"), text.alias("text")))
+    text = F.concat(F.lit("TN:\nSF:src/"), F.col("file"), F.lit(".c\n"), F.array_join(F.transform("x", lambda x: F.concat(F.lit("DA:"), x["line"], F.lit(","), x["hits"])), "\n"), F.lit("\nend_of_record"))
+    return coverage_reports.lcov(spark, settle_lines(rows.select(text.alias("text")), "lcov"))
 
 
 def coverage_json_round_trip(spark, d):

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import clones, cohesion, coverage, facts, mutation, unused
+from assayer.operators.graph import settle_lines
 from assayer.plans.queries import CAP, WINDOW, event_lines, graph, mutant_lines, read, scored_lines, word_arrays
 from assayer.rules import catalog, engine
 from assayer.sinks import reports
@@ -237,7 +238,7 @@ def cobertura_round_trip(spark, d):
     rows = event_lines(spark, d).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "hits"))).alias("x"))
     lines = F.array_join(F.transform("x", lambda x: F.concat(F.lit('<line number="'), x["line"], F.lit('" hits="'), x["hits"], F.lit('"/>'))), "")
     text = F.concat(F.lit('<coverage><sources><source>/base/</source></sources><packages><package><classes><class filename="a/../'), F.col("file"), F.lit('.py"><lines>'), lines, F.lit("</lines></class></classes></package></packages></coverage>"))
-    return coverage_reports.cobertura(rows.select(text.alias("text")))
+    return coverage_reports.cobertura(spark, settle_lines(rows.select(text.alias("text")), "cobertura"))
 
 
 def istanbul_round_trip(spark, d):
@@ -246,14 +247,29 @@ def istanbul_round_trip(spark, d):
     return coverage_reports.istanbul(rows.select(F.to_json(F.create_map(F.concat(F.lit("/src/"), "file", F.lit(".ts")), F.struct("statementMap", "s"))).alias("text")))
 
 
-def llvm_round_trip(spark, d):
+def llvm_texts(spark, d):
     """Counted and uncounted segments, and a code region over three lines for each line."""
     rows = event_lines(spark, d).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "hits"))).alias("x"))
     segment = lambda x: F.concat(F.lit("["), x["line"], F.lit(",1,"), x["hits"], F.when(x["line"] % 2 == 0, ",true").otherwise(",false"), F.lit(",true,false]"))
     region = lambda x: F.concat(F.lit("["), x["line"], F.lit(",1,"), x["line"] + 2, F.lit(",9,"), x["hits"], F.lit(",0,0,"), F.when(x["line"] % 3 == 0, "0").otherwise("2"), F.lit("]"))
     name = F.concat(F.lit('"/s/'), F.col("file"), F.lit('.c"'))
     text = F.concat(F.lit('{"type":"llvm.coverage.json.export","data":[{"files":[{"filename":'), name, F.lit(',"segments":['), F.array_join(F.transform("x", segment), ","), F.lit(']}],"functions":[{"name":"f","filenames":['), name, F.lit('],"regions":['), F.array_join(F.transform("x", region), ","), F.lit("]}]}]}"))
-    return coverage_reports.llvm(rows.select(text.alias("text")))
+    return rows.select(text.alias("text"))
+
+
+def llvm_round_trip(spark, d):
+    return coverage_reports.llvm(llvm_texts(spark, d))
+
+
+def llvm_stretches(spark, d):
+    """The same regions as stretches of lines."""
+    return coverage_reports.llvm_stretches(llvm_texts(spark, d))
+
+
+def regional_coverage(spark, d):
+    """Regions of each day's function: six hours from each event's hour, hit unless it is an error."""
+    e = read(spark, d, "events").select(F.concat_ws("#", "user_id", F.dayofmonth("ts")).alias("function_id"), F.hour("ts").alias("start_line"), (F.hour("ts") + F.minute("ts") % 7).alias("end_line"), (F.col("event_type") != "error").cast("long").alias("hits"))
+    return coverage.regional_percent(e).withColumn("coverage", F.round("coverage", 9))
 
 
 QUERIES = {
@@ -261,6 +277,6 @@ QUERIES = {
     for f in (
         crap_rules, mutation_rules, dry_rules, empty_inventories, unused_functions, unused_dependencies, unused_features, unreachable_items, module_references, yagni_rules, architecture_rules,
         resolved_targets, structural_claims, merged_lines, merged_functions, merged_records, merged_identifiers, merged_features, non_redundant_regions, fallback_groups, maximal_groups,
-        eligible_functions, invalid_rows, outcomes, ranked_risk, report_counts, sarif_sections, cobertura_round_trip, istanbul_round_trip, llvm_round_trip,
+        eligible_functions, invalid_rows, outcomes, ranked_risk, report_counts, sarif_sections, cobertura_round_trip, istanbul_round_trip, llvm_round_trip, llvm_stretches, regional_coverage,
     )
 }

@@ -99,4 +99,11 @@ SELECT rule_id, start_line, end_line, places, COUNT(*) AS n, SUM(fp)::BIGINT AS
         "SELECT '/s/' || file || '.c' AS file, line::INT AS line, MAX(hits)::BIGINT AS hits FROM x GROUP BY 1, 2",
         "x AS (SELECT file, line, hits FROM lines WHERE line % 2 = 0 UNION ALL SELECT file, unnest(range(line, line + 3)), hits FROM lines WHERE line % 3 = 0)",
     ),
+    "llvm_stretches": round_trip(
+        "SELECT '/s/' || file || '.c' AS file, s AS start_line, e AS end_line, MAX(hits)::BIGINT AS hits FROM st JOIN rg USING (file) WHERE e IS NOT NULL AND s BETWEEN line AND line + 2 GROUP BY 1, 2, 3",
+        "rg AS (SELECT file, line::BIGINT AS line, hits FROM lines WHERE line % 3 = 0)",
+        "st AS (SELECT file, s, LEAD(s) OVER (PARTITION BY file ORDER BY s) - 1 AS e FROM (SELECT file, line AS s FROM rg UNION SELECT file, line + 3 FROM rg))",
+    ),
+    "regional_coverage": """WITH l AS (SELECT user_id || '#' || day(ts) AS function_id, unnest(range(hour(ts), hour(ts) + minute(ts) % 7 + 1)) AS line, (event_type <> 'error')::INT AS hit FROM events),
+m AS (SELECT function_id, line, MAX(hit) AS hit FROM l GROUP BY 1, 2) SELECT function_id, ROUND(100.0::DOUBLE * SUM(hit) / COUNT(*), 9) AS coverage FROM m GROUP BY 1""",
 }

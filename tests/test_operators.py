@@ -298,7 +298,8 @@ LLVM = json.dumps({"data": [{"functions": [{"filenames": ["a.c"], "regions": [[2
     ("x.json", LLVM, "llvm", {("a.c", 2, 9), ("a.c", 3, 5)}),
 ])
 def test_coverage_formats(spark, tmp_path, name, text, fmt, want):
-    assert coverage_reports.detect_format(name, text) == fmt
+    shape = spark.createDataFrame([(text,)], "text string").select(coverage_reports.json_shape()).first()[0]
+    assert coverage_reports.detect_format(name, text, shape) == fmt
     (tmp_path / name).write_text(text)
     assert {tuple(r) for r in coverage_reports.read(spark, str(tmp_path / name)).select("file", "line", "hits").collect()} == want
 
