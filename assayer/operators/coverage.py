@@ -23,11 +23,32 @@ def _tails(c) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
 
 
-def resolve_files(files: DataFrame, reported: DataFrame, root: str = "") -> DataFrame:
+#: A path that passes through more links than this is taken for a loop and stays as it is.
+LINKS = 8
+
+
+def _canonical(met: DataFrame, reported: DataFrame, links: DataFrame) -> DataFrame:
+    """``met`` (rel, joined) with canonical: the reported path that ``joined`` truly is."""
+    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), F.lit(1), i), "/"))
+    to = links.select(coverage_path("path").alias("prefix"), coverage_path("target").alias("target"))
+    now = met.select("rel", F.col("joined").alias("path"))
+    for _ in range(LINKS):  # each step reads the one before it once
+        met_links = now.select("rel", "path", F.explode(prefixes(F.col("path"))).alias("prefix")).join(to, "prefix", "left")
+        best = met_links.groupBy("rel", "path").agg(F.max_by(F.struct("prefix", "target"), F.when(F.col("target").isNotNull(), F.length("prefix"))).alias("at"))
+        now = best.select("rel", F.coalesce(F.concat("at.target", F.expr("substring(path, length(at.prefix) + 1)")), F.col("path")).alias("path"))
+    known = reported.select(F.col("reported").alias("path"), F.col("reported").alias("canonical"))
+    return met.join(now.join(known, "path").select("rel", "canonical"), "rel", "left")
+
+
+def resolve_files(files: DataFrame, reported: DataFrame, root: str = "", links: DataFrame | None = None) -> DataFrame:
     """(file, reported): the report's path of each file. The first way that finds one wins: the same
-    path, the path below ``root``, the only path of which one is the other's suffix, the only path
+    path, the path below ``root``, the true path of that where ``links`` (path, target of links among
+    folders or files) leads elsewhere, the only path of which one is the other's suffix, the only path
     with that base name.
 
+    The true path is that of the longest linked prefix, looked up by equality of prefixes; a target may
+    lie below another link, as often as ``LINKS`` times.
+
     A path has as many suffixes as parts, so candidates meet by equality; for a suffix or base name
     only the number of paths and the least of them are kept, so a common name makes no pairs.
     """
@@ -40,9 +61,10 @@ def resolve_files(files: DataFrame, reported: DataFrame, root: str = "") -> Data
     shorter = tails.join(r, "reported").groupBy("rel").agg(F.count("*").alias("n_shorter"), F.min("reported").alias("shorter"))
     named = r.groupBy(F.substring_index("reported", "/", -1).alias("base")).agg(F.count("*").alias("n_named"), F.min("reported").alias("named"))
     met = f.join(same, "rel", "left").withColumn("joined", F.concat(F.lit(root.rstrip("/") + "/"), F.col("rel"))).join(below, "joined", "left")
+    met = _canonical(met, r, links) if links is not None else met.withColumn("canonical", F.lit(None).cast("string"))
     met = met.join(longer, "rel", "left").join(shorter, "rel", "left").withColumn("base", F.substring_index("rel", "/", -1)).join(named, "base", "left")
     n = F.coalesce("n_longer", F.lit(0)) + F.coalesce("n_shorter", F.lit(0))
-    found = F.coalesce("same", "below", F.when(n == 1, F.coalesce("longer", "shorter")), F.when((n == 0) & (F.col("n_named") == 1), F.col("named")))
+    found = F.coalesce("same", "below", "canonical", F.when(n == 1, F.coalesce("longer", "shorter")), F.when((n == 0) & (F.col("n_named") == 1), F.col("named")))
     return met.select("file", found.alias("reported")).where("reported IS NOT NULL")
 
 
@@ -119,9 +141,14 @@ def apply_coverage(functions: DataFrame, lines: DataFrame, unreported_as_zero: b
     return out.drop("known", "doubt")
 
 
+def reason_counts() -> dict[str, Column]:
+    """The counters of an application, as aggregates: for ``application_counters`` or to be observed."""
+    names = {"matched_functions": "matched", "unmatched_functions": "unmatched-file", "empty_ranges": "empty-range", "ambiguous_functions": "ambiguous"}
+    return {name: F.count_if(F.col("reason") == reason) for name, reason in names.items()}
+
+
 def application_counters(applied: DataFrame) -> DataFrame:
-    count = lambda r: F.count_if(F.col("reason") == r)
-    return applied.agg(count("matched").alias("matched_functions"), count("unmatched-file").alias("unmatched_functions"), count("empty-range").alias("empty_ranges"), count("ambiguous").alias("ambiguous_functions"))
+    return applied.agg(*(c.alias(name) for name, c in reason_counts().items()))
 
 
 def risk_summary(applied: DataFrame, threshold: float = 6.0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.columns import path_is_relative, stable_id
@@ -79,6 +79,24 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("evaluated"), F.count_if(F.col("result") == "pass").alias("passed"), F.count_if(F.col("result") == "fail").alias("failed"), *base)
 
 
+def outcome_counts() -> dict[str, Column]:
+    """The counts of ``summary`` and of rows that break the contract by themselves, as aggregates."""
+    again = excess(F.col("comparison"), F.col("measured"), F.col("allowed"), F.col("measured_flag"), F.col("allowed_flag"))
+    return {
+        "evaluated": F.count(F.lit(1)), "passed": F.count_if(F.col("result") == "pass"), "failed": F.count_if(F.col("result") == "fail"),
+        "wrong_path": F.count_if(~path_is_relative("file")), "wrong_id": F.count_if(~F.coalesce(F.col("violation_id").rlike("^[0-9a-f]{64}$"), F.lit(False))),
+        "wrong_outcome": F.count_if((F.col("excess") != again) | ((F.col("result") == "pass") != (F.col("excess") == 0))),
+    }
+
+
+def write_counted(rows: DataFrame, path: str, counts: dict[str, Column]) -> dict[str, int]:
+    """Write ``rows`` as Parquet and return the counts: they are observed on the rows as they are written,
+    so that no second pass is made."""
+    seen = Observation()
+    rows.observe(seen, *(c.alias(name) for name, c in counts.items())).write.mode("overwrite").parquet(path)
+    return dict(seen.get)
+
+
 def invalid_rows(rows: DataFrame) -> DataFrame:
     """Rows that break the contract: path, id, repeated id, or an outcome that does not follow."""
     again = excess(F.col("comparison"), F.col("measured"), F.col("allowed"), F.col("measured_flag"), F.col("allowed_flag"))
@@ -87,6 +105,28 @@ def invalid_rows(rows: DataFrame) -> DataFrame:
     return rows.join(ids, "violation_id").where(bad).drop("n")
 
 
+BASELINE = ("rule_id", "violation_id", "file", "stable_symbol", "result", "excess")
+_SCOPE = "analysis_scope"
+
+
+def save_rules(rows: DataFrame, table: str, scope: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """Keep rule rows as a table bucketed and sorted by violation, with the scope of its analysis. Runs
+    that are kept so, in as many buckets, are compared without an exchange of either."""
+    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "violation_id").sortBy("violation_id")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    spark = rows.sparkSession
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{_SCOPE}' = '{scope}')")
+    return spark.table(table)
+
+
+def kept_rules(spark: SparkSession, table: str, scope: str) -> DataFrame:
+    """The rows of an earlier run; one of another scope is an error."""
+    known = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == _SCOPE).collect()}
+    if known.get(_SCOPE) != scope:
+        raise ValueError("the baseline has another analysis scope")
+    return spark.table(table).select(*BASELINE)
+
+
 def with_baseline(current: DataFrame, previous: DataFrame) -> DataFrame:
     """``current`` with baseline: new, worsened, existing, improved or not-applicable."""
     before = previous.select("violation_id", F.col("result").alias("_before"), F.col("excess").alias("_excess"))

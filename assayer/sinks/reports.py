@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.columns import escape_terminal, mutator_name, path_uri
+from assayer.operators.graph import settle
 
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 MTE_STATUS = {"killed": "Killed", "survived": "Survived", "no-coverage": "NoCoverage", "compile-error": "CompileError", "runtime-error": "RuntimeError", "timeout": "Timeout", "ignored": "Ignored", "invalid": "RuntimeError", "pending": "Pending"}
@@ -62,34 +64,50 @@ def sarif_rows(rules: DataFrame, functions: DataFrame | None = None, groups: Dat
     return r.select("rule_id", F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), places.alias("locations"), prints.alias("partialFingerprints"))).alias("json"))
 
 
-def sarif_document(rules: DataFrame, tool: str = "assayer", functions: DataFrame | None = None, groups: DataFrame | None = None, limit: float = 6.0) -> Iterator[str]:
-    """The SARIF log in pieces, results streamed from the cluster one partition at a time."""
+def document_lines(spark: SparkSession, parts: Sequence[str | DataFrame]) -> DataFrame:
+    """(line): a JSON document whose parts are fixed text or tables of ``json`` rows.
+
+    Rows of a table follow in the order of their JSON, with commas between them. Rows are ranged over the
+    cluster and numbered within their range; no row passes through the driver, which only knows the text
+    between the tables. ``write_document`` keeps the order.
+    """
+    tables = [p.select(F.lit(i).alias("part"), "json") for i, p in enumerate(parts) if not isinstance(p, str)]
+    texts = spark.createDataFrame([(i, -1, p) for i, p in enumerate(parts) if isinstance(p, str)], "part int, at long, line string")
+    if not tables:
+        return texts.orderBy("part", "at").select("line")
+    rows = reduce(lambda a, b: a.unionByName(b), tables)
+    # written once: numbers grow with the order, range by range
+    ordered = settle(rows.orderBy("part", "json").withColumn("at", F.monotonically_increasing_id()))
+    first = ordered.groupBy("part").agg(F.min("at").alias("first"))  # one row a table
+    body = ordered.join(F.broadcast(first), "part").select("part", "at", F.concat(F.when(F.col("at") > F.col("first"), ", ").otherwise(""), "json").alias("line"))
+    return body.unionByName(texts).orderBy("part", "at").select("line")
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """Write a document as text files whose names are in order: one after the other they are the document.
+    Each task commits its own file."""
+    lines.write.mode("overwrite").text(path)
+
+
+def sarif_document(rules: DataFrame, tool: str = "assayer", functions: DataFrame | None = None, groups: DataFrame | None = None, limit: float = 6.0) -> DataFrame:
+    """(line): the SARIF log."""
     rows = sarif_rows(rules, functions, groups, limit)
     sections = [CRAP_RESULT] * (functions is not None) + [DRY_RESULT] * (groups is not None)
     names = sections + sorted({r.rule_id for r in rows.select("rule_id").distinct().collect()} - set(sections))  # the catalog
-    head = {"$schema": SARIF_SCHEMA, "version": "2.1.0"}
-    yield json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps({"name": tool, "rules": [{"id": n} for n in names]}) + '}, "results": ['
-    for i, r in enumerate(rows.select("json").orderBy("json").toLocalIterator()):
-        yield (", " if i else "") + r.json
-    yield "]}]}\n"
+    head = json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0"})[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps({"name": tool, "rules": [{"id": n} for n in names]}) + '}, "results": ['
+    return document_lines(rules.sparkSession, [head, rows.select("json"), "]}]}"])
 
 
-def envelope(spark, tool: dict, request: dict, sections: dict[str, DataFrame], diagnostics: DataFrame | None = None, version: int = 1) -> Iterator[str]:
-    """The native report in pieces: schema version, tool, request, then each section's rows and the
-    diagnostics, streamed in the order of their JSON. Sections that were not taken are left out, empty
-    ones are empty arrays."""
+def envelope(spark: SparkSession, tool: dict, request: dict, sections: dict[str, DataFrame], diagnostics: DataFrame | None = None, version: int = 1) -> DataFrame:
+    """(line): the native report: schema version, tool, request, then each section's rows and the
+    diagnostics, in the order of their JSON. Sections that were not taken are left out, empty ones are
+    empty arrays."""
     head = json.dumps({"schema_version": version, "tool": tool, "request": request}, sort_keys=True)
-    yield head[:-1] + ', "results": {'
+    parts: list[str | DataFrame] = [head[:-1] + ', "results": {']
     for k, name in enumerate(sorted(sections)):
-        yield (", " if k else "") + json.dumps(name) + ": ["
-        for i, r in enumerate(native_rows(sections[name]).orderBy("json").toLocalIterator()):
-            yield (", " if i else "") + r.json
-        yield "]"
-    yield '}, "diagnostics": ['
-    if diagnostics is not None:
-        for i, r in enumerate(native_rows(diagnostics).orderBy("json").toLocalIterator()):
-            yield (", " if i else "") + r.json
-    yield "]}\n"
+        parts += [(", " if k else "") + json.dumps(name) + ": [", native_rows(sections[name]), "]"]
+    parts.append('}, "diagnostics": [')
+    return document_lines(spark, [*parts, *([] if diagnostics is None else [native_rows(diagnostics)]), "]}"])
 
 
 def position(text: str, offset: str) -> tuple[Column, Column]:
@@ -100,6 +118,23 @@ def position(text: str, offset: str) -> tuple[Column, Column]:
     return line.alias("line"), (F.char_length(last) + 1).alias("column")
 
 
+def positions(offsets: DataFrame, sources: DataFrame) -> DataFrame:
+    """(file, offset, line, column), from 1, of the distinct character offsets of each file.
+
+    ``offsets``: file, offset; ``sources``: file, source. The starts of a source's lines are found once, and
+    offsets take the last start before them in one sweep over both; no text is cut for an offset.
+    """
+    rows = sources.select("file", F.posexplode(F.split("source", "\n")).alias("row", "text"))
+    before = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.select("file", F.coalesce(F.sum(F.char_length("text") + 1).over(before), F.lit(0)).alias("at"), (F.col("row") + 1).alias("line"))
+    asked = offsets.select("file", F.col("offset").cast("long").alias("at")).distinct()
+    both = starts.withColumn("start", F.col("at")).unionByName(asked.withColumns({"line": F.lit(None).cast("int"), "start": F.lit(None).cast("long")}))
+    # at one place the line comes first
+    sweep = Window.partitionBy("file").orderBy("at", F.col("line").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = both.select("file", F.col("at").alias("offset"), "start", F.last("line", ignorenulls=True).over(sweep).alias("line"), F.last("start", ignorenulls=True).over(sweep).alias("since"))
+    return told.where("start IS NULL AND line IS NOT NULL").select("file", "offset", "line", (F.col("offset") - F.col("since") + 1).cast("int").alias("column"))
+
+
 def mutation_elements(results: DataFrame, sources: DataFrame) -> DataFrame:
     """(file, json): the MTE file object of each source with its mutants.
 
@@ -109,15 +144,54 @@ def mutation_elements(results: DataFrame, sources: DataFrame) -> DataFrame:
     status = F.when(F.lit(False), "")
     for k, v in MTE_STATUS.items():
         status = status.when(F.col("status") == k, v)
-    r = results.join(sources, "file")
-    (l1, c1), (l2, c2) = position("source", "start"), position("source", "end")
-    where = F.struct(F.struct(l1, c1).alias("start"), F.struct(l2, c2).alias("end"))
+    ends = results.select("file", F.explode(F.array(F.col("start").cast("long"), F.col("end").cast("long"))).alias("offset"))
+    at = positions(ends, sources)
+    place = lambda name: at.select("file", F.col("offset").alias(name), F.struct("line", "column").alias(f"{name}_at"))
+    r = results.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")}).join(place("start"), ["file", "start"]).join(place("end"), ["file", "end"])
+    where = F.struct(F.col("start_at").alias("start"), F.col("end_at").alias("end"))
     m = r.select("file", F.struct(F.col("id").cast("string").alias("id"), mutator_name("original", "replacement").alias("mutatorName"), "replacement", where.alias("location"), status.alias("status"), "duration").alias("m"))
     mutants = m.groupBy("file").agg(F.array_sort(F.collect_list("m")).alias("mutants"))
     return sources.join(mutants, "file").select("file", F.to_json(F.struct("language", "source", "mutants")).alias("json"))
 
 
-def human_lines(rules: DataFrame) -> DataFrame:
-    """(line): failing rows as text, terminal controls escaped, in rule order."""
-    r = rules.where("result = 'fail'").orderBy("rule_id", "file", "stable_symbol", "violation_id")
-    return r.select(F.concat_ws("  ", "rule_id", escape_terminal("file"), escape_terminal("stable_symbol"), F.coalesce(F.col("measured").cast("string"), F.col("measured_flag").cast("string"))).alias("line"))
+def _number(c, suffix: str = "") -> Column:
+    return F.when(F.col(c).isNotNull(), F.concat(F.format_string("%.2f", F.col(c).cast("double")), F.lit(suffix))).otherwise("unknown")
+
+
+def human_lines(rules: DataFrame | None = None, functions: DataFrame | None = None, groups: DataFrame | None = None, mutants: DataFrame | None = None, limit: float = 6.0) -> DataFrame:
+    """(line): the report as text. A section that was taken has a line with its counts, then its rows in the
+    order of the report: functions by risk, groups by number, mutants by place, failing rules by id.
+    Control and direction marks of names are escaped.
+
+    ``functions``: file, start_line, name, complexity, coverage, crap; ``groups``: number, token_count,
+    locations (array of file, start_line, end_line); ``mutants``: file, line, column, id, original,
+    replacement, status.
+    """
+    parts = []
+
+    def section(rows: DataFrame, head: Column, line: Column, *order: Column | str) -> None:
+        """``head`` counts over all rows; rows stand in ``order``."""
+        k = len(parts)
+        ranked = settle(rows.orderBy(*order).select(line.alias("line")).withColumn("at", F.monotonically_increasing_id()))
+        parts.append(rows.agg(head.alias("line")).select(F.lit(2 * k).alias("part"), F.lit(0).cast("long").alias("at"), "line"))
+        parts.append(ranked.select(F.lit(2 * k + 1).alias("part"), "at", "line"))
+
+    text = lambda *cs: F.concat(*(F.coalesce(c.cast("string"), F.lit("")) if isinstance(c, Column) else F.lit(c) for c in cs))
+    if functions is not None:
+        over = F.count_if(F.col("crap") > limit)
+        head = text("risk: ", F.count("*"), " functions, ", over, f" over {limit:.2f}, ", F.count_if(F.col("crap").isNull()), " without coverage")
+        line = text("  ", escape_terminal("file"), ":", F.col("start_line"), " ", escape_terminal("name"), "  complexity ", F.col("complexity"), ", coverage ", _number("coverage", "%"), ", risk ", _number("crap"))
+        section(functions, head, line, F.col("crap").desc_nulls_last(), "file", "start_line", "name")
+    if groups is not None:
+        spots = F.array_join(F.transform("locations", lambda x: F.concat(escape_terminal(x["file"]), F.lit(":"), x["start_line"].cast("string"), F.lit("-"), x["end_line"].cast("string"))), ", ")
+        section(groups, text("clones: ", F.count("*"), " groups"), text("  ", F.col("number"), ": ", F.col("token_count"), " tokens in ", spots), "number")
+    if mutants is not None:
+        head = text("mutants: ", F.count("*"), ", ", F.count_if(F.col("status") == "killed"), " killed, ", F.count_if(F.col("status") == "survived"), " survived")
+        line = text("  ", escape_terminal("file"), ":", F.col("line"), ":", F.col("column"), " #", F.col("id"), " ", escape_terminal("original"), " -> ", escape_terminal("replacement"), " ", F.col("status"))
+        section(mutants, head, line, "file", "line", "column", "id")
+    if rules is not None:
+        head = text("rules: ", F.count("*"), " evaluated, ", F.count_if(F.col("result") == "fail"), " failed")
+        line = F.concat_ws("  ", F.lit(""), "rule_id", escape_terminal("file"), escape_terminal("stable_symbol"), F.coalesce(F.col("measured").cast("string"), F.col("measured_flag").cast("string")))
+        section(rules, head, F.when(F.col("result") == "fail", line), "rule_id", "file", "stable_symbol", "violation_id")
+        parts[-1] = parts[-1].where("line IS NOT NULL")
+    return reduce(lambda a, b: a.unionByName(b), parts).orderBy("part", "at").select("line")

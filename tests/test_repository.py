@@ -75,10 +75,11 @@ def test_envelope_and_sarif_sections(spark):
     rules = spark.createDataFrame([("crap.maximum", "v1", "a b.c", "f", 9.0, "fail"), ("kiss.x", "v2", "b.c", "g", 2.0, "fail"), ("kiss.x", "v3", "b.c", "h", 1.0, "pass"), ("kiss.y", "v4", "", "h", 2.0, "fail")], "rule_id string, violation_id string, file string, stable_symbol string, measured double, result string")
     rules = rules.withColumns({"allowed": F.lit(1.0), "measured_flag": F.lit(None).cast("boolean"), "allowed_flag": F.lit(None).cast("boolean")})
     functions = spark.createDataFrame([("f", "a b.c", 0, 4, 9.0), ("g", "b.c", 5, 4, 1.0)], "name string, file string, start_line int, end_line int, crap double")
-    doc = json.loads("".join(reports.sarif_document(rules, functions=functions)))["runs"][0]
+    doc = json.loads("".join(r.line for r in reports.sarif_document(rules, functions=functions).collect()))["runs"][0]
     assert [r["id"] for r in doc["tool"]["driver"]["rules"]] == ["crap-threshold", "kiss.x"]
     assert {(r["ruleId"], r["level"]) for r in doc["results"]} == {("crap-threshold", "warning"), ("kiss.x", "warning")}
     (risk,) = [r for r in doc["results"] if r["ruleId"] == "crap-threshold"]
     assert risk["locations"] == [{"physicalLocation": {"artifactLocation": {"uri": "a%20b.c"}, "region": {"startLine": 1, "endLine": 4}}}] and "partialFingerprints" not in risk
-    report = json.loads("".join(reports.envelope(spark, {"name": "assayer", "version": "1"}, {"filters": []}, {"rules": rules, "functions": functions.limit(0)})))
+    lines = reports.envelope(spark, {"name": "assayer", "version": "1"}, {"filters": []}, {"rules": rules, "functions": functions.limit(0)})
+    report = json.loads("".join(r.line for r in lines.collect()))
     assert report["schema_version"] == 1 and len(report["results"]["rules"]) == 4 and report["results"]["functions"] == [] and report["diagnostics"] == []
