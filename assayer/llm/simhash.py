@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,7 +144,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = jaccard.WORDS, threshold:
     key = F.md5(F.col("text").cast("binary")).alias("_key")  # null for a null text
     marked = fingerprints(docs.select("doc_id", "text", key), keep=["doc_id", "_key", "text"])
     full = materialise(jaccard.signatures(marked, jaccard.frequent(docs, words), words, threshold, keep=["doc_id", "_key", "simhash"]), "signatures")
-    narrow, sets = materialise(full.drop("prefix", "size"), "simhash"), jaccard.distinct_sets(full)
+    narrow, sets = materialise(full.drop("prefix", "size", "bits"), "simhash"), jaccard.distinct_sets(full)
     discard(full)
     near = jaccard.links(sets, docs.select(key, "text"), words, threshold)
     # nodes are fingerprints and sets (64-bit hashes both); a document ties its two together
@@ -156,10 +156,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = jaccard.WORDS, threshold:
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
     first = rooted.groupBy("root").agg(F.min(place).alias("_first")).select("root", F.col("_first.doc_id").alias("_fid"), F.col("_first._key").alias("_fkey"))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), key)
-    # rows that may stay; copies of such a row are settled below
+    # rows that may stay; of those with one id and one text the one with the least hash of all its columns
     held = own.join(first, F.col("_key").eqNullSafe(F.col("_fkey")) & F.col("_id").eqNullSafe(F.col("_fid")))
-    one = held.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy(F.lit(0))))
-    return one.where("_n = 1").select("_row.*")
+    return held.groupBy("root").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,46 @@ def test_near_copies_at_shingle_similarity_leave_one(spark, monkeypatch, limit,
     assert sorted(kept) == sorted(want)
 
 
+def test_bitmaps_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 3000))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, int(rng.integers(0, 200))).astype(np.uint64)]))
+        apart = sum(int(x ^ y).bit_count() for x, y in zip(jaccard.bitmap(a).view(np.uint64).tolist(), jaccard.bitmap(b).view(np.uint64).tolist()))
+        assert apart <= len(np.setxor1d(a, b)) and len(jaccard.bitmap(a)) == jaccard.BITS // 64
+    assert not jaccard.bitmap(np.empty(0, dtype=np.uint64)).any()
+
+
+@pytest.mark.parametrize("slices", [0.5, 0.0001])
+def test_pairs_equal_brute_force_in_one_or_many_slices(spark, monkeypatch, slices):
+    monkeypatch.setattr(jaccard, "SLICE", slices)
+    rng = random.Random(8)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(40, 140))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(0, 5)):
+            near = list(base)
+            near[rng.randrange(len(near))] = f"z{rng.randrange(9)}"
+            texts.append(" ".join(near))
+    texts = sorted(set(texts))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("_key", F.md5("text"))
+    sets = jaccard.distinct_sets(jaccard.signatures(docs, np.empty(0, dtype=np.uint64), 5, 0.8, ["_key"]))
+    sid = {r.sid: r._key for r in sets.select("sid", "_key").collect()}
+    found = {tuple(sorted((sid[r.u], sid[r.v]))) for r in jaccard.links(sets, docs.select("_key", "text")).collect()}
+    key = {t: hashlib.md5(t.encode()).hexdigest() for t in texts}
+    similar = {tuple(sorted((key[a], key[b]))) for i, a in enumerate(texts) for b in texts[:i] if jaccard.similar(a, b, 5, 0.8)}
+
+    def parts(pairs):
+        root = {k: k for k in key.values()}
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert len(similar) > 20 and found <= similar and parts(found) == parts(similar)
+
+
 @pytest.mark.parametrize("limit", [64, 3])
 def test_links_have_the_components_of_all_pairs(spark, monkeypatch, limit):
     """Random families of near fingerprints; with limit 3 most lists go by the star."""
