@@ -12,6 +12,10 @@ text throughout repeats all of it. The others are sorted. Runs are of equal text
 64-bit hashes of their bytes (polynomial, and XXH3) and their places agree: 128 bits, as the texts of
 equal runs are not brought together.
 
+Repeated texts. Rows of equal text have equal runs, which become one with a weight before anything is
+exchanged by bucket or gathered for a document, so that no number of copies makes a longer list. Every run
+of a repeated text is repeated; one of the rows lends its bytes to the buckets that need them.
+
 Sorting. Runs of equal text are one member with a weight. For a block of buckets the ranks of the
 suffixes at a difference cover (period 31: for any two positions some distance below 31 brings both
 into the cover) are computed first, by doubling; then the suffixes of one bucket and distance are
@@ -24,7 +28,7 @@ weight is two or more. Both ways find the same strings.
 
 Defined results: the kept bytes, as text, have U+FFFD where a cut goes through a character; null and empty texts have no bytes and lose none; texts shorter than ``LENGTH`` lose
 none; repeated rows are repeats of each other, whatever their ids; a null id is kept; an empty table
-gives an empty table.
+gives an empty table. A text is named by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import encode, materialise, pieces, table
+from assayer.llm.common import discard, encode, free_shuffles, materialise, pieces, table
 
 LENGTH = 400
 WINDOW = 256
@@ -241,11 +245,16 @@ _MEMBERS = pa.list_(pa.struct([("bucket", pa.int64()), ("text_hash", pa.int64())
 def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with what the buckets say of them: finished where no run must be sorted, else kept with
     the text slices that this document lends to its buckets."""
+    lenders: set[tuple[int, int]] = set()  # 16 bytes a text of this task: one row of each lends
     for b in pieces(batches):
         n, removed, hashes, kept, text, pure, mixed, members = ([] for _ in range(8))
-        for t, told in zip(b.column("text"), b.column("told"), strict=True):
+        for t, told, name in zip(b.column("text"), b.column("told"), zip(b.column("id").to_pylist(), b.column("th").to_pylist(), strict=True), strict=True):
             raw = encode(t.as_py())
             rows = told.as_py() or []
+            if any(r["kind"] == 2 for r in rows):
+                if name in lenders:
+                    rows = [r for r in rows if r["kind"] != 2]
+                lenders.add(name)
             place = lambda r: (r["place"] >> _LOW, r["place"] >> _MID & _BITS, r["place"] & _BITS)
             whole = [{"low": (q := place(r))[0], "high": q[0] + q[2]} for r in rows if r["kind"] == 0]
             some = [{k: r[k] for k in ("place", "bucket", "text_hash", "more_hash")} for r in rows if r["kind"] == 1]
@@ -342,9 +351,9 @@ def _keep(raw: bytes, removed: list[dict]) -> bytes:
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id and th name a row; rows that have both alike are copies of each other."""
-    i, t = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")
-    return docs.select(F.coalesce(i, F.lit(-1)).alias("id"), F.xxhash64(i.isNull(), t).alias("th"), i.alias("doc_id"), t.alias("text"))
+    """id and th, 128 bits together, name a text."""
+    t = F.col(f"`{text}`").cast("string")
+    return docs.select(F.xxhash64(t).alias("id"), F.xxhash64(F.lit(8), t).alias("th"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), t.alias("text"))
 
 
 def _kept(raw: bytes, removed: list[dict]) -> tuple[str, str]:
@@ -360,19 +369,25 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Texts are exchanged once; only those with a run to be sorted are kept for a second, later join.
     """
     rows = _keyed(docs, doc_id, text)
-    runs = materialise(rows.select("id", "th", "text").mapInArrow(_runs, RUNS), "suffix-runs")
+    # one row a run of a text, summed in each task before the exchange: copies add to its weight
+    runs = rows.select("id", "th", "text").mapInArrow(_runs, RUNS).groupBy("id", "th", "place", "bucket", "text_hash", "more_hash").agg(F.count("*").alias("weight"))
+    runs = materialise(runs, "suffix-runs")
     mixed_up = (F.min("text_hash") != F.max("text_hash")) | (F.min("more_hash") != F.max("more_hash"))
-    several = runs.groupBy("bucket").agg(F.count("*").alias("n"), mixed_up.alias("mixed")).where("n > 1")
+    several = runs.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("rows"), mixed_up.alias("mixed")).where("rows > 1").drop("rows")
     # a table of its own, one row a bucket: the join below is then between exchanges, and a bucket of very
     # many runs is split among tasks
     several = materialise(several, "suffix-several")
     met = materialise(runs.join(several, "bucket"), "suffix-buckets")
+    discard(runs, several)
+    free_shuffles(docs.sparkSession)
     mixed = met.where("mixed")
-    lenders = mixed.groupBy("bucket", "text_hash", "more_hash", "n").agg(F.count("*").alias("weight"), F.min(F.struct("id", "th", "place")).alias("r"))
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    if_mixed = lambda c: F.when(F.col("mixed"), F.col(c)).alias(c)
-    own = F.struct(F.col("mixed").cast("int").alias("kind"), "place", if_mixed("bucket"), if_mixed("text_hash"), if_mixed("more_hash"), none.alias("n"), none.alias("weight"))
-    lent = F.struct(F.lit(2).alias("kind"), F.col("r.place").alias("place"), "bucket", "text_hash", "more_hash", "n", F.coalesce("weight", zero).alias("weight"))
+    lenders = mixed.groupBy("bucket", "text_hash", "more_hash", "n").agg(F.sum("weight").alias("weight"), F.min(F.struct("id", "th", "place")).alias("r"))
+    none = F.lit(None).cast("long")
+    # what is open to a sort is a run of a text that has no copy
+    unsettled = F.col("mixed") & (F.col("weight") == 1)
+    if_open = lambda c: F.when(unsettled, F.col(c)).alias(c)
+    own = F.struct(unsettled.cast("int").alias("kind"), "place", if_open("bucket"), if_open("text_hash"), if_open("more_hash"), none.alias("n"), none.alias("weight"))
+    lent = F.struct(F.lit(2).alias("kind"), F.col("r.place").alias("place"), "bucket", "text_hash", "more_hash", "n", "weight")
     told = met.select("id", "th", own.alias("x")).unionByName(lenders.select("r.id", "r.th", lent.alias("x"))).groupBy("id", "th").agg(F.collect_list("x").alias("told"))
     state = materialise(rows.join(told, ["id", "th"], "left").mapInArrow(_begin, STATE), "suffix-state")
     again = _repeated_members(state.where("members IS NOT NULL").select(F.inline("members")))

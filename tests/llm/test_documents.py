@@ -105,7 +105,7 @@ def test_bitmaps_never_rule_out_a_similar_pair():
     assert not jaccard.bitmap(np.empty(0, dtype=np.uint64)).any()
 
 
-@pytest.mark.parametrize("slices", [0.5, 0.0001])
+@pytest.mark.parametrize("slices", [0.5, 0.1])
 def test_pairs_equal_brute_force_in_one_or_many_slices(spark, monkeypatch, slices):
     monkeypatch.setattr(jaccard, "SLICE", slices)
     rng = random.Random(8)
@@ -295,3 +295,15 @@ def test_shards_are_balanced_and_gapless(spark, odd, none, monkeypatch):
                 assert abs(below - mean * b.shard) <= 416
     assert sharding.shard_documents(odd.withColumn("SLOT", F.lit(1))).count() == odd.count()
     assert sharding.shard_documents(none).count() == 0
+
+
+def test_suffix_dedup_is_linear_in_equal_rows(spark):
+    """10,000 rows without an id and of one text, one row that shares a passage with it, one that does not."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    text, own, lone = word(2000), word(500), word(700)
+    some = spark.createDataFrame([(1, own + text[300:900] + own[::-1]), (2, lone)], DOCS)
+    docs = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(some)
+    out = suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "removed", "kept_sha256")
+    counts = {(r.doc_id, tuple(tuple(x) for x in r.removed)): r["count"] for r in out.groupBy("doc_id", "removed").count().collect()}
+    assert counts == {(None, ((0, 2000),)): 10_000, (1, ((500, 1100),)): 1, (2, ()): 1}
