@@ -9,12 +9,17 @@ import re
 import shlex
 import shutil
 import tomllib
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.functions.columns import coverage_path, is_excluded_path, is_generated_path, is_test_path, language_of, shebang_language
+from assayer.operators.graph import forget, settle
 
 PROJECT_MARKERS = {
     "cargo": ("Cargo.toml",), "compilation-database": ("compile_commands.json", "build/compile_commands.json"), "typescript": ("tsconfig.json", "package.json"),
@@ -115,7 +120,7 @@ def _glob(pattern: str) -> str:
             i += 1
         elif c == "[" and "]" in pattern[i + 2 :]:
             end = pattern.index("]", i + 2)
-            body = pattern[i + 1 : end].replace("\\", "\\\\")
+            body = re.sub(r"([\\\\\[&])", r"\\\1", pattern[i + 1 : end])
             out.append("[" + ("^" + body[1:] if body[0] in "!^" else body) + "]")
             i = end + 1
         else:
@@ -125,72 +130,156 @@ def _glob(pattern: str) -> str:
     return "".join(out)
 
 
-def ignore_rules(files: dict[str, str]) -> list[tuple[str, str, bool, bool]]:
-    """(folder, expression, folders only, negated) of ignore files by path, least first: the deepest
-    file wins, in a folder ``.ignore`` over ``.gitignore``, and in a file the last line."""
+def parse_ignore_file(text: str) -> list[tuple[str, bool, bool]]:
+    """(expression, folders only, negated) of the lines of an ignore file, in its order."""
     out = []
-    for path in sorted(files, key=lambda p: (p.count("/"), not p.endswith(".gitignore"), p)):
-        base = path.rpartition("/")[0]
-        for line in files[path].splitlines():
-            line = re.sub(r"(?<!\\)\s+$", "", line)
-            if not line or line.startswith("#"):
-                continue
-            negated = line.startswith("!")
-            line = line[negated:]
-            folders = line.endswith("/")
-            line = line.rstrip("/")
-            anchored = "/" in line
-            out.append((base, ("" if anchored else "(?:.*/)?") + _glob(line.lstrip("/")), folders, negated))
+    for line in text.splitlines():
+        line = re.sub(r"(?<!\\)\s+$", "", line)
+        if not line or line.startswith("#"):
+            continue
+        negated = line.startswith("!")
+        line = line[negated:]
+        folders = line.endswith("/")
+        line = line.rstrip("/")
+        anchored = "/" in line
+        out.append((("" if anchored else "(?:.*/)?") + _glob(line.lstrip("/")), folders, negated))
     return out
 
 
-def ignored(rules: list[tuple[str, str, bool, bool]], path: str) -> bool:
-    """Whether the rules leave a file out: by itself, or with a folder that they leave out, from which
-    nothing comes back."""
-    parts = path.split("/")
-    for n in range(1, len(parts) + 1):
-        some, out = "/".join(parts[:n]), False
-        for base, expression, folders, negated in rules:
-            inner = some[len(base) + 1 :] if base and some.startswith(base + "/") else some if not base else None
-            if inner and not (folders and n == len(parts)) and re.fullmatch(expression, inner, re.S):
-                out = not negated
-        if out:
-            return True
-    return False
+IGNORE_FILES = (".gitignore", ".ignore")
+_RULES = "base string, file string, line int, expression string, folders boolean, negated boolean"
+
+
+def ignore_rules(files: DataFrame) -> DataFrame:
+    """``files`` (relative, text of ignore files) -> their rules: base (the folder they hold for), file,
+    line, expression (over a path below the base), folders, negated."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                base, _, name = path.rpartition("/")
+                rows += [(base, name, i, *rule) for i, rule in enumerate(parse_ignore_file(text or ""))]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _RULES.split(", ")])
 
-def source_files(spark: SparkSession, root: str, languages: tuple[str, ...] = (), filters: tuple[str, ...] = (), include_tests: bool = False, ignore: dict[str, str] | None = None, max_bytes: int = 8 << 20) -> DataFrame:
-    """(relative, language, generated, test, text) of the selected sources below ``root``, read by Spark.
+    return files.select("relative", "text").mapInArrow(run, _RULES)
 
-    A selected source of more than ``max_bytes`` is an error that names it: a run over a part of the
-    sources would look like a run over all.
+
+def ignored(entries: DataFrame, rules: DataFrame) -> DataFrame:
+    """(relative) of the ``entries`` (relative, folder) that the rules leave out by themselves.
+
+    An entry meets the rules of the folders above it by equality. The last rule that matches decides: the
+    deepest base, in a folder ``.ignore`` over ``.gitignore``, in a file the last line. What lies in a folder
+    that is left out must not be asked for: nothing comes back from it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace("path", "^file:/+", "/")
-    rel = F.regexp_replace(F.substring_index(base, root.rstrip("/") + "/", -1), "^/+", "")
-    rows = files.select(rel.alias("relative"), F.decode("content", "UTF-8").alias("text"), "length").where(~is_excluded_path("relative"))
-    language = F.coalesce(language_of("relative", languages), F.when(~F.contains(F.substring_index("relative", "/", -1), F.lit(".")), shebang_language(F.substring("text", 1, 4096))))
-    rows = rows.withColumn("language", language).where("language IS NOT NULL")
+    parts = F.split("relative", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    met = entries.select("relative", "folder", F.explode(above).alias("base")).join(rules, "base")
+    inner = F.when(F.col("base") == "", F.col("relative")).otherwise(F.expr("substring(relative, length(base) + 2)"))
+    hits = met.where((F.col("folder") | ~F.col("folders")) & F.regexp_like(inner, F.concat(F.lit("(?s)^(?:"), "expression", F.lit(")$"))))
+    order = F.struct(F.length("base"), (F.col("file") == ".ignore"), "line")
+    return hits.groupBy("relative").agg(F.max_by("negated", order).alias("negated")).where("NOT negated").select("relative")
+
+
+_ENTRIES = "relative string, folder boolean, length long"
+
+
+def _scan(root: str):
+    """Entries of folders, by the workers: Spark's own listing leaves out every name that starts with a dot
+    or an underscore, and with them ignore files and ``__init__.py``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                rows = []
+                with os.scandir(os.path.join(root, folder)) as entries:
+                    for e in entries:
+                        here = f"{folder}/{e.name}" if folder else e.name
+                        if e.is_dir(follow_symlinks=False):
+                            rows.append((here, True, 0))
+                        elif e.is_file(follow_symlinks=False):
+                            rows.append((here, False, e.stat(follow_symlinks=False).st_size))
+                columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.int64()), strict=True)], names=["relative", "folder", "length"])
+
+    return run
+
+
+def read_files(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (relative and more) with text: only these files are opened."""
+    schema = T.StructType([*files.schema.fields, T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, path in enumerate(b.column("relative").to_pylist()):
+                with open(os.path.join(root, path), "rb") as f:
+                    text = f.read().decode("utf-8", "replace")
+                one = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([text], pa.string())], names=schema.names)
+
+    return files.mapInArrow(run, schema)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(relative, length) of the files below ``root`` that no excluded folder and no ignore file leaves out.
+
+    Folders are listed level by level, by tasks; a folder that is excluded or ignored is never opened, and of
+    files only ignore files are read. Links are not followed. The workers must see the folder.
+    """
+    root = re.sub("^file:/+", "/", root).rstrip("/") or "/"
+    folders, found, rules = spark.createDataFrame([("",)], "relative string"), [], spark.createDataFrame([], _RULES)
+    while True:
+        entries = folders.repartition(spark.sparkContext.defaultParallelism, "relative").mapInArrow(_scan(root), _ENTRIES)
+        entries = settle(entries.where(~is_excluded_path("relative")))
+        own = entries.where(~F.col("folder") & F.substring_index("relative", "/", -1).isin(*IGNORE_FILES))
+        rules = rules.unionByName(settle(ignore_rules(read_files(own.select("relative"), root))))
+        left = settle(entries.join(ignored(entries, rules), "relative", "left_anti"))
+        forget(entries)
+        found.append(left.where(~F.col("folder")).select("relative", "length"))
+        folders = left.where("folder").select("relative")
+        if folders.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def source_files(spark: SparkSession, root: str, languages: tuple[str, ...] = (), filters: tuple[str, ...] = (), include_tests: bool = False, max_bytes: int = 8 << 20) -> DataFrame:
+    """(relative, language, generated, test, text) of the selected sources below ``root``.
+
+    Only files that may be selected are opened: those of a known extension, and of those without one the
+    first bytes, for a line that names a shell. A selected source of more than ``max_bytes`` is an error that names it:
+    a run over a part of the sources would look like a run over all.
+    """
+    root = re.sub("^file:/+", "/", root).rstrip("/") or "/"
+    rows = listing(spark, root).withColumn("language", language_of("relative", languages))
+    bare = rows.where(F.col("language").isNull() & ~F.contains(F.substring_index("relative", "/", -1), F.lit(".")))
+    shells = _heads(bare.select("relative", "length"), root).withColumn("language", shebang_language("head")).where("language IS NOT NULL").select("relative", "length", "language")
+    rows = rows.where("language IS NOT NULL").unionByName(shells)
     rows = rows.withColumn("generated", is_generated_path("relative")).withColumn("test", is_test_path("relative", "language"))
     if languages:
         rows = rows.where(F.col("language").isin(*languages))
     if filters:
-        hit = F.lit(False)
-        for f in filters:
-            hit = hit | F.contains("relative", F.lit(f))
-        rows = rows.where(hit)
+        rows = rows.where(reduce(lambda a, b: a | b, (F.contains("relative", F.lit(f)) for f in filters)))
     if not include_tests:
         rows = rows.where(~F.col("test"))
-    if ignore:
-        rules = ignore_rules(ignore)
+    large = F.raise_error(F.concat(F.lit(f"source of more than {max_bytes} bytes: "), "relative")).cast("string")
+    rows = rows.withColumn("relative", F.when(F.col("length") > max_bytes, large).otherwise(F.col("relative")))
+    return read_files(rows, root).drop("length")
+
+
+def _heads(files: DataFrame, root: str, octets: int = 4096) -> DataFrame:
+    """``files`` with head: their first bytes as text."""
+    schema = T.StructType([*files.schema.fields, T.StructField("head", T.StringType())])
 
-        @F.pandas_udf("boolean")
-        def kept(paths: pd.Series) -> pd.Series:
-            return pd.Series([not ignored(rules, p) for p in paths], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = []
+            for path in b.column("relative").to_pylist():
+                with open(os.path.join(root, path), "rb") as f:
+                    heads.append(f.read(octets).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.string())], names=schema.names)
 
-        rows = rows.where(kept("relative"))
-    large = F.raise_error(F.concat(F.lit(f"source of more than {max_bytes} bytes: "), "relative"))
-    return rows.withColumn("text", F.when(F.col("length") > max_bytes, large).otherwise(F.col("text"))).drop("length")
+    return files.mapInArrow(run, schema)
 
 
 def compile_commands(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:

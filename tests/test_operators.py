@@ -346,10 +346,10 @@ def test_python_facts(spark):
 
 
 def test_repository_sources(spark, tmp_path):
-    for name, text in {"src/a.py": "x=1", "src/test_a.py": "x", "node_modules/b.ts": "y", "gen/c.rs": "z", "run": "#!/bin/bash\n", "skip/d.py": "q", "README": "n"}.items():
+    for name, text in {"src/a.py": "x=1", "src/test_a.py": "x", "node_modules/b.ts": "y", "gen/c.rs": "z", "run": "#!/bin/bash\n", "skip/d.py": "q", "README": "n", ".gitignore": "skip/\n"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
-    got = {r.relative: (r.language, r.generated) for r in repository.source_files(spark, str(tmp_path), ignore={".gitignore": "skip/\n"}).collect()}
+    got = {r.relative: (r.language, r.generated) for r in repository.source_files(spark, str(tmp_path)).collect()}
     assert got == {"src/a.py": ("python", False), "gen/c.rs": ("rust", True), "run": ("bash", False)}
     assert repository.load_config("[kiss]\nmaximum_parameters = 3\n")["kiss"]["maximum_parameters"] == 3
     with pytest.raises(ValueError):

@@ -9,27 +9,55 @@ from assayer.sinks import reports
 from assayer.sources import mutation_reports, repository
 
 
-@pytest.mark.parametrize(("files", "path", "want"), [
+CASES = [
     ({".gitignore": "*.log\n!keep.log\n"}, "a/b.log", True), ({".gitignore": "*.log\n!keep.log\n"}, "a/keep.log", False),
     ({".gitignore": "/only\n"}, "only", True), ({".gitignore": "/only\n"}, "a/only", False), ({".gitignore": "out/\n"}, "a/out/x.c", True), ({".gitignore": "out/\n"}, "a/out", False),
     ({".gitignore": "a/*.c\n"}, "a/b/x.c", False), ({".gitignore": "a/**/x.c\n"}, "a/b/c/x.c", True), ({".gitignore": "a/**/x.c\n"}, "a/x.c", True), ({".gitignore": "**/t\n"}, "q/t/u.c", True), ({".gitignore": "d/**\n"}, "d/e/f", True),
     ({".gitignore": "d/\n!d/e.c\n"}, "d/e.c", True), ({".gitignore": "[ab]?.c\n"}, "x/bz.c", True), ({".gitignore": "[!ab].c\n"}, "a.c", False), ({".gitignore": "\\!x.c\n\\#y\n"}, "!x.c", True),
     ({".gitignore": "*.c\n", "sub/.gitignore": "!*.c\n"}, "sub/x.c", False), ({".gitignore": "!x.c\n", ".ignore": "x.c\n"}, "x.c", True), ({"sub/.gitignore": "x.c\n"}, "subx/x.c", False), ({".gitignore": "# c\n\nx.c  \n"}, "x.c", True),
-])
-def test_ignore_files(files, path, want):
-    assert repository.ignored(repository.ignore_rules(files), path) is want
+]
+
+
+def test_ignore_files(spark):
+    """Every case in a folder of its own; a file is left out by itself or with a folder above it."""
+    files = spark.createDataFrame([(f"case{i}/{name}", text) for i, (texts, _, _) in enumerate(CASES) for name, text in texts.items()], "relative string, text string")
+    paths = {f"case{i}/{'/'.join(path.split('/')[:n])}": n < path.count("/") + 1 for i, (_, path, _) in enumerate(CASES) for n in range(1, path.count("/") + 2)}
+    entries = spark.createDataFrame([(p, f) for p, f in paths.items()], "relative string, folder boolean")
+    out = {r.relative for r in repository.ignored(entries, repository.ignore_rules(files)).collect()}
+    for i, (_, path, want) in enumerate(CASES):
+        parts = path.split("/")
+        assert any(f"case{i}/{'/'.join(parts[:n])}" in out for n in range(1, len(parts) + 1)) is want, CASES[i]
 
 
 def test_sources_are_selected_and_none_is_cut(spark, tmp_path):
-    for name, text in {"src/a.c": "int x;", "src/gen.c": "int g;", "src/b.rs": "fn b() {}", "notes.txt": "x", "run": "#!/bin/bash\n"}.items():
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+    files = {"src/a.c": "int x;", "src/gen.c": "int g;", "src/b.rs": "fn b() {}", "notes.txt": "x", "run": "#!/bin/bash\n", "plain": "no shell", "pkg/__init__.py": "x = 1", "pkg/_a.py": "y", ".hidden/h.py": "z", ".gitignore": "gen.*\n/out/\n", "out/o.py": "o", "deep/a/b/c/d.py": "d", "deep/.ignore": "c/\n!c/\n", "deep/a/.gitignore": "e.py\n", "deep/a/e.py": "e", "node_modules/n.ts": "n"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
-    got = repository.source_files(spark, str(tmp_path), ignore={".gitignore": "gen.*\n"})
-    assert {(r.relative, r.language) for r in got.collect()} == {("src/a.c", "c"), ("src/b.rs", "rust"), ("run", "bash")}
+    (tmp_path / "out" / "o.py").chmod(0)
+    (tmp_path / "link.py").symlink_to(tmp_path / "src" / "a.c")
+    got = {r.relative: (r.language, r.text) for r in repository.source_files(spark, f"file://{tmp_path}").collect()}
+    want = {"src/a.c": "c", "src/b.rs": "rust", "run": "bash", "pkg/__init__.py": "python", "pkg/_a.py": "python", ".hidden/h.py": "python", "deep/a/b/c/d.py": "python"}
+    assert got == {p: (lang, files[p]) for p, lang in want.items()}
+    listed = {r.relative: r.length for r in repository.listing(spark, str(tmp_path)).collect()}
+    assert not {p for p in listed if p.startswith(("out/", "node_modules/"))} and listed["src/b.rs"] == 9
     with pytest.raises(Exception, match="more than 6 bytes: src/b.rs"):
         repository.source_files(spark, str(tmp_path), max_bytes=6, filters=("b.rs",)).collect()
 
 
+def test_only_selected_files_are_opened(spark, tmp_path):
+    """A file of another extension, an ignored and an excluded one may be unreadable."""
+    for name in ("a.py", "b.bin", "skip/c.py", "target/d.rs", "x_test.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / ".gitignore").write_text("skip\n")
+    files = repository.listing(spark, str(tmp_path))
+    assert {r.relative for r in files.collect()} == {"a.py", "b.bin", "x_test.py", ".gitignore"}
+    got = repository.read_files(files.where("relative = 'a.py'"), str(tmp_path)).collect()
+    assert [(r.relative, r.text) for r in got] == [("a.py", "a.py")]
+    assert [r.relative for r in repository.source_files(spark, str(tmp_path)).collect()] == ["a.py"]
+
+
 def test_compile_commands(spark, tmp_path):
     entries = [
         {"directory": "build", "file": "../src/a.c", "command": "cc -DX='a b' -c ../src/a.c"}, {"directory": "/abs", "file": "/src/b.c", "arguments": ["cc", "b.c"], "output": "b.o"},
