@@ -155,5 +155,10 @@ def risk_summary(applied: DataFrame, threshold: float = 6.0) -> DataFrame:
     return applied.agg(F.count_if(F.col("crap") > threshold).alias("over_threshold"), F.count_if(F.col("crap").isNull()).alias("missing_coverage"), F.max("crap").alias("max_score"))
 
 
+def risk_order() -> tuple:
+    """Riskiest first, functions without a score last."""
+    return F.col("crap").desc_nulls_last(), "file", "start_line", "name"
+
+
 def sort_by_risk(applied: DataFrame) -> DataFrame:
-    return applied.orderBy(F.col("crap").desc_nulls_last(), "file", "start_line", "name")
+    return applied.orderBy(*risk_order())

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,21 @@ def settle_lines(lines: DataFrame, tag: str = "lines") -> str:
     return path
 
 
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with the place of each row, from 1, in the order: a range exchange, numbers within each range,
+    and the count of the ranges before it (one row a range)."""
+    taken = {c.lower() for c in df.columns}
+    part, at = (next(c for c in (f"_{x}{i or ''}" for i in range(len(taken) + 1)) if c not in taken) for x in ("range", "at"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once: a second evaluation could sample other boundaries
+    ranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    ranged = settle(ranged.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id() % (1 << 33)}))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("n")).select(F.col(part).alias("ranged"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    met = ranged.join(F.broadcast(sizes), ranged[part] == sizes["ranged"])
+    return met.select(*[ranged[f"`{c}`"] for c in df.columns if c.lower() != name.lower()], (sizes["before"] + ranged[at] + 1).alias(name))
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove settled tables at once; nothing that is still to run may read them."""
     for df in tables:

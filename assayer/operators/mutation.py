@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.columns import STATUSES, is_scoreable, mutation_operator, repository_path, seeded_key, stable_id
 from assayer.operators.coverage import smallest_container
-from assayer.operators.graph import settle
+from assayer.operators.graph import numbered
 
 
 def fill_symbols(mutants: DataFrame, functions: DataFrame) -> DataFrame:
@@ -40,16 +40,9 @@ def fingerprints(mutants: DataFrame) -> DataFrame:
 
 
 def number(mutants: DataFrame) -> DataFrame:
-    """Run-local ids in the order of structure: a range exchange, numbers within each range, and the
-    count of the ranges before it (one row for each range)."""
+    """Run-local ids in the order of structure."""
     order = ["file", "stable_symbol", "fingerprint", "operator", "original", "replacement"]
-    parts = int(mutants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = mutants.drop("id").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # written once: a second evaluation could sample other boundaries
-    ranged = settle(ranged.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % (1 << 33)}))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(sizes), "_range").withColumn("id", F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
+    return numbered(mutants.drop("id"), "id", *order)
 
 
 def select_candidates(mutants: DataFrame, operators: list[str], seed: int) -> DataFrame:

@@ -16,7 +16,7 @@ from assayer.operators import clones, cohesion, coverage, mutation, packages, un
 from assayer.operators.graph import settle, settle_lines
 from assayer.rules import catalog, engine
 from assayer.sinks import reports
-from assayer.sources import coverage_reports
+from assayer.sources import coverage_reports, python_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
 WINDOW, SHINGLE, DICE, CAP = 30, 4, 0.92, 100
@@ -243,9 +243,11 @@ def cohesion_rules(spark, d):
 
 
 def identifier_counts(spark, d):
-    """Uses of each word by assistants (production) and by all others (test)."""
-    c = read(spark, d, "conversations").select("role", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("identifier"))
-    return c.groupBy("identifier").agg(F.count_if(F.col("role") == "assistant").alias("production_references"), F.count_if(F.col("role") != "assistant").alias("test_references"))
+    """Uses of each word by assistants (production) and by all others (test); a turn is a file."""
+    c = read(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("file"), "role", "text")
+    words = c.select("file", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("value"))
+    files = c.select("file", F.lit("all").alias("package"), (F.col("role") != "assistant").alias("test"))
+    return python_facts.identifier_counts(words, files)
 
 
 def unused_items(spark, d):

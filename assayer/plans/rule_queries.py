@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import clones, cohesion, coverage, facts, mutation, unused
-from assayer.operators.graph import settle_lines
+from assayer.operators.graph import numbered, settle_lines
 from assayer.plans.queries import CAP, WINDOW, event_lines, graph, mutant_lines, read, scored_lines, word_arrays
 from assayer.rules import catalog, engine
 from assayer.sinks import reports
@@ -213,7 +213,7 @@ def outcomes(spark, d):
 def ranked_risk(spark, d):
     """The order of the risk report, as places."""
     f = scored_lines(spark, d).select(F.concat(F.lit("o/"), "l_orderkey").alias("file"), F.col("l_linenumber").alias("start_line"), F.lit("f").alias("name"), F.when(F.col("l_orderkey") % 4 != 0, F.round("crap", 6)).alias("crap"))
-    return coverage.sort_by_risk(f).limit(500).select("file", "start_line", "crap")  # a top-k report
+    return numbered(f, "place", *coverage.risk_order()).select("file", "start_line", "crap", "place")
 
 
 def report_counts(spark, d):

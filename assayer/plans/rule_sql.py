@@ -86,7 +86,7 @@ k AS (SELECT *, CASE WHEN measured IN (6) THEN 'fail' ELSE 'pass' END AS result,
 SELECT file, measured, result, COUNT(*) AS n FROM k WHERE file = '../up' OR same > 1 OR measured = 7 GROUP BY 1, 2, 3""",
     "outcomes": f"""WITH {RUNS}, ct AS (SELECT c, {n("killed", "killed")}, {n("survived", "survived")}, {n("timeout", "timeout")}, {n("compile", "compile_error")}, {n("runtime", "runtime_error")} FROM st GROUP BY 1)
 SELECT *, CASE WHEN timeout + runtime_error > 0 THEN 1 WHEN survived > 0 THEN 2 ELSE 0 END AS exit_code FROM ct""",
-    "ranked_risk": f"SELECT 'o/' || l_orderkey AS file, l_linenumber AS start_line, CASE WHEN l_orderkey % 4 <> 0 THEN {CRAP} END AS crap FROM lineitem ORDER BY crap DESC NULLS LAST, file, start_line LIMIT 500",
+    "ranked_risk": f"WITH r AS (SELECT 'o/' || l_orderkey AS file, l_linenumber AS start_line, CASE WHEN l_orderkey % 4 <> 0 THEN {CRAP} END AS crap FROM lineitem) SELECT *, ROW_NUMBER() OVER (ORDER BY crap DESC NULLS LAST, file, start_line) AS place FROM r",
     "report_counts": f"WITH {CRAP_RULES} SELECT COUNT(*) AS rule_results, SUM((result = 'fail')::INT)::BIGINT AS rule_failures, 18::BIGINT AS findings, 2::BIGINT AS omitted_checks FROM cr",
     "sarif_sections": f"""WITH {MUTANTS}, sc AS (SELECT SUM((status = 'killed')::INT)::DOUBLE / SUM((status IN ('killed', 'survived'))::INT) AS m FROM m),
 r AS (SELECT 'crap-threshold' AS rule_id, GREATEST(l_linenumber - 2, 1)::INT AS start_line, GREATEST(3, l_linenumber - 2)::INT AS end_line, 1 AS places, 0 AS fp FROM lineitem WHERE {CRAP} > 6

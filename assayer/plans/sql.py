@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import keyword
+
 from assayer.plans.queries import CAP, DICE, MAXIMUM, ORIGINALS, SEED, STATUS_OF, WINDOW
 
 
@@ -134,7 +136,7 @@ lab AS (SELECT a AS node, MIN(LEAST(a, b)) AS label FROM c GROUP BY 1), m AS (SE
 SELECT label, members, ROUND(similarity, 9) AS similarity FROM m JOIN s USING (label)""",
     "module_cohesion": f"WITH {COHESION} SELECT file, owner, functions, related, ROUND(cohesion, 9) AS cohesion FROM co",
     "cohesion_rules": f"WITH {COHESION} SELECT 'cohesion.module' AS rule_id, {stable_id(chr(39) + 'cohesion.module' + chr(39), 'file', 'owner', chr(39) + 'qualified-owner-function-reference-graph-v1' + chr(39))} AS violation_id, file, ROUND(cohesion, 9) AS measured, CASE WHEN cohesion < 0.1 THEN 'fail' ELSE 'pass' END AS result FROM co",
-    "identifier_counts": "SELECT w AS identifier, SUM((role = 'assistant')::INT)::BIGINT AS production_references, SUM((role <> 'assistant')::INT)::BIGINT AS test_references FROM (SELECT role, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations) GROUP BY 1",
+    "identifier_counts": f"SELECT 'all' AS package, w AS identifier, SUM((role = 'assistant')::INT)::BIGINT AS production_references, SUM((role <> 'assistant')::INT)::BIGINT AS test_references FROM (SELECT role, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations) WHERE w NOT IN ({', '.join(repr(w) for w in keyword.kwlist)}) GROUP BY 2",
     "unused_items": f"""WITH u AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate > (SELECT CAST(MAX(l_shipdate) AS DATE) - 90 FROM lineitem)),
 x AS (SELECT p_partkey FROM part WHERE p_size <= 45 AND p_partkey NOT IN (SELECT l_partkey FROM u))
 SELECT 'yagni.unused-module' AS rule_id, {stable_id("'yagni.unused-module'", "'parts/' || p_partkey", "'part::' || p_partkey", "'unreferenced-production-module-v1'")} AS violation_id, 'parts/' || p_partkey AS file, 'part::' || p_partkey AS stable_symbol, (SELECT COUNT(*) FROM x) AS measured, 'fail' AS result FROM x""",
