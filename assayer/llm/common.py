@@ -138,6 +138,22 @@ def scratch_name(df: DataFrame, tag: str) -> str:
     return name
 
 
+def shielded(df: DataFrame, helpers: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the columns that are named like an operator's helper columns under other names, and what
+    gives them their own names again."""
+    taken = {h.lower() for h in helpers}
+    other = {}
+    for c in df.columns:
+        if c.lower() in taken:
+            name = f"_kept_{len(other)}"
+            while name.lower() in {x.lower() for x in (*df.columns, *helpers)}:
+                name += "_"
+            other[c] = name
+    if not other:
+        return df, lambda out: out
+    return df.withColumnsRenamed(other), lambda out: out.withColumnsRenamed({v: k for k, v in other.items()})
+
+
 def pieces(batches: Iterator[pa.RecordBatch], octets: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``octets`` each, so that what is made of one in Python stays small."""
     for b in batches:

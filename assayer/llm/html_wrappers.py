@@ -18,7 +18,10 @@ proportion to its two lists.
 * The region is the article element, or else the main element, if it holds half of the weight or more.
   If not, the wrapper is walked down from the page to the one child that holds the content: as long as
   what stands beside it has hardly any weight and no title.
-* In a region without a name of its own, groups of links that repeat and constant texts are out too.
+* Words that also name parts of an article (social, alert, related and the like) put a container out only
+  where its slots agree, or a host has too few pages to tell.
+* Groups of links that repeat are out, and in a region without a name of its own constant texts are too. The
+  header of an article keeps its title and what varies between pages.
 
 Applied to each page, what is left of the region becomes blocks.
 
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.common import add_columns, materialise, table
+from assayer.llm.common import add_columns, materialise, shielded, table
 
 #: Wrappers of at most so many bytes are broadcast; beyond that pages are joined to them.
 BROADCAST_BYTES = 32_000_000
@@ -74,6 +77,11 @@ BOILER_WORDS = frozenset(
     "sidebar sidebars rail header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay comment comments reply replies respond disqus "
     "share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription signup login search pagination pager toolbar widget widgets copyright disclaimer skip complementary contentinfo".split()
 )
+#: Words of those that also name parts of an article: such a name alone decides nothing where the wrapper
+#: has seen enough pages to know what the container holds.
+SOFT_WORDS = frozenset("alert banner copyright disclaimer header modal notice notices rail recommended related respond search skip social subscription widget widgets".split())
+#: A container with a soft name is text of the article if its varying texts are this long on average.
+PROSE = 40
 #: A name with one of these is about content, whatever else it says.
 MAIN_WORDS = frozenset("article articlebody main content post entry story body text".split())
 #: Elements of text, whose names do not make them a container of something else.
@@ -84,6 +92,8 @@ CONSTANT_PAGES = 3
 #: What stands beside the content may weigh this share of it.
 BESIDE = 0.05
 LINK_SHARE = 0.6
+#: Within an article, a place that lists of links share with other text is left as it is.
+ONLY_LINKS = 0.95
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _BLANK = re.compile(r"\s+")
 
@@ -358,6 +368,11 @@ def _named_out(key: str) -> bool:
     return tag not in TEXT_TAGS and bool(words & BOILER_WORDS) and not words & MAIN_WORDS
 
 
+def _softly(key: str) -> bool:
+    """Whether nothing but soft words puts the container out."""
+    return not (_name_words(key[len(tag_of(key)) :]) & BOILER_WORDS) - SOFT_WORDS
+
+
 def _article(key: str) -> int:
     """2 for an article element, 1 for a main element, by tag, role or itemprop."""
     tag = tag_of(key)
@@ -381,11 +396,22 @@ class _Place:
     constant: bool = False
     title: bool = False
     named: int = 0
+    #: Of the place and all below it: varying texts outside links and their characters, all characters, those in
+    #: links, and different pages seen.
+    prose: int = 0
+    proses: int = 0
+    all: int = 0
+    all_linked: int = 0
+    pages: set[int] = field(default_factory=set)
+
+    def article_text(self, least: int) -> bool:
+        """The slots say that the container holds text that varies between pages, and is no list of links."""
+        return len(self.pages) >= CONSTANT_PAGES and self.prose >= max(1, least * self.proses) and self.all_linked < LINK_SHARE * self.all
 
 
 def roles(wrapper: Node) -> dict[str, list]:
     """What a page is extracted by: ``steps`` (place, key, next place), and the places of the regions
-    (``article``), of what is ``out`` and of ``constant`` texts."""
+    (``article``), of what is ``out``, of ``constant`` texts and, in a named region, of ``varying`` ones."""
     places: list[_Place] = []
     steps: dict[tuple[int, str], int] = {}
     path: list[int] = []
@@ -406,14 +432,23 @@ def roles(wrapper: Node) -> dict[str, list]:
         p.own += 0 if n.constant() else n.size - n.linked
         p.title |= tag_of(n.key) == "h1" and n.size > 0
         p.named = max(p.named, _article(n.key))
+        p.pages.update(n.pages)
+        p.all, p.all_linked = p.all + n.size, p.all_linked + n.linked
+        if n.texts and not n.constant():
+            p.prose, p.proses = p.prose + n.size - n.linked, p.proses + n.texts
     for p in places:
         p.constant &= p.size > 0
+    for p in reversed(places[1:]):
+        up = places[p.parent]
+        up.prose, up.proses, up.all, up.all_linked = up.prose + p.prose, up.proses + p.proses, up.all + p.all, up.all_linked + p.all_linked
+        up.pages = set(sorted(up.pages | p.pages)[:CONSTANT_PAGES])
     holds = [p.title or p.named > 0 for p in places]
     for i in range(len(places) - 1, 0, -1):
         up = places[i].parent
         holds[up] |= holds[i]
         places[up].title |= places[i].title
-    out = {i for i, p in enumerate(places) if tag_of(p.key) in BOILER_TAGS or _named_out(p.key) and not holds[i]}
+    kept = lambda p: _softly(p.key) and p.article_text(PROSE)
+    out = {i for i, p in enumerate(places) if tag_of(p.key) in BOILER_TAGS or _named_out(p.key) and not holds[i] and not kept(p)}
     for i in range(len(places) - 1, -1, -1):  # a place stands after the one that it is below
         p = places[i]
         p.weight += p.own
@@ -434,11 +469,19 @@ def roles(wrapper: Node) -> dict[str, list]:
         if not region and outer and 2 * sum(places[i].weight for i in outer) >= places[0].weight:
             region = outer
     constant: list[int] = []
-    if not region:
+    varying: list[int] = []
+    within: list[int] = []
+    if region:  # of the header of an article belongs to it what varies; lists of links do not
+        own = set(region)
+        within = [i for i in range(len(places)) if _below(places, i, own)]
+        varying = [i for i in within if places[i].own > 0 and len(places[i].pages) >= CONSTANT_PAGES]
+        out |= {i for i in within if (p := places[i]).links_repeat and p.linked >= ONLY_LINKS * p.size and not p.title and len(p.pages) >= CONSTANT_PAGES}
+    else:
         region = [_content(places, out)]
         out |= {i for i, p in enumerate(places) if p.links_repeat and p.linked >= LINK_SHARE * p.size and not p.title and i not in region}
         constant = [i for i, p in enumerate(places) if p.constant and not _inside_title(p)]
-    return {"steps": [[a, k, b] for (a, k), b in steps.items() if a not in hidden], "article": region, "out": sorted(out), "constant": constant}
+    hidden.difference_update(within)
+    return {"steps": [[a, k, b] for (a, k), b in steps.items() if a not in hidden], "article": region, "out": sorted(out), "constant": constant, "varying": varying}
 
 
 def _inside_title(p: _Place) -> bool:
@@ -478,8 +521,8 @@ def extract(page: str | None, role: dict[str, list]) -> str:
     steps = role.get("_steps")
     if steps is None:
         steps = role["_steps"] = {(a, k): b for a, k, b in role["steps"]}
-        role["_sets"] = set(role["article"]), set(role["out"]), set(role["constant"])
-    article, out, constant = role["_sets"]
+        role["_sets"] = set(role["article"]), set(role["out"]), set(role["constant"]), set(role["varying"])
+    article, out, constant, varying = role["_sets"]
     places, inline = [steps.get((-1, "#page"), -2)], [False]
     inside, hidden, titles_only = [places[0] in article], [places[0] in out], [False]
     blocks: list[str] = []
@@ -514,7 +557,7 @@ def extract(page: str | None, role: dict[str, list]) -> str:
             inside.append(inside[-1] or at in article)
             reached = reached or inside[-1]
             hidden.append(hidden[-1] or at in out and not titles)
-            titles_only.append((titles_only[-1] or titles) and tag not in TITLE_TAGS)
+            titles_only.append((titles_only[-1] or titles) and tag not in TITLE_TAGS and at not in varying)
         elif not inline.pop():
             flush()
             for x in (places, inside, hidden, titles_only):
@@ -572,6 +615,7 @@ def expressions(wrappers: DataFrame) -> DataFrame:
 
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` with text."""
+    pages, named_back = shielded(pages, ("_host", "_roles", "_roles_of"))
     wrappers = induce(pages, url, html)
     told = add_columns(wrappers, ["wrapper"], lambda _, w: [[json.dumps(roles(Node.load(json.loads(x)))) for x in w]], [T.StructField("_roles", T.StringType())], keep=["host"])
     told = materialise(told, "wrapper-roles")
@@ -581,9 +625,9 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     keep = [c for c in pages.columns if c.lower() != "text"]
     if size <= BROADCAST_BYTES:
         side = pages.sparkSession.sparkContext.broadcast({r.host: json.loads(r["_roles"]) for r in told.collect()})
-        return add_columns(rows, [html, "_host"], lambda _, page, host: [[extract(p, side.value[h]) for p, h in zip(page, host, strict=True)]], field_, keep=keep)
-    rows = rows.join(told, rows["_host"] == told.host)
-    return add_columns(rows, [html, "_roles"], lambda _, page, role: [[extract(p, json.loads(r)) for p, r in zip(page, role, strict=True)]], field_, keep=keep)
+        return named_back(add_columns(rows, [html, "_host"], lambda _, page, host: [[extract(p, side.value[h]) for p, h in zip(page, host, strict=True)]], field_, keep=keep))
+    rows = rows.join(told.withColumnRenamed("host", "_roles_of"), F.col("_host") == F.col("_roles_of"))
+    return named_back(add_columns(rows, [html, "_roles"], lambda _, page, role: [[extract(p, json.loads(r)) for p, r in zip(page, role, strict=True)]], field_, keep=keep))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,15 +35,14 @@ The key is given by the caller; the queries take it from ``spark.assayer.pii.key
 from __future__ import annotations
 
 import json
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import materialise, table, without
+from assayer.llm.common import materialise, shielded, table, without
 
 KEY_SETTING = "spark.assayer.pii.key"
-#: Of no secrecy: for sessions that set none, as over the test tables.
-TEST_KEY = "no-key-was-set"
 MAP_ENTRIES = 2_000
 #: From this attempt on a surrogate is longer than its entity: the shape has too few of its own.
 LONGER_AT = 6
@@ -274,6 +273,7 @@ def _without_mentions(rest: Column, mentioned: Column) -> Column:
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten and entities: array of (kind, surrogate)."""
+    docs, named_back = shielded(docs, ("_matches", "_told", "_mentioned", "_rid"))
     t = F.col(f"`{text}`").cast("string")
     none = F.array().cast("array<string>")
     matches = F.when(t.rlike(SIGNS), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))).otherwise(none)
@@ -298,7 +298,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     rest = F.when(F.col("_mentioned").isNotNull(), _without_mentions(rest, F.col("_mentioned"))).otherwise(rest)
     joined = F.array_join(F.zip_with(rest, F.col("entities"), lambda a, e: F.concat(a, F.coalesce(e["surrogate"], F.lit("")))), "")
     rows = rows.withColumn(text, F.when(F.size("_matches") > 0, joined).otherwise(F.col(f"`{text}`")))
-    return rows.drop("_matches", "_told", "_mentioned")
+    return named_back(rows.drop("_matches", "_told", "_mentioned"))
 
 
 def _join_told(rows: DataFrame, exceptions: DataFrame) -> DataFrame:
@@ -319,7 +319,13 @@ def rewrite_documents(docs: DataFrame, key: str) -> DataFrame:
 
 
 def session_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, TEST_KEY)
+    """The key that the session sets. One that sets none gets a key of its own, which nobody else can know:
+    its surrogates agree within the session, and with no other one."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

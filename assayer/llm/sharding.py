@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import materialise, table, without
+from assayer.llm.common import materialise, shielded, table, without
 
 SHARDS = 40
 ROW_BYTES = 16
@@ -174,13 +174,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
         task = splitters.place(k.to_numpy().view(np.uint64), i.to_numpy().view(np.uint64))
         return pd.DataFrame({"task": task.astype(np.int32), "base": before[task]})
 
+    docs, named_back = shielded(docs, ("_k", "_i", "_to"))
     own = docs.select(*[f"`{c}`" for c in without(docs, ["size", "shard", "slot"])])
     rows_ = own.withColumns({"_k": key_of(text), "_i": id_of(doc_id), "size": size_of(text)})
     rows_ = rows_.withColumn("_to", place("_k", "_i"))
     rows_ = rows_.repartitionById(n, F.col("_to.task")).sortWithinPartitions("_to.task", *(F.col(c).bitwiseXOR(F.lit(_FLIP)) for c in ("_k", "_i")))
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows_ = rows_.withColumns({"shard": F.floor(F.col("_to.task") / tasks).cast("int"), "slot": F.col("_to.base") + local})
-    return rows_.drop("_k", "_i", "_to")
+    return named_back(rows_.drop("_k", "_i", "_to"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

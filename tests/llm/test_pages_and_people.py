@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import html_wrappers as hw
 from assayer.llm import pii_surrogates as pii
+from assayer.llm import sharding
 
 PAGE = """<!DOCTYPE html><html><head><title>{t}</title><script>var a="</p><p>no";</script></head><body>
 <header class="site">Site name</header><nav><ul><li><a href="/">Home</a><li><a href="/x">{n}</a></ul></nav>
@@ -75,6 +76,33 @@ def test_names_do_not_decide_against_the_slots():
         assert hw.extract(pages[3], hw.roles(wrapper(pages))) == "Title 3\nLong text of the page 3 that goes on\nEffect 3\nNoted 3\nSaid 3"
 
 
+def test_soft_names_need_the_slots_to_agree():
+    words = "of the people and what they did in those years, told at length {0}"
+    inside = "".join(f"<{tag} class='{name}'><p>{name} {words}</p></{tag}>" for tag, name in (("div", "social-history"), ("div", "alert-levels"), ("div", "widgets-review"), ("section", "related-work")))
+    links = "<div class=related><ul>" + "".join(f"<li><a href=/{k}>A story that is linked {k} {{0}}</a></li>" for k in range(4)) + "</ul></div><div class=social>Follow us</div>"
+    other = "<div class=ad>Buy {0} things that are sold at length in this advert</div><div class=comments><div><p>A reader says {0} and goes on for a while</p></div></div>"
+    pages = [("<body><article><h1>Title {0}</h1><p>First {0}</p>" + inside + links + other + "</article></body>").format(i) for i in range(5)]
+    want = ["Title 2", "First 2", *(f"{n} {words}".format(2) for n in ("social-history", "alert-levels", "widgets-review", "related-work"))]
+    assert hw.extract(pages[2], hw.roles(wrapper(pages))).split("\n") == want
+
+
+def test_header_of_an_article_keeps_what_varies():
+    page = "<body><header><h1>Site</h1>Daily {0}</header><article><header><h1>Title {0}</h1><p class=dek>Standfirst {0}</p></header><p>Text {0}</p></article></body>"
+    pages = [page.format(i) for i in range(4)]
+    assert hw.extract(pages[1], hw.roles(wrapper(pages))) == "Title 1\nStandfirst 1\nText 1"
+    assert hw.extract(pages[1], hw.roles(hw.parse(pages[1]))) == "Title 1\nText 1"
+
+
+def test_repeated_links_in_an_article_go():
+    page = "<body><article><h1>Title {0}</h1><p>Text {0} with <a href=/x>a link</a> in it</p><ul class=more>" + "<li><a href=/a{0}>Teaser of another story {0}</a></li>" * 3 + "</ul><ul><li>Point {0}</li><li>Other {0}</li></ul></article></body>"
+    pages = [page.format(i) for i in range(4)]
+    want = "Title 1\nText 1 with a link in it\nPoint 1\nOther 1"
+    assert hw.extract(pages[1], hw.roles(wrapper(pages))) == want
+    # lists that the wrapper cannot tell apart lose nothing
+    same = [p.replace(" class=more", "") for p in pages]
+    assert hw.extract(same[1], hw.roles(wrapper(same))).count("Teaser") == 3
+
+
 LAYOUTS = [
     # no article or main element, no telling names: slots alone find the content
     ("<div id=a1><ul><li><a href=/1>Section {m}</a></li><li><a href=/2>Other {m}</a></li><li><a href=/3>Third</a></li></ul></div>", "<div id=a2><div id=b1>", "</div></div>", "<div id=a3>All rights kept</div>"),
@@ -280,3 +308,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in out} == ids[4] and all(r.ids and r.decoded for r in out)
     assert "me@mail" not in json.dumps([r.decoded for r in out])
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_columns_named_like_helpers_pass(spark):
+    docs = spark.createDataFrame([(1, "Mr Adam Smith paid.", "a", "b", "c")], "doc_id long, text string, _matches string, _K string, _host string")
+    out = pii.replace_entities(docs, "k").first()
+    assert (out["_matches"], out["_K"], out["_host"]) == ("a", "b", "c") and "Smith" not in out.text
+    sharded = sharding.shard_documents(docs, 2).first()
+    assert (sharded["_matches"], sharded["_K"]) == ("a", "b") and sharded.slot == 0
+    pages = spark.createDataFrame([("http://h/1", "<article><p>t</p></article>", "x", "y")], "url string, html string, _host string, _roles string")
+    page = hw.extract_pages(pages).first()
+    assert (page["_host"], page["_roles"], page.text) == ("x", "y", "t")
+
+
+def test_a_session_without_a_key_gets_one_of_its_own(spark):
+    before = spark.conf.get(pii.KEY_SETTING, None)
+    try:
+        spark.conf.unset(pii.KEY_SETTING)
+        key = pii.session_key(spark)
+        assert len(key) == 64 and pii.session_key(spark) == key
+        spark.conf.set(pii.KEY_SETTING, "given")
+        assert pii.session_key(spark) == "given"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING) if before is None else spark.conf.set(pii.KEY_SETTING, before)
