@@ -38,6 +38,25 @@ def numbered_rules(spark, d):
     return numbered(rows, "place", "rule_id", "file", "stable_symbol", "violation_id").select("violation_id", "place")
 
 
+def numbered_diagnostics(spark, d):
+    """Diagnostics are events; what was only looked at has no place."""
+    kind, at = F.col("event_type"), F.col("event_type") != "view"
+    e = read(spark, d, "events").select(
+        "event_id", F.when(kind == "error", "error").when(kind == "purchase", "warning").otherwise("info").alias("severity"), F.when(at, F.concat(F.lit("u"), "user_id")).alias("file"), F.when(at, F.hour("ts")).alias("start_line"),
+        F.when(at, F.minute("ts")).alias("start_column"), F.when(at, F.hour("ts") + 1).alias("end_line"), F.when(at, F.second("ts")).alias("end_column"), kind.alias("backend"), F.col("event_id").cast("string").alias("message"), F.lit(False).alias("fallback_used"),
+    )
+    return numbered(e, "place", *reports.diagnostic_order()).select("event_id", "place")
+
+
+def numbered_mutants(spark, d):
+    """Results of order lines in the order of the report."""
+    m = mutant_lines(spark, d).select(
+        F.concat(F.lit("src/"), F.col("l_suppkey") % 9).alias("file"), F.concat(F.lit("f"), "l_linenumber").alias("stable_symbol"), fn.mutation_operator("original").alias("operator"), F.lit("").alias("fingerprint"), F.lit(1).alias("line"),
+        F.col("l_linenumber").alias("column"), (F.col("l_orderkey") % 100).alias("id"), "original", F.lit("x").alias("replacement"), "status", F.when(F.col("l_orderkey") % 3 != 0, F.col("l_orderkey") % 4).alias("exit_code"), F.lit(None).cast("string").alias("detail"), F.lit(None).cast("double").alias("duration"),
+    )
+    return numbered(m, "place", *reports.mutant_order()).select("place", "file", "operator", "id", "status", "exit_code")
+
+
 def reported_groups(spark, d):
     """The first groups of the report: orders by their lines, places are parts."""
     li = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.struct(F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("start_line")))).alias("places"), F.count("*").alias("token_count"))
@@ -169,7 +188,7 @@ def regional_files(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        mutant_symbols, mutant_numbers, numbered_rules, reported_groups, unresolved_mutants, policy_coverage, span_relations, united_records, native_report, test_symbols, imported_mutants,
+        mutant_symbols, mutant_numbers, numbered_rules, numbered_diagnostics, numbered_mutants, reported_groups, unresolved_mutants, policy_coverage, span_relations, united_records, native_report, test_symbols, imported_mutants,
         yagni_inventories, supplier_cycles, offset_positions, kept_baseline, exit_codes, clone_group_sizes, regional_files,
     )
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from assayer.plans.report_queries import REPORT_GROUPS
 from assayer.plans.rule_sql import ORACLE_SQL as RULE_SQL
-from assayer.plans.sql import APPLIED, EVENT_LINES, KISS, MUTANTS, ORACLE_SQL as BASE_SQL, day_functions, stable_id
+from assayer.plans.sql import APPLIED, EVENT_LINES, FAMILY, KISS, MUTANTS, ORACLE_SQL as BASE_SQL, day_functions, stable_id
 
 POLICY = APPLIED.replace(EVENT_LINES, "lines AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS file, day(ts) * 24 + hour(ts) AS line, 1 AS hits FROM events WHERE event_type = 'purchase')")
 assert POLICY != APPLIED and day_functions(24) in POLICY
@@ -16,6 +16,10 @@ f AS (SELECT file, 'b' || n AS name, n * 6 AS s, n * 6 + 11 - n % 3 AS e FROM b)
 SELECT e.event_id, COALESCE(name, file || '::<module>') AS stable_symbol, 'comparison' AS operator FROM e LEFT JOIN m ON m.event_id = e.event_id AND k = 1""",
     "mutant_numbers": f"WITH {MUTANTS} SELECT ROW_NUMBER() OVER (ORDER BY 'src/' || l_suppkey, 'f' || l_linenumber, l_orderkey || '-' || l_linenumber) AS id, l_orderkey || '-' || l_linenumber AS fingerprint FROM m",
     "numbered_rules": f"WITH {KISS} SELECT violation_id, ROW_NUMBER() OVER (ORDER BY rule_id, file, stable_symbol, violation_id) AS place FROM kr",
+    "numbered_diagnostics": """WITH e AS (SELECT event_id, CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS s, event_type <> 'view' AS a, user_id, ts, event_type FROM events)
+SELECT event_id, ROW_NUMBER() OVER (ORDER BY s, CASE WHEN a THEN 'u' || user_id END NULLS FIRST, CASE WHEN a THEN hour(ts) END NULLS FIRST, CASE WHEN a THEN minute(ts) END NULLS FIRST, CASE WHEN a THEN second(ts) END NULLS FIRST, event_type, CAST(event_id AS VARCHAR)) AS place FROM e""",
+    "numbered_mutants": f"""WITH {MUTANTS}, r AS (SELECT 'src/' || l_suppkey % 9 AS file, 'f' || l_linenumber AS symbol, {FAMILY} AS operator, l_linenumber, l_orderkey % 100 AS id, original, status, list_position(['killed', 'survived', 'no-coverage', 'compile-error', 'runtime-error', 'timeout', 'ignored', 'invalid', 'pending'], status) AS k, CASE WHEN l_orderkey % 3 <> 0 THEN l_orderkey % 4 END AS exit_code FROM m)
+SELECT ROW_NUMBER() OVER (ORDER BY file, symbol, operator, l_linenumber, id, original, k, exit_code NULLS FIRST) AS place, file, operator, id, status, exit_code FROM r""",
     "reported_groups": f"""WITH g AS (SELECT l_orderkey AS group_id, COUNT(*) AS token_count, list_sort(list(DISTINCT struct_pack(file := l_partkey, start_line := l_linenumber))) AS p FROM lineitem GROUP BY 1)
 SELECT group_id, token_count, len(p)::INT AS places FROM g ORDER BY token_count DESC, p, len(p), group_id LIMIT {REPORT_GROUPS}""",
     "unresolved_mutants": f"WITH {MUTANTS} SELECT l_suppkey, status IN ('timeout', 'pending') AS unresolved, COUNT(*) AS n FROM m GROUP BY 1, 2",

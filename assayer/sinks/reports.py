@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.columns import escape_terminal, mutator_name, path_uri
+from assayer.functions.columns import STATUSES, escape_terminal, mutator_name, path_uri
 from assayer.operators.graph import settle
 
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -21,6 +21,27 @@ def native_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("json"))
 
 
+#: The worst first.
+SEVERITIES = ("error", "warning", "info")
+
+
+def _rank(c: str, values: Sequence[str]) -> Column:
+    return F.array_position(F.array(*map(F.lit, values)), F.col(c))
+
+
+def diagnostic_order() -> list[Column]:
+    """Worst first, those without a place before those with one, then by place, backend, message and whether a
+    fallback was used."""
+    places = [F.col(c).asc_nulls_first() for c in ("file", "start_line", "start_column", "end_line", "end_column")]
+    return [_rank("severity", SEVERITIES), *places, F.col("backend"), F.col("message"), F.col("fallback_used")]
+
+
+def mutant_order() -> list[Column]:
+    """By structure and place, then by outcome; what is not known comes first."""
+    named = ("file", "stable_symbol", "operator", "fingerprint", "line", "column", "id", "original", "replacement")
+    return [*map(F.col, named), _rank("status", STATUSES), *(F.col(c).asc_nulls_first() for c in ("exit_code", "detail", "duration"))]
+
+
 CRAP_RESULT, DRY_RESULT = "crap-threshold", "duplicate-code"
 
 

@@ -22,9 +22,9 @@ def values(rows, columns):
 
 
 def plans():
-    from assayer.plans import queries, rule_queries, rule_sql, sql
+    from assayer.plans import queries, report_queries, report_sql, rule_queries, rule_sql, sql
 
-    return queries.QUERIES | rule_queries.QUERIES, sql.ORACLE_SQL | rule_sql.ORACLE_SQL
+    return queries.QUERIES | rule_queries.QUERIES | report_queries.QUERIES, sql.ORACLE_SQL | rule_sql.ORACLE_SQL | report_sql.ORACLE_SQL
 
 
 def names():
