@@ -2,6 +2,7 @@
 
 import json
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -310,6 +311,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Repeated ids, rows without id or language, wholly equal rows, columns named like those of operators,
+    empty side tables and an empty table of documents."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"word{k}x{j}" for j in range(90))
+    rows = [(1, text(1), "en", 1), (1, text(2), "en", 2), (None, text(3), None, 3), (None, text(4), None, 4), (None, text(4), None, 4), (5, text(5), "", 5), (5, text(5), "", 6), (6, None, "en", 7), (7, "", "en", 8)]
+    schema = "doc_id long, text string, lang string, n_words int"
+    more = {"simhash": "s", "spans": "p", "_row": "r", "_key": "k", "entities": "e", "ROOT": "o", "_matches": "m", "n_chars": 5}
+    base = f"file://{tmp_path}"
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(v) for c, v in more.items()})
+    docs.write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    for table in (docs, docs.limit(0)):
+        seen = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            seen = stage(spark, seen, base)
+            assert seen.columns == docs.columns
+        left = seen.collect()
+        assert Counter((r.doc_id, r.text.split("x")[0]) for r in left) == (Counter({(1, "word1"): 1, (1, "word2"): 1, (None, "word3"): 1, (None, "word4"): 1, (5, "word5"): 1}) if table is docs else Counter())
+        assert all(r[c] == v for r in left for c, v in more.items() if c != "n_chars") and all(r.n_chars == len(r.text) for r in left)
+        out = corpus_pipeline.STAGES[-1][1](spark, seen, base)
+        assert out.count() == len(left) and "doc_id" in out.columns
+
+
 def test_columns_named_like_helpers_pass(spark):
     docs = spark.createDataFrame([(1, "Mr Adam Smith paid.", "a", "b", "c")], "doc_id long, text string, _matches string, _K string, _host string")
     out = pii.replace_entities(docs, "k").first()
