@@ -312,10 +312,11 @@ def _join_told(rows: DataFrame, exceptions: DataFrame) -> DataFrame:
 
 def rewrite_documents(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with its own columns: text rewritten and n_chars, where there is one, counted again."""
+    docs, named_back = shielded(docs, ("entities",))
     out = replace_entities(docs, key).select(*[f"`{c}`" for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out
+    return named_back(out)
 
 
 def session_key(spark: SparkSession) -> str:
