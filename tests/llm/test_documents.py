@@ -105,9 +105,11 @@ def test_bitmaps_never_rule_out_a_similar_pair():
     assert not jaccard.bitmap(np.empty(0, dtype=np.uint64)).any()
 
 
-@pytest.mark.parametrize("slices", [0.5, 0.1])
-def test_pairs_equal_brute_force_in_one_or_many_slices(spark, monkeypatch, slices):
+@pytest.mark.parametrize(("slices", "open_"), [(0.5, 1.0), (0.1, 1.0), (0.5, 0.0)])
+def test_pairs_equal_brute_force_in_one_or_many_slices(spark, monkeypatch, slices, open_):
+    """With ``open_`` 0 further steps of stars come before the pairs."""
     monkeypatch.setattr(jaccard, "SLICE", slices)
+    monkeypatch.setattr(jaccard, "OPEN", open_)
     rng = random.Random(8)
     texts = []
     for _ in range(25):
@@ -135,6 +137,34 @@ def test_pairs_equal_brute_force_in_one_or_many_slices(spark, monkeypatch, slice
     assert len(similar) > 20 and found <= similar and parts(found) == parts(similar)
 
 
+def test_a_large_family_among_others_is_not_put_out_in_pairs(spark, monkeypatch):
+    """All members are near each other; shorter and other texts with their passage are in the same lists."""
+    rng = random.Random(12)
+    base = [f"w{j}" for j in range(120)]
+    texts = []
+    for i in range(300):
+        near = list(base)
+        near[rng.randrange(120)] = f"edit{i}"
+        texts.append(" ".join(near))
+    texts += [" ".join(base[:60] + [f"other{i}x{j}" for j in range(rng.randrange(20, 200))]) for i in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("_key", F.md5("text"))
+    asked, write = [], jaccard.materialise
+
+    def counted(df, tag):
+        out = write(df, tag)
+        if tag == "pairs":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    sets = jaccard.distinct_sets(jaccard.signatures(docs, np.empty(0, dtype=np.uint64), 5, 0.8, ["_key"]))
+    sid = {r.sid: r._key for r in sets.select("sid", "_key").collect()}
+    family = {hashlib.md5(t.encode()).hexdigest() for t in texts[:300]}
+    roots = jaccard.components(jaccard.links(sets, docs.select("_key", "text"))).collect()
+    assert {sid[r.node] for r in roots} == family and len({r.root for r in roots}) == 1
+    assert sum(asked) < 20 * len(texts)
+
+
 @pytest.mark.parametrize("limit", [64, 3])
 def test_links_have_the_components_of_all_pairs(spark, monkeypatch, limit):
     """Random families of near fingerprints; with limit 3 most lists go by the star."""
