@@ -62,9 +62,15 @@ def symbol_parts(c) -> Column:
     return F.filter(F.split(head, r"[^\p{L}\p{N}_]"), lambda p: p != "")
 
 
-def _window_of(whole: Column, part: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.size(whole) - F.size(part) + 1, F.lit(1)))
-    return (F.size(whole) >= F.size(part)) & F.exists(starts, lambda i: F.slice(whole, i, F.size(part)) == part)
+def _windows(parts: Column) -> Column:
+    """All runs of neighbouring parts, once each."""
+    at = F.sequence(F.lit(1), F.size(parts))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.size(parts) - i + 1), lambda n: F.slice(parts, i, n)))))
+
+
+def _heads(parts: Column) -> Column:
+    """The first part, the first two, and so on; none of no parts."""
+    return F.filter(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.slice(parts, F.lit(1), n)), lambda x: F.size(x) > 0)
 
 
 def _without_prefix(parts: Column, prefix: Column) -> Column:
@@ -76,22 +82,31 @@ def best_symbols(references: DataFrame, symbols: DataFrame) -> DataFrame:
 
     ``references``: package, test, reference. ``symbols``: package, symbol. Three points where the
     symbol's path occurs in the reference, one where its last segment does, two more where the test lies
-    within the symbol's owner. They meet by package and by the symbol's last segment; a symbol that
-    shares nothing scores only through its owner, which is looked up by the owner's first segment.
+    within the symbol's owner. No test meets the symbols of an owner or of a last segment one by one: symbols
+    are counted by path, by owner and by last segment, with the least of them. Paths are looked up by equality,
+    from the reference's runs of parts and from the heads of the test's own path with a part of the reference
+    (three points or more). Where there is none, all symbols of the owners around the test have two points, and
+    without these all with a last segment in the reference have one.
     """
     pkg = symbol_parts(F.coalesce("package", F.lit("")))
-    r = references.withColumn("ref", F.filter(symbol_parts("reference"), lambda p: ~p.isin("crate", "self", "super"))).withColumn("context", _without_prefix(symbol_parts("test"), pkg)).where(F.size("ref") > 0)
+    r = references.withColumn("ref", F.filter(symbol_parts("reference"), lambda p: ~p.isin("crate", "self", "super"))).withColumn("context", _without_prefix(symbol_parts("test"), pkg)).where((F.size("ref") > 0) & F.col("test").isNotNull())
+    r = r.select("package", "test", "reference", "ref", "context").distinct()
     s = symbols.select("package", "symbol").distinct().withColumn("path", _without_prefix(symbol_parts("symbol"), pkg)).where(F.size("path") > 0)
     s = s.withColumn("owner", F.slice("path", F.lit(1), F.size("path") - 1))
-    by_leaf = r.withColumn("key", F.explode(F.array_distinct("ref"))).join(s.withColumn("key", F.element_at("path", -1)), ["package", "key"])
-    by_owner = r.where(F.size("context") > 0).withColumn("key", F.element_at("context", 1)).join(s.where(F.size("owner") > 0).withColumn("key", F.element_at("owner", 1)), ["package", "key"])
-    met = by_leaf.unionByName(by_owner)
-    base = F.when(_window_of(F.col("ref"), F.col("path")), 3).when(F.array_contains("ref", F.element_at("path", -1)), 1).otherwise(0)
-    inside = (F.size("owner") > 0) & (F.slice("context", F.lit(1), F.size("owner")) == F.col("owner"))
-    scored = met.withColumn("score", base + F.when(inside, 2).otherwise(0)).where("score > 0").groupBy("package", "test", "reference", "symbol").agg(F.max("score").alias("score"))
-    top = scored.groupBy("package", "test", "reference").agg(F.max("score").alias("score"))
-    best = scored.join(top, ["package", "test", "reference", "score"])
-    return best.groupBy("package", "test", "reference").agg(F.count("*").alias("n"), F.min("symbol").alias("symbol")).where("n = 1").drop("n")
+    told = [F.count("*").alias("n"), F.min("symbol").alias("symbol")]
+    key = ["package", "test", "reference"]
+    paths = s.groupBy("package", "path", "owner").agg(*told)
+    owners = s.where(F.size("owner") > 0).groupBy("package", F.col("owner").alias("key")).agg(*told)
+    leaves = s.groupBy("package", F.element_at("path", -1).alias("key")).agg(*told)
+    runs, inner = _windows(F.col("ref")), F.flatten(F.transform(_heads(F.col("context")), lambda h: F.transform(F.array_distinct("ref"), lambda p: F.concat(h, F.array(p)))))
+    inside = F.exists(_heads(F.col("context")), lambda h: h == F.col("owner"))
+    by_path = r.select(*key, "context", "ref", F.explode(F.array_union(runs, inner)).alias("path")).join(paths, ["package", "path"])
+    by_path = by_path.select(*key, (F.when(F.array_contains(_windows(F.col("ref")), F.col("path")), 3).otherwise(1) + F.when(inside, 2).otherwise(0)).alias("score"), "n", "symbol").where("score > 2")
+    by_owner = r.select(*key, F.explode(_heads(F.col("context"))).alias("key")).join(owners, ["package", "key"]).select(*key, F.lit(2).alias("score"), "n", "symbol")
+    by_leaf = r.select(*key, F.explode(F.array_distinct("ref")).alias("key")).join(leaves, ["package", "key"]).select(*key, F.lit(1).alias("score"), "n", "symbol")
+    totals = by_path.unionByName(by_owner).unionByName(by_leaf).groupBy(*key, "score").agg(F.sum("n").alias("n"), F.min("symbol").alias("symbol"))
+    best = totals.groupBy(*key).agg(F.max_by(F.struct("n", "symbol"), "score").alias("x"))
+    return best.where("x.n = 1").select(*key, "x.symbol")
 
 
 def report_summary(rules: DataFrame, omitted: DataFrame, over_limit: int, groups: int, survived: int, no_coverage: int, counted: tuple[str, ...] = ("crap.maximum", "dry.clone", "mutation.surviving-mutant")) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -386,3 +388,31 @@ def test_reports(spark):
     x = json.loads(reports.mutation_elements(res, src).first().json)
     assert x["mutants"][0]["location"] == {"start": {"line": 2, "column": 4}, "end": {"line": 2, "column": 6}} and x["mutants"][0]["mutatorName"] == "EqualityOperator"
     assert [r.line.split()[:2] for r in reports.human_lines(rules).collect()] == [["rules:", "2"], ["r.a", "a"]] and "r.a" in reports.native_rows(rules).first().json
+
+
+def test_best_symbols_with_many_symbols_of_one_owner(spark):
+    """Tests and symbols of one owner do not meet in pairs; the verdicts are those of all pairs."""
+    from assayer.operators import facts
+
+    symbols = [("p", f"p::t::f{i}") for i in range(3)] + [("p", "p::u::only"), ("p", "p::f1"), ("p", "x::t::f2"), ("q", "q::f9"), ("q", "q::g::f9"), ("p", "p::v::new"), ("p", "p::w::new")]
+    refs = [("p", t, x) for t in ("p::t::check", "p::u::check", "p::other", "check", "p::u::deep::check") for x in ("t::f1", "crate::f1", "f1", "none", "crate", "x::t::f2", "a::t::f2::b", "only::f0", "new", "u::only")] + [("q", "q::g::check", "f9"), ("q", "q::h::check", "f9")]
+    parts = lambda x: [y for y in re.split(r"\W", x) if y]
+    cut = lambda x, p: x[len(p) :] if x[: len(p)] == p else x
+    want = []
+    for package, test, reference in sorted(set(refs)):
+        ref, context, told = [x for x in parts(reference) if x not in ("crate", "self", "super")], cut(parts(test), [package]), {}
+        for _, symbol in (s for s in symbols if s[0] == package and ref):
+            path = cut(parts(symbol), [package])
+            base = 3 if any(ref[i : i + len(path)] == path for i in range(len(ref))) else int(path[-1] in ref)
+            told[symbol] = base + (2 if path[:-1] and context[: len(path) - 1] == path[:-1] else 0)
+        best = [s for s, n in told.items() if n and n == max(told.values())]
+        want += [(package, test, reference, best[0])] if len(best) == 1 else []
+    out = facts.best_symbols(spark.createDataFrame(refs + refs[:3], "package string, test string, reference string"), spark.createDataFrame(symbols, "package string, symbol string"))
+    assert sorted(tuple(r) for r in out.select("package", "test", "reference", "symbol").collect()) == want
+    many = spark.range(3000).select(F.lit("p").alias("package"), F.concat(F.lit("p::t::f"), "id").alias("symbol"))
+    asked = spark.range(3000).select(F.lit("p").alias("package"), F.lit("p::t::check").alias("test"), F.concat(F.lit("none"), "id").alias("reference"))
+    met = facts.best_symbols(asked, many)
+    assert met.count() == 0
+    before = time.monotonic()
+    met.count()
+    assert time.monotonic() - before < 10  # 9,000,000 pairs by owner
