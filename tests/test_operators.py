@@ -416,3 +416,23 @@ def test_best_symbols_with_many_symbols_of_one_owner(spark):
     before = time.monotonic()
     met.count()
     assert time.monotonic() - before < 10  # 9,000,000 pairs by owner
+
+
+def test_architecture_rules_without_production_edges_equal_the_sql(spark, tmp_path):
+    """Every pair of nations has as many lines: no edge is above the mean."""
+    import duckdb
+
+    from assayer.plans import rule_queries, rule_sql
+
+    con = duckdb.connect()
+    tables = {
+        "nation": "SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, (i % 2)::INT AS n_regionkey FROM range(4) t(i)", "supplier": "SELECT i AS s_suppkey, (i % 4)::INT AS s_nationkey FROM range(4) t(i)", "customer": "SELECT i AS c_custkey, (i % 4)::INT AS c_nationkey FROM range(4) t(i)",
+        "orders": "SELECT i AS o_orderkey, i AS o_custkey FROM range(4) t(i)", "lineitem": "SELECT o AS l_orderkey, s AS l_suppkey FROM range(4) a(o), range(4) b(s)",
+    }
+    for name, sql in tables.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = con.execute(rule_sql.ORACLE_SQL["architecture_rules"])
+    columns = [d[0] for d in want.description]
+    got = rule_queries.architecture_rules(spark, str(tmp_path)).select(*columns)
+    assert [tuple(r) for r in got.collect()] == want.fetchall()
