@@ -436,3 +436,14 @@ def test_architecture_rules_without_production_edges_equal_the_sql(spark, tmp_pa
     columns = [d[0] for d in want.description]
     got = rule_queries.architecture_rules(spark, str(tmp_path)).select(*columns)
     assert [tuple(r) for r in got.collect()] == want.fetchall()
+
+
+def test_cycles_behind_a_long_way_take_few_rounds(spark, monkeypatch):
+    """One edge out of each node: a way of 300 nodes into a cycle of 5, a cycle of 64, and a way that ends."""
+    edges = [(f"w{i:03}", f"w{i + 1:03}") for i in range(300)] + [("w300", "c1"), ("c1", "c2"), ("c2", "c3"), ("c3", "c4"), ("c4", "c5"), ("c5", "c1"), ("self", "self")]
+    edges += [(f"r{i:02}", f"r{(i + 1) % 64:02}") for i in range(64)] + [("e1", "e2"), ("e2", "e3"), ("x", "r05")]
+    rounds, settle = [], packages.settle
+    monkeypatch.setattr(packages, "settle", lambda df: rounds.append(1) or settle(df))
+    got = sorted(r.cycle for r in packages.cycles(spark.createDataFrame(edges, "a string, b string")).collect())
+    assert got == [["c1", "c2", "c3", "c4", "c5"], [f"r{i:02}" for i in range(64)], ["self"]]
+    assert len(rounds) < 16
