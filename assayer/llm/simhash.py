@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.llm import jaccard
-from assayer.llm.common import add_columns, discard, encode, materialise, table
+from assayer.llm.common import add_columns, discard, encode, free_shuffles, materialise, table
 from assayer.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -143,7 +143,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = jaccard.WORDS, threshold:
     """
     key = F.md5(F.col("text").cast("binary")).alias("_key")  # null for a null text
     marked = fingerprints(docs.select("doc_id", "text", key), keep=["doc_id", "_key", "text"])
-    full = materialise(jaccard.signatures(marked, jaccard.frequent(docs, words), words, threshold, keep=["doc_id", "_key", "simhash"]), "signatures")
+    last = jaccard.frequent(docs, words)
+    free_shuffles(docs.sparkSession)
+    full = materialise(jaccard.signatures(marked, last, words, threshold, keep=["doc_id", "_key", "simhash"]), "signatures")
     narrow, sets = materialise(full.drop("prefix", "size", "bits"), "simhash"), jaccard.distinct_sets(full)
     discard(full)
     near = jaccard.links(sets, docs.select(key, "text"), words, threshold)

@@ -165,6 +165,27 @@ def test_a_large_family_among_others_is_not_put_out_in_pairs(spark, monkeypatch)
     assert sum(asked) < 20 * len(texts)
 
 
+def test_a_family_that_is_alike_but_not_similar_makes_few_pairs(spark, monkeypatch):
+    """Two edits in each copy: similarity about 0.72, so that stars leave all apart and the last step decides."""
+    rng = random.Random(21)
+    base, texts = [f"w{j}" for j in range(120)], []
+    for i in range(150):
+        near = list(base)
+        for j in rng.sample(range(10, 110), 2):
+            near[j] = f"edit{i}x{j}"
+        texts.append(" ".join(near))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("_key", F.md5("text"))
+    asked, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *a: asked.append(pairs.distinct().count()) or verified(pairs, *a))
+    sets = jaccard.distinct_sets(jaccard.signatures(docs, np.empty(0, dtype=np.uint64), 5, 0.8, ["_key"]))
+    sid = {r.sid: r._key for r in sets.select("sid", "_key").collect()}
+    roots = {sid[r.node]: r.root for r in jaccard.components(jaccard.links(sets, docs.select("_key", "text"))).collect()}
+    key = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+    similar = [(i, j) for i in range(150) for j in range(i) if jaccard.similar(texts[i], texts[j], 5, 0.8)]
+    assert all(roots[key[i]] == roots[key[j]] for i, j in similar)
+    assert asked[-1] < 1000  # of 11,175
+
+
 @pytest.mark.parametrize("limit", [64, 3])
 def test_links_have_the_components_of_all_pairs(spark, monkeypatch, limit):
     """Random families of near fingerprints; with limit 3 most lists go by the star."""
