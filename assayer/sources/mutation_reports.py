@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.columns import imported_status, mutation_operator, path_is_relative, repository_path
+from assayer.operators.graph import settle
 
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -74,9 +75,11 @@ MAX_IMPORTED = 100_000
 def checked(rows: DataFrame, maximum: int = MAX_IMPORTED) -> DataFrame:
     """Imported rows; more than ``maximum`` of them, a path that leaves the project, a mutant without a
     place or a second one of its id in a file is an error."""
+    rows = settle(rows)  # reports are parsed once: two figures and the rows are taken from them
     n = rows.agg(F.count("*").alias("n")).scalar()
-    again = F.count("*").over(Window.partitionBy("file", "external_id")) > 1
-    told = rows.withColumn("_again", again)
+    # ids are counted by themselves, and one that is told twice is enough: the rows are not exchanged
+    again = rows.groupBy("file", "external_id").agg(F.count("*").alias("n")).where("n > 1").agg(F.min(F.struct("file", "external_id")).alias("again")).scalar()
+    told = rows.withColumn("_again", F.struct("file", "external_id").eqNullSafe(again))
     fail = lambda why: F.raise_error(F.concat(F.lit(f"imported mutant {why}: "), F.coalesce("file", F.lit("?")), F.lit(" "), F.coalesce("external_id", F.lit("?"))))
     file = (
         F.when(n > maximum, fail(f"beyond {maximum}")).when(F.col("file").isNull() | ~path_is_relative("file"), fail("outside the project"))

@@ -447,3 +447,13 @@ def test_cycles_behind_a_long_way_take_few_rounds(spark, monkeypatch):
     got = sorted(r.cycle for r in packages.cycles(spark.createDataFrame(edges, "a string, b string")).collect())
     assert got == [["c1", "c2", "c3", "c4", "c5"], [f"r{i:02}" for i in range(64)], ["self"]]
     assert len(rounds) < 16
+
+
+def test_imported_mutants_are_parsed_once_and_ids_alone_are_exchanged(spark):
+    rows = spark.createDataFrame([("a.rs", "m1", 1, 1), ("a.rs", "m2", 1, 1), ("b.rs", "m1", 1, 1)], "file string, external_id string, line int, column int")
+    told = mutation_reports.checked(rows)
+    assert sorted((r.file, r.external_id) for r in told.collect()) == [("a.rs", "m1"), ("a.rs", "m2"), ("b.rs", "m1")]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    with pytest.raises(Exception, match="told twice: a.rs m2"):
+        mutation_reports.checked(rows.unionByName(rows.where("external_id = 'm2'"))).collect()
