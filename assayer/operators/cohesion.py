@@ -17,7 +17,8 @@ def resolved_targets(functions: DataFrame) -> DataFrame:
     refs = refs.withColumn("path", reference_segments(F.regexp_replace("ref", "^method::", ""))).where(F.size("path") > 0).withColumn("leaf", F.element_at("path", -1))
     own = functions.select("file", "owner", F.col("function_id").alias("target"), reference_segments("symbol").alias("own")).where(F.size("own") > 0).withColumn("leaf", F.element_at("own", -1))
     met = refs.join(own, ["file", "owner", "leaf"]).where((F.size("own") >= F.size("path")) & (F.slice("own", -F.size("path"), F.size("path")) == F.col("path")))
-    one = met.groupBy("file", "owner", "function_id", "ref").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1")
+    # least and greatest are summed before the exchange; distinct targets would all be exchanged
+    one = met.groupBy("file", "owner", "function_id", "ref").agg(F.min("target").alias("target"), F.max("target").alias("last")).where("target = last")
     return one.select("file", "owner", "function_id", "target").distinct()
 
 

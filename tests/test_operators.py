@@ -457,3 +457,10 @@ def test_imported_mutants_are_parsed_once_and_ids_alone_are_exchanged(spark):
     assert "Window" not in plan
     with pytest.raises(Exception, match="told twice: a.rs m2"):
         mutation_reports.checked(rows.unionByName(rows.where("external_id = 'm2'"))).collect()
+
+
+def test_resolved_targets_are_summed_before_the_exchange(spark):
+    f = spark.createDataFrame([("f", "T", "a", "T::x", ["x", "T::x", "y"]), ("f", "T", "b", "T::y", ["z"]), ("f", "T", "c", "T::y", ["x"])], "file string, owner string, function_id string, symbol string, references array<string>")
+    told = cohesion.resolved_targets(f)
+    assert sorted((r.function_id, r.target) for r in told.collect()) == [("a", "a"), ("c", "a")]
+    assert "distinct" not in told._jdf.queryExecution().optimizedPlan().toString().lower()
