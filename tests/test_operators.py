@@ -204,6 +204,50 @@ def test_frequent_windows_extend_the_seeds(spark):
     assert got == {(f"f{a}", 1, f"f{b}", 1, 14) for a in range(3) for b in range(a + 1, 3)}
 
 
+def plain_regions(files, size, most):
+    """Matching stretches of every diagonal that hold two of the first ``most`` places of a window."""
+    places = {}
+    for f, t in sorted(files.items()):
+        for i in range(len(t) - size + 1):
+            places.setdefault(tuple(t[i : i + size]), []).append((f, i))
+    pairs = {(a, b): max(i, j) < most for p in places.values() for i, a in enumerate(p) for j, b in enumerate(p) if a < b}
+    out = set()
+    for (f, i), (g, j) in pairs:
+        if ((f, i - 1), (g, j - 1)) not in pairs:
+            n = next(k for k in range(10**6) if ((f, i + k), (g, j + k)) not in pairs)
+            if any(pairs[(f, i + k), (g, j + k)] for k in range(n)) and (f != g or j - i >= n + size - 1):
+                out.add((f, i, g, j, n + size - 1))
+    return out
+
+
+@pytest.mark.parametrize("size,most,seed", [(5, 3, 1), (4, 2, 2), (7, 4, 3), (6, 100, 4)])
+def test_regions_equal_a_plain_pass(spark, size, most, seed):
+    import random
+
+    rng = random.Random(seed)
+    parts = [[f"p{k}.{i if k % 2 else i % 3}" for i in range(rng.randrange(3, 4 * size))] for k in range(6)]
+    files = {f"f{i:02}": [w for _ in range(rng.randrange(1, 5)) for w in (rng.choice(parts) if rng.random() < 0.8 else [f"u{rng.randrange(50)}"])] for i in range(14)}
+    files |= {f"g{i:02}": files[f"f{i:02}"] for i in range(0, 14, 3)} | {"lol": ["lol"] * 40, "few": ["x"], "none": []}
+    arrays = spark.createDataFrame(list(files.items()), "file string, tokens array<string>")
+    want = plain_regions(files, size, most)
+    for wins in (clones.windows(arrays, size), clones.candidate_windows(arrays, size)):
+        got = [(r.file_l, r.start_l, r.file_r, r.start_r, r.token_count) for r in clones.maximal_regions(wins, size, most).collect()]
+        assert len(want) > 5 and sorted(got) == sorted(want)
+
+
+def test_regions_are_made_from_their_ends(spark):
+    """Copies make rows for the two ends of a stretch, not for each window in it; windows that occur once are left out."""
+    words = [f"w{i}" for i in range(3000)]
+    arrays = spark.createDataFrame([("a", words), ("b", words), ("c", [f"x{i}" for i in range(3000)])], "file string, tokens array<string>")
+    wins = clones.candidate_windows(arrays, 30)
+    assert wins.count() == 2 * 2971 and "c" not in {r.file for r in wins.select("file").distinct().collect()}
+    assert {tuple(r) for r in clones.window_buckets(wins).groupBy("file", "occurrences", "files").count().collect()} == {("a", 2, 2, 2971)}
+    from assayer.operators.graph import settle
+
+    linked = clones._linked(settle(wins), clones._frequent(wins, 100), 100)
+    assert [(r.low, r.high) for r in clones._islands(linked).collect()] == [(0, 2970)]
+
+
 def test_near_pairs_equal_brute_force(spark):
     import random
     from collections import Counter
