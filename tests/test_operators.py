@@ -273,6 +273,17 @@ def test_near_pairs_equal_brute_force(spark):
     assert len(want) > 10 and got == want
 
 
+def test_near_pairs_exchange_prefixes(spark, monkeypatch):
+    """Each set posts the front part in which a partner must meet it, not all its elements; frequent ones come last."""
+    monkeypatch.setattr(clones, "ASKED", 1)
+    rows = [(f"f{i}", ["of", "the", "and", "in", *(f"w{i}.{j}" for j in range(96))]) for i in range(40)]
+    sets = clones.shingle_sets(spark.createDataFrame([*rows, ("twin", [*rows[0][1], "end"])], "file string, tokens array<string>"), 1)
+    lists = {r.file: r.prefix for r in clones._prefixes(sets, 0.92).collect()}
+    assert {len(v) for v in lists.values()} == {15} and not set(lists["f1"]) & set(lists["f2"]) and set(lists["f0"]) & set(lists["twin"])
+    assert [(r.l, r.r) for r in clones.near_pairs(sets, 0.92).collect()] == [("f0", "twin")]
+    assert clones.near_pairs(sets, 0.92, sets.where("file <> 'twin'")).count() == 0
+
+
 def test_cohesion(spark):
     rows = [("f", "1", "T::a", ["T::b", "new"]), ("f", "2", "T::b", ["field::x"]), ("f", "3", "T::c", ["field::x", "new"]), ("f", "4", "T::d", []), ("f", "5", "U::only", [])]
     df = spark.createDataFrame([(a, b, "", c, d, True) for a, b, c, d in rows], "file string, function_id string, name string, stable_symbol string, references array<string>, structural_metrics_reliable boolean")
