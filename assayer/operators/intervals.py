@@ -78,6 +78,17 @@ def intersecting(left: DataFrame, right: DataFrame, start: tuple[str, str], end:
     return inside.where(F.col(end[0]) >= F.col(start[0])).unionByName(around.where(F.col(end[1]) >= F.col(start[1])).select(inside.columns))
 
 
+def intersecting_itself(spans: DataFrame, start: str, end: str, on: Sequence[str]) -> DataFrame:
+    """(on, a, b): as ``intersecting`` of a table with itself, each row with itself included, other columns as
+    structs. A pair with two starts is found once, by the later of them, and turned: half of the joins."""
+    row = F.struct(*(c for c in spans.columns if c not in on))
+    spans = spans.where(F.col(end) >= F.col(start))
+    met = stab(spans.select(*on, row.alias("a"), F.col(start).alias("_at")), "_at", spans.select(*on, row.alias("b"), F.col(start).alias("_low"), F.col(end).alias("_high")), "_low", "_high", on)
+    pair = F.struct("a", "b")
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    return met.select(*on, F.inline(F.when(F.col("_at") > F.col("_low"), F.array(pair, turned)).otherwise(F.array(pair))))
+
+
 def greatest_around(spans: DataFrame, start: str, end: str, on: Sequence[str], value: str, points: DataFrame, point: str) -> DataFrame:
     """The points that lie in a span, once, with the greatest ``value`` of the spans around: one value a
     cell. ``points`` has ``on`` and ``point`` and nothing else."""

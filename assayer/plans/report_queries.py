@@ -78,10 +78,10 @@ def policy_coverage(spark, d):
 def span_relations(spark, d):
     """Lines of an order as spans: which have text in common, and which lie in which."""
     span = F.struct(F.col("l_linenumber").alias("start_line"), (F.col("l_partkey") % 10).alias("start_column"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3).alias("end_line"), (F.col("l_suppkey") % 10 + 10).alias("end_column"))
-    side = lambda p: read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias(f"{p}_line"), span.alias(f"{p}_span"), span["start_line"].alias(f"{p}_start"), span["end_line"].alias(f"{p}_end"))
-    met = intervals.intersecting(side("a"), side("b"), ("a_start", "b_start"), ("a_end", "b_end"), ["l_orderkey"])
-    met = met.where((F.col("a_line") != F.col("b_line")) & fn.spans_intersect("a_span", "b_span"))
-    return met.select("l_orderkey", "a_line", "b_line", fn.span_within("a_span", "b_span").alias("within"))
+    lines = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), span.alias("span"), span["start_line"].alias("start"), span["end_line"].alias("end"))
+    met = intervals.intersecting_itself(lines, "start", "end", ["l_orderkey"])
+    met = met.where((F.col("a.line") != F.col("b.line")) & fn.spans_intersect("a.span", "b.span"))
+    return met.select("l_orderkey", F.col("a.line").alias("a_line"), F.col("b.line").alias("b_line"), fn.span_within("a.span", "b.span").alias("within"))
 
 
 def united_records(spark, d):

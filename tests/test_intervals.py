@@ -100,6 +100,15 @@ def test_regional_coverage_counts_lines_by_stretches(spark):
     assert made == plain
 
 
+def test_spans_that_meet_within_one_table(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), i, (s := rng.randrange(40)), s + rng.choice([-1, 0, 1, 5, 30])) for i in range(80)] + [("a", 80, 3, 9), ("a", 81, 3, 9)]
+    got = intervals.intersecting_itself(spark.createDataFrame(rows, "file string, i int, s int, e int"), "s", "e", ["file"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    want = sorted((x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and max(x[2], y[2]) <= min(x[3], y[3]))
+    assert sorted((r.a.i, r.b.i) for r in got.collect()) == want
+
+
 def inside(i, o):
     return i[0] == o[0] and i[2] == o[2] and o[4] > i[4] and o[1] <= i[1] and i[1] + i[4] <= o[1] + o[4] and o[3] <= i[3] and i[3] + i[4] <= o[3] + o[4]
 
