@@ -183,6 +183,37 @@ def test_independent_groups_equal_one_greedy_pass(spark):
     assert sorted(r.group_id for r in clones.independent_groups(df).collect()) == sorted(want)
 
 
+def greedy_groups(rows):
+    covered, want = {}, []
+    for g, _, places in sorted(rows, key=lambda r: (-r[1], [(p["file"], p["start_line"], p["end_line"]) for p in r[2]], len(r[2]), r[0])):
+        if sum(all(max(p["start_line"], s) > min(p["end_line"], e) for s, e in covered.get(p["file"], ())) for p in places) >= 2:
+            want.append(g)
+            for p in places:
+                covered.setdefault(p["file"], []).append((p["start_line"], p["end_line"]))
+    return sorted(want)
+
+
+@pytest.mark.parametrize("seed,bits,together", [(1, 3, 20), (2, 4, 1), (3, 10, 200_000)])
+def test_independent_groups_over_long_files(spark, monkeypatch, seed, bits, together):
+    """Stretches are short, long and uneven, places long, short and without lines; the rounds meet few rows a place."""
+    import random
+
+    monkeypatch.setattr(clones, "_STRETCH_BITS", bits)
+    monkeypatch.setattr(clones, "_PLACES_TOGETHER", together)
+    rng = random.Random(seed)
+    rows = []
+    for i in range(150):
+        start = [(rng.choice("abcd"), rng.randrange(900)) for _ in range(rng.randrange(2, 6))]
+        places = [{"file": f, "start_line": s, "end_line": s + rng.choice((-1, 0, 3, 12, 40, 40, 300))} for f, s in sorted(set(start))]
+        rows.append((f"g{i:03}", rng.randrange(20, 40), places))
+    df = spark.createDataFrame(rows, "group_id string, token_count int, places array<struct<file:string,start_line:int,end_line:int>>")
+    got = clones.independent_groups(df)
+    assert got.columns == df.columns and sorted(r.group_id for r in got.collect()) == greedy_groups(rows)
+    many = spark.range(1000).selectExpr("id AS rank", "0 AS place", "0L AS at", "10 AS bits", "id * 100 AS low", "id * 100 + 200 AS high")
+    met = clones._stretches(many)
+    assert met.count() <= 3 * 1000 and dict(met.dtypes)["at"] == "bigint" and "string" not in dict(met.dtypes).values()
+
+
 def test_cycles_equal_mutual_reach(spark):
     import random
 
