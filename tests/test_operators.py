@@ -279,6 +279,24 @@ def test_regions_are_made_from_their_ends(spark):
     assert [(r.low, r.high) for r in clones._islands(linked).collect()] == [(0, 2970)]
 
 
+@pytest.mark.parametrize("size,most,seed", [(5, 3, 1), (4, 2, 2), (7, 4, 3), (6, 100, 4), (2, 100, 5), (9, 5, 6)])
+def test_regions_need_no_windows_inside_of_copies(spark, size, most, seed):
+    import random
+
+    rng = random.Random(seed)
+    parts = [[f"p{k}.{i if k % 2 else i % 3}" for i in range(rng.randrange(3, 4 * size))] for k in range(6)]
+    files = {f"f{i:02}": [w for _ in range(rng.randrange(1, 5)) for w in (rng.choice(parts) if rng.random() < 0.8 else [f"u{rng.randrange(50)}"])] for i in range(14)}
+    files |= {f"g{i:02}": files[f"f{i:02}"] for i in range(0, 14, 3)} | {"lol": ["lol"] * 40, "few": ["x"], "none": []}
+    long = [f"l{i}" for i in range(200)]
+    files |= {"l1": ["a", *long, "b"], "l2": long, "l3": [*long[:120], "other", *long[120:]]}
+    arrays = spark.createDataFrame(list(files.items()), "file string, tokens array<string>")
+    wins = clones.candidate_windows(arrays, size, most)
+    got = [(r.file_l, r.start_l, r.file_r, r.start_r, r.token_count) for r in clones.maximal_regions(wins, size, most).collect()]
+    assert sorted(got) == sorted(plain_regions(files, size, most))
+    if most > 3 or size > 5:
+        assert wins.where("file = 'l2'").count() < 100 < clones.candidate_windows(arrays, size).where("file = 'l2'").count()
+
+
 def test_near_pairs_equal_brute_force(spark):
     import random
     from collections import Counter
