@@ -297,6 +297,20 @@ def test_regions_need_no_windows_inside_of_copies(spark, size, most, seed):
         assert wins.where("file = 'l2'").count() < 100 < clones.candidate_windows(arrays, size).where("file = 'l2'").count()
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_regions_are_exchanged_once_to_tell_contained_ones(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = sorted({(rng.choice("ab"), rng.randrange(30), rng.choice("cd"), rng.randrange(30), rng.randrange(1, 30)) for _ in range(150)} | {("x", 1, "y", 2, 9)})
+    inside = lambda i, o: (i[0], i[2]) == (o[0], o[2]) and o[4] > i[4] and all(o[k] <= i[k] and i[k] + i[4] <= o[k] + o[4] for k in (1, 3))
+    want = [i for i in rows if not any(inside(i, o) for o in rows)]
+    df = spark.createDataFrame(rows, "file_l string, start_l int, file_r string, start_r int, token_count int")
+    out = clones.non_redundant(df)
+    assert 20 < len(want) < len(rows) and sorted(map(tuple, out.collect())) == want
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
 def test_near_pairs_equal_brute_force(spark):
     import random
     from collections import Counter
