@@ -311,6 +311,16 @@ def test_regions_are_exchanged_once_to_tell_contained_ones(spark, seed):
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
 
 
+def test_groups_exchange_tokens_as_one_string(spark):
+    """Odd tokens come through as they are, and no array of them is exchanged for the places of a file."""
+    odd = ['"', "\\", "\n", "\u2028", "é", "{}", ",", "[", "\x00", "null"]
+    arrays = spark.createDataFrame([("a", ["x", *odd]), ("b", [*odd, "y"]), ("c", ["z"])], "file string, tokens array<string>")
+    regions = spark.createDataFrame([("a", 1, "b", 0, 10)], "file_l string, start_l int, file_r string, start_r int, token_count int")
+    groups = clones.fallback_groups(regions, arrays)
+    assert [(r.token_count, [tuple(x) for x in r.locations]) for r in groups.collect()] == [(10, [("a", 1), ("b", 0)])]
+    assert "to_json" in groups._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_near_pairs_equal_brute_force(spark):
     import random
     from collections import Counter
