@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,15 +142,19 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", a
         .select("stratum", "_good", F.posexplode(F.array(*RULES)).alias("rule", "badness"))
         .groupBy("stratum", "rule", "badness").agg(F.sum(F.col("_good").cast("long")).alias("good"), F.count("*").alias("n"))
     )
+    # one row for each stratum and rule, and every stratum has all rules
+    rated = rated.groupBy("stratum", "rule").agg(F.collect_list(F.struct("badness", "good", "n")).alias("bins"))
     rated = materialise(rated, "risk-counts")
-    strata = rated.select("stratum").distinct().count()
+    strata = rated.count() // len(RULES)
     level, share = delta / max(1, strata * len(RULES)), alpha / len(RULES)
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = certified_cutoff(zip(pdf.badness, pdf.good, pdf.n, strict=True), int(pdf.good.sum()), share, level)
-        return pd.DataFrame({"stratum": [pdf.stratum.iloc[0]], "rule": [int(pdf.rule.iloc[0])], "cut": pd.array([best], dtype="Int32")})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bins = [[(x["badness"], x["good"], x["n"]) for x in found] for found in b.column("bins").to_pylist()]
+            best = [certified_cutoff(x, sum(good for _, good, _ in x), share, level) for x in bins]
+            yield pa.RecordBatch.from_arrays([b.column("stratum"), b.column("rule"), pa.array(best, pa.int32())], names=["stratum", "rule", "cut"])
 
-    cuts = rated.groupBy("stratum", "rule").applyInPandas(cut, "stratum string, rule int, cut int")
+    cuts = rated.mapInArrow(cut, "stratum string, rule int, cut int")
     return cuts.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == i, F.col("cut"))).alias(f"cut_{r}") for i, r in enumerate(RULES)))
 
 

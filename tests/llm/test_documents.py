@@ -186,6 +186,23 @@ def test_a_family_that_is_alike_but_not_similar_makes_few_pairs(spark, monkeypat
     assert asked[-1] < 1000  # of 11,175
 
 
+def test_few_pairs_are_verified_in_one_step(spark, monkeypatch):
+    """Lists of three at most hold no more pairs than postings: no step of centres comes before the pairs."""
+    texts = []
+    for i in range(12):
+        base = [f"w{i}x{j}" for j in range(80)]
+        texts += [" ".join(base), " ".join([*base, "more"]), " ".join(base[:40] + [f"z{i}x{j}" for j in range(40)])]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("_key", F.md5("text"))
+    asked, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda *a: asked.append(1) or verified(*a))
+    sets = jaccard.distinct_sets(jaccard.signatures(docs, np.empty(0, dtype=np.uint64), 5, 0.8, ["_key"]))
+    sid = {r.sid: r._key for r in sets.select("sid", "_key").collect()}
+    found = {frozenset((sid[r.u], sid[r.v])) for r in jaccard.links(sets, docs.select("_key", "text")).collect()}
+    key = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+    assert found == {frozenset((key[i], key[i + 1])) for i in range(0, 36, 3)}
+    assert len(asked) == 1
+
+
 @pytest.mark.parametrize("limit", [64, 3])
 def test_links_have_the_components_of_all_pairs(spark, monkeypatch, limit):
     """Random families of near fingerprints; with limit 3 most lists go by the star."""
