@@ -297,6 +297,24 @@ def test_regions_need_no_windows_inside_of_copies(spark, size, most, seed):
         assert wins.where("file = 'l2'").count() < 100 < clones.candidate_windows(arrays, size).where("file = 'l2'").count()
 
 
+@pytest.mark.parametrize("size,crowd,seed", [(5, 3, 1), (3, 1, 2), (2, 4, 3)])
+def test_places_of_crowds_equal_all_pairs(spark, size, crowd, seed):
+    """Where windows have more places than pairs are made of, all places of all regions are found still."""
+    import random
+
+    rng = random.Random(seed)
+    parts = [[f"p{k}.{i if k % 2 else i % 3}" for i in range(rng.randrange(3, 4 * size))] for k in range(5)]
+    files = {f"f{i:02}": [w for _ in range(rng.randrange(1, 6)) for w in (rng.choice(parts) if rng.random() < 0.8 else [f"u{rng.randrange(9)}"])] for i in range(14)}
+    files |= {f"g{i:02}": files[f"f{i:02}"] for i in range(0, 14, 2)} | {"lol": ["lol"] * 30, "lola": ["a", *["lol"] * 25, "b"], "few": ["x"], "none": []}
+    long = [f"l{i}" for i in range(60)]
+    files |= {f"n{i}": [*long[: 5 * i], f"e{i % 3}", *long[5 * i + 1 :]] for i in range(11)}  # copies that differ in a word
+    arrays = spark.createDataFrame(list(files.items()), "file string, tokens array<string>")
+    want = {p for f, i, g, j, n in plain_regions(files, size, 10**9) for p in ((f, i, n), (g, j, n))}
+    assert want > {p for f, i, g, j, n in plain_regions(files, size, crowd) for p in ((f, i, n), (g, j, n))}
+    got = [tuple(r) for r in clones.repeated_places(clones.candidate_windows(arrays, size, crowd), size, crowd).collect()]
+    assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_regions_are_exchanged_once_to_tell_contained_ones(spark, seed):
     import random
