@@ -329,6 +329,35 @@ def test_regions_are_exchanged_once_to_tell_contained_ones(spark, seed):
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
 
 
+@pytest.mark.parametrize("step", ["regions", "places"])
+def test_tables_of_places_are_not_broadcast(spark, monkeypatch, step):
+    """However small tables are on disk: the driver would hold them unpacked."""
+    plans, settle = [], clones.settle
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(clones, "settle", told)
+    part = [f"c{j}" for j in range(14)]
+    arrays = spark.createDataFrame([(f"f{i}", [f"x{i}", *part, f"y{i}", *part]) for i in range(6)], "file string, tokens array<string>")
+    wins = clones.candidate_windows(arrays, 5, 3)
+    if step == "regions":
+        out = clones.maximal_regions(wins, 5, 3)
+    elif step == "places":
+        out = clones.repeated_places(wins, 5, 3)
+    elif step == "groups":
+        out = clones.place_groups(spark.createDataFrame([("f1", 1, 14), ("f2", 1, 14)], "file string, start int, token_count int"), arrays)
+    else:
+        rows = [("a", 3, [("f", 1, 3), ("g", 1, 3)]), ("b", 2, [("f", 2, 3), ("h", 1, 2)]), ("c", 2, [("h", 8, 9), ("h", 4, 5)])]
+        out = clones.independent_groups(spark.createDataFrame(rows, "group_id string, token_count int, places array<struct<file: string, start_line: int, end_line: int>>"))
+        assert sorted(r.group_id for r in out.collect()) == ["a", "c"]
+        assert not any("rangepartitioning(token_count" in p and ", places" in p.split("rangepartitioning(")[1].split(")")[0] for p in plans)
+    rows = out.collect()
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert rows and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_groups_exchange_tokens_as_one_string(spark):
     """Odd tokens come through as they are, and no array of them is exchanged for the places of a file."""
     odd = ['"', "\\", "\n", "\u2028", "é", "{}", ",", "[", "\x00", "null"]
