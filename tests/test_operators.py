@@ -329,7 +329,7 @@ def test_regions_are_exchanged_once_to_tell_contained_ones(spark, seed):
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
 
 
-@pytest.mark.parametrize("step", ["regions", "places", "groups"])
+@pytest.mark.parametrize("step", ["regions", "places", "groups", "independent"])
 def test_tables_of_places_are_not_broadcast(spark, monkeypatch, step):
     """However small tables are on disk: the driver would hold them unpacked."""
     plans, settle = [], clones.settle
