@@ -368,6 +368,29 @@ def test_groups_exchange_tokens_as_one_string(spark):
     assert "AS packed#" in groups._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("marks", [64, 1 << 22])
+def test_near_pairs_store_no_sets_but_those_compared(spark, monkeypatch, marks):
+    """Sets of files without a candidate are not kept, whatever the marks of names leave in before the exchange."""
+    kept, settle = [], clones.settle
+
+    def told(df):
+        out = settle(df)
+        if "elements" in df.columns:
+            kept.extend(r.file for r in out.select("file").collect())
+        return out
+
+    monkeypatch.setattr(clones, "settle", told)
+    monkeypatch.setattr(clones, "MARKS", marks, raising=False)
+    base = [f"w{i}" for i in range(100)]
+    files = [(f"u{i:03}", [f"v{i}.{j}" for j in range(40)]) for i in range(150)] + [("a", base), ("b", [*base[:99], "x"]), ("c", ["y", *base[1:]])]
+    arrays = spark.createDataFrame(files, "file string, tokens array<string>")
+    pairs = clones.near_pairs(clones.shingle_sets(arrays, 4), 0.9)
+    assert sorted((r.l, r.r, round(r.similarity, 6)) for r in pairs.collect()) == [("a", "b", round(96 / 97, 6)), ("a", "c", round(96 / 97, 6)), ("b", "c", round(95 / 97, 6))]
+    assert sorted(kept) == ["a", "b", "c"]
+    none = clones.near_pairs(clones.shingle_sets(arrays.where("file LIKE 'u%'"), 4), 0.9)
+    assert none.count() == 0
+
+
 def test_near_pairs_equal_brute_force(spark):
     import random
     from collections import Counter
